@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lexmill.llm.decontam import op6_decontamination
 from lexmill.llm.sharding import op4_sharding
 from lexmill.llm.token_count import op9_token_counts
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op9_token_counts": op9_token_counts,
 }
 
