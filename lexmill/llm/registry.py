@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexmill.llm.decontam import op6_decontamination
 from lexmill.llm.language_id import op7_language_id
+from lexmill.llm.poisson_mix import OP10_SQL, op10_poisson_mix
 from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
 from lexmill.llm.token_count import op9_token_counts
@@ -14,6 +15,9 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_poisson_mix": op10_poisson_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_poisson_mix": OP10_SQL,
+}
