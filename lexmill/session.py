@@ -45,9 +45,9 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, kind: str) -> DataFrame:
+def save(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and executor loss costs nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
