@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from lexmill.llm.decontam import op6_decontamination
 from lexmill.llm.language_id import op7_language_id
+from lexmill.llm.mpeg_audio import op8_mpeg_audio
 from lexmill.llm.near_dedup import op5_near_dedup
 from lexmill.llm.poisson_mix import OP10_SQL, op10_poisson_mix
 from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
+from lexmill.llm.substring_dedup import op1_substring_dedup
 from lexmill.llm.token_count import op9_token_counts
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mix": op10_poisson_mix,
 }
