@@ -11,10 +11,12 @@ from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
 from lexmill.llm.substring_dedup import op1_substring_dedup
 from lexmill.llm.token_count import op9_token_counts
+from lexmill.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
+    "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op10_poisson_mix": OP10_SQL,
 }
