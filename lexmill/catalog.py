@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexmill.plans import basic
+
+QUERIES: dict = dict(basic.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(basic.SQL)
 FLAGSHIP = "g2_reconcile"
