@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.plans import basic
+from lexmill.plans import basic, texts
 
-QUERIES: dict = dict(basic.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(basic.SQL)
+QUERIES: dict = basic.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = basic.SQL | texts.SQL
 FLAGSHIP = "g2_reconcile"

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import all_found, col, fold, found, safe_int, spanish_number
+from lexmill.functions.text import all_found, col, fold, found, safe_int, spanish_number, strip
 
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 RELATIONS = ("modifica", "modifica_parcial", "deroga", "deroga_parcial", "deroga_total", "adhiere", "reglamenta", "prorroga", "cita")
@@ -70,17 +70,17 @@ def title(text: Column | str, kind: Column, number: Column, year: Column, stem:
 
 
 def visto(text: Column | str) -> Column:
-    return F.trim(found(col(text), r"(?isuU)\bVISTO\b\s*:?\s*(.*?)(?=\bCONSIDERANDO\b|\bPOR\s+(?:TODO\s+)?ELLO\b|\z)"))
+    return strip(found(col(text), r"(?isuU)\bVISTO\b\s*:?\s*(.*?)(?=\bCONSIDERANDO\b|\bPOR\s+(?:TODO\s+)?ELLO\b|\z)"))
 
 
 def considerando(text: Column | str) -> Column:
-    return F.trim(found(col(text), r"(?isuU)\bCONSIDERANDO\b\s*:?\s*(.*?)(?=\bPOR\s+(?:TODO\s+)?ELLO\b|^\s*ART[IÍ]CULO\b|\bORDENANZA\s+N|\z)"))
+    return strip(found(col(text), r"(?isuU)\bCONSIDERANDO\b\s*:?\s*(.*?)(?=\bPOR\s+(?:TODO\s+)?ELLO\b|^\s*ART[IÍ]CULO\b|\bORDENANZA\s+N|\z)"))
 
 
 def strict_sections(text: Column | str) -> Column:
     """(visto, considerando), both or neither; the second ends at 'por todo ello' or at a spaced O R D E N A N Z A."""
     p = r"(?isu)\bVISTO\s*:?\s*(.+?)\bCONSIDERANDO\s*:?\s*(.+?)(?:POR\s+TODO\s+ELLO|O\s+R\s+D\s+E\s+N\s+A\s+N\s+Z\s+A|\z)"
-    return F.struct(F.trim(found(col(text), p, 1)).alias("visto"), F.trim(found(col(text), p, 2)).alias("considerando"))
+    return F.struct(strip(found(col(text), p, 1)).alias("visto"), strip(found(col(text), p, 2)).alias("considerando"))
 
 
 def official_extract(text: Column | str) -> Column:
@@ -170,7 +170,7 @@ def card_title(c: Column | str) -> Column:
 
 def strip_fences(c: Column | str) -> Column:
     """Without code fences, and with one blank line at most."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(c), r"(?m)^[ \t]*```\w*[ \t]*\r?\n?", ""), r"\n[ \t]*\n([ \t]*\n)+", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(col(c), r"(?m)^[ \t]*```\w*[ \t]*\r?\n?", ""), r"\n[ \t]*\n([ \t]*\n)+", "\n\n"))
 
 
 def strip_boilerplate(c: Column | str) -> Column:
@@ -180,13 +180,13 @@ def strip_boilerplate(c: Column | str) -> Column:
     out = F.regexp_replace(out, r"(?iu)\A\s*[\p{L} .]{1,40},\s*\d{1,2} de \p{L}+ de \d{4}\.?", "")
     out = F.regexp_replace(out, r"(?isu)\bVISTO\b.*?\bCONSIDERANDO\b\s*:?", " ")
     out = F.regexp_replace(out, r"(?isu)\b(?:REG[IÍ]STRESE|COMUN[IÍ]QUESE),.{0,200}\z", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return strip(F.regexp_replace(out, r"\s+", " "))
 
 
 def json_in_text(c: Column | str) -> Column:
     """The fenced block, else from the first { to the last }, else the whole."""
     t = col(c)
-    return F.trim(F.coalesce(found(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), found(t, r"(?s)(\{.*\})"), t))
+    return strip(F.coalesce(found(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), found(t, r"(?s)(\{.*\})"), t))
 
 
 EXTRACTION = (

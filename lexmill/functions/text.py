@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(c), r"\A\s+|\s+\z", "")
+
+
 def unaccent(c: Column | str) -> Column:
     return F.translate(col(c), _ACCENTED, _PLAIN)
 
@@ -61,7 +66,7 @@ def clean_spaces(c: Column | str) -> Column:
     out = F.regexp_replace(out, "[ \\t]+", " ")
     out = F.regexp_replace(out, " +([,.;:])", "$1")
     out = F.regexp_replace(out, " *\\n *", "\n")
-    return F.trim(F.regexp_replace(out, "\\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(out, "\\n{3,}", "\n\n"))
 
 
 def parse_date(c: Column | str) -> Column:

@@ -17,7 +17,8 @@ def tokens(text):
 
 def postings(norms: DataFrame, fields: dict[str, float], id_col: str = "id") -> DataFrame:
     """(term, id, tf, wtf, dl): term counts over the fields, their weighted sum, and the document's length in terms."""
-    every = F.concat(*[F.transform(tokens(F.col(f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, w in fields.items()])
+    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    every = F.concat(*[F.transform(tokens(F.col(f)), weigh(w)) for f, w in fields.items()])
     rows = norms.select(F.col(id_col).alias("id"), every.alias("_t")).select("id", F.size("_t").alias("dl"), F.explode("_t").alias("t"))
     return rows.groupBy("t.term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sum("t.w").alias("wtf"), F.max("dl").alias("dl"))
 

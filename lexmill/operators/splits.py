@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import all_found
+from lexmill.functions.text import all_found, strip
+from lexmill.session import ship_package
 
 _MARK = r"(?:art[ií]culo|art\.)\s*(\d+)\s*[º°]?\s*(bis|ter|quater|quinquies)?"
 
@@ -20,7 +25,7 @@ def split_articles(norms: DataFrame, id_col: str = "id", text_col: str = "texto"
     parts = F.filter(F.split(t, rf"(?imu)(?=^[ \t]*{_MARK})"), lambda x: x.rlike(rf"(?iu)^\s*{_MARK}"))
     rows = norms.select(F.col(id_col).alias("id"), t.alias("_t"), F.posexplode_outer(parts).alias("_k", "_part"))
     number = F.concat_ws(" ", F.regexp_extract("_part", rf"(?iu)^\s*{_MARK}", 1), F.nullif(F.lower(F.regexp_extract("_part", rf"(?iu)^\s*{_MARK}", 2)), F.lit("")))
-    text = F.trim(F.regexp_replace("_part", rf"(?iu)^\s*{_MARK}\s*[:.\-–]*\s*", ""))
+    text = strip(F.regexp_replace("_part", rf"(?iu)^\s*{_MARK}\s*[:.\-–]*\s*", ""))
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     abstract = F.substring(F.when(F.length(first) < 40, F.concat_ws(" ", first, F.get(lines, F.lit(1)))).otherwise(first), 1, cut)
@@ -29,8 +34,8 @@ def split_articles(norms: DataFrame, id_col: str = "id", text_col: str = "texto"
         "id",
         F.when(none, only).otherwise(number).alias("numero"),
         (F.coalesce("_k", F.lit(0)) + 1).alias("orden"),
-        F.when(none, F.trim("_t")).otherwise(text).alias("texto"),
-        F.when(none, F.substring(F.trim("_t"), 1, 180)).otherwise(abstract).alias("resumen"),
+        F.when(none, strip("_t")).otherwise(text).alias("texto"),
+        F.when(none, F.substring(strip("_t"), 1, 180)).otherwise(abstract).alias("resumen"),
     )
 
 
@@ -38,16 +43,28 @@ def strict_articles(norms: DataFrame, id_col: str = "id", text_col: str = "texto
     """(id, numero, texto) of 'ARTÍCULO n°:' up to the next, to DADA EN LA SALA or to the end; empty ones are left out."""
     p = r"(?isu)ART[IÍ]CULO\s+(\d+)\s*[º°]\s*:\s*(.*?)(?=ART[IÍ]CULO\s+\d+\s*[º°]\s*:|DADA\s+EN\s+LA\s+SALA|\z)"
     rows = F.arrays_zip(all_found(F.col(text_col), p, 1).alias("numero"), all_found(F.col(text_col), p, 2).alias("texto"))
-    return norms.select(F.col(id_col).alias("id"), F.inline(rows)).withColumn("texto", F.trim("texto")).filter("texto <> ''")
+    return norms.select(F.col(id_col).alias("id"), F.inline(rows)).withColumn("texto", strip("texto")).filter("texto <> ''")
 
 
 def article_contexts(norms: DataFrame, id_col: str = "id", text_col: str = "texto", before: int = 100, after: int = 200) -> DataFrame:
-    """(id, numero, contexto): a window of characters around each article number that the text names; else its first 500 characters as article 1."""
-    p = rf"(?isu)(.{{0,{before}}}\b(?:art[ií]culos?|arts?\.)\s*(\d+).{{0,{after}}})"
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    hits = F.arrays_zip(all_found(t, p, 2).alias("numero"), all_found(t, p, 1).alias("contexto"))
-    rows = F.when(F.size(hits) > 0, hits).otherwise(F.array(F.struct(F.lit("1").alias("numero"), F.substring(t, 1, 500).alias("contexto"))))
-    return norms.select(F.col(id_col).alias("id"), F.inline(rows))
+    """(id, numero, contexto): the characters around each article number that the text names; else its first 500 as article 1."""
+    ship_package(norms.sparkSession)
+    mark = r"(?i)\b(?:art[ií]culos?|arts?\.)\s*(\d+)"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(mark)
+        for batch in batches:
+            at, numbers, contexts = [], [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                t = t or ""
+                hits = [(m[1], t[max(0, m.start() - before) : m.end() + after]) for m in pattern.finditer(t)] or [("1", t[:500])]
+                at += [k] * len(hits)
+                numbers += [n for n, _ in hits]
+                contexts += [c for _, c in hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.string()), pa.array(contexts, pa.string())], ["id", "numero", "contexto"])
+
+    kind = norms.schema[id_col].dataType.simpleString()
+    return norms.select(id_col, text_col).mapInArrow(read, f"id {kind}, numero string, contexto string")
 
 
 def one_per_number(articles: DataFrame, keep: str = "first", norm_col: str = "id", number_col: str = "numero", order_col: str = "orden") -> DataFrame:

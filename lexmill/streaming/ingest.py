@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lexmill.operators.joins import append_new
 
 
-def stream_tables(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_tables(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream; each is read once, as the checkpoint remembers."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
