@@ -11,6 +11,7 @@ item, or the whole of a shorter one. Cases: null and empty texts have no words a
 benchmark hits nothing; equal windows of several items count for each; texts of any length are read whole. Words are
 told apart by 64-bit hashes. The benchmark reaches tasks in parts of at most ``PART_BYTES`` of text (of one item, if
 that is larger); beyond one part, the documents are passed over once for each.
+A column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import ALNUM, Powers, slices, span_hashes, word_bounds
+from lexmill.llm.frames import free
 from lexmill.session import save, ship_package, table
 
 WINDOW = 13
@@ -324,10 +326,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     parts = max(1, -(-size // PART_BYTES))
     if parts == 1:
         return docs.withColumn(name, _scan(docs, text_col, Windows([(r.i, r.t) for r in items.collect()])))
+    held = free(docs, *[f"_part_{k}" for k in range(parts)])
     for k in range(parts):
         part = items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()
-        docs = save(docs.withColumn(f"_{name}_{k}", _scan(docs, text_col, Windows([(r.i, r.t) for r in part]))), "decontam")
-    return docs.withColumn(name, _merged(*[F.col(f"_{name}_{k}") for k in range(parts)])).drop(*[f"_{name}_{k}" for k in range(parts)])
+        docs = save(docs.withColumn(held[k], _scan(docs, text_col, Windows([(r.i, r.t) for r in part]))), "decontam")
+    return docs.withColumn(name, _merged(*[F.col(h) for h in held])).drop(*held)
 
 
 def _merged(*hits):

@@ -7,7 +7,8 @@ neighbouring bytes, so a convolution is a few table rows added up; that is the s
 
 Training reads a bounded sample: about ``PER_LANGUAGE`` documents of each language, chosen by a hash of the text, and
 at most ``WINDOWS_EACH`` windows of each. Cases: a null text and one without a letter give ``und`` and score 0; a text
-shorter than a window is padded with byte 0; without any labelled row, every text gives ``und``.
+shorter than a window is padded with byte 0; without any labelled row, every text gives ``und``;
+columns of a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import slices
+from lexmill.llm.frames import free
 from lexmill.session import ship_package, table
 
 LENGTH = 128
@@ -202,7 +204,7 @@ def identify_language(docs: DataFrame, training: DataFrame, text_col: str = "tex
             lang = pc.if_else(letters, pa.array(names[best], pa.string()), "und")
             yield pa.StructArray.from_arrays([lang, pc.if_else(letters, pa.array(p), 0.0)], ["lang", "score"])
 
-    found = f"{prefix}_found"
+    (found,) = free(docs, "_found")
     return docs.withColumn(found, predict(F.col(text_col))).withColumn(pred, F.col(found).lang).withColumn(score, F.col(found).score).drop(found)
 
 

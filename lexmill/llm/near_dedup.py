@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = classes.select("n", "d1", "d2", "rep", "copies").join(final, "rep", "left").filter("copies > 1 or component is not null")
     whole = save(whole.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "components")
     found = sketches.select("doc", "n", "d1", "d2").join(whole, ["n", "d1", "d2"], "left")
-    return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    return found.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.frames import free
 from lexmill.session import table
 
 BROADCAST_SOURCES = 10_000
@@ -55,29 +56,31 @@ def poisson_count(u: Column, rate: Column, terms: int) -> Column:
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", key_col: str = "doc_id", seed: str = "mix", temperature: float = TEMPERATURE, prefix: str = "") -> DataFrame:
     """``docs`` with each row repeated, plus ``copy`` (from 0) and ``order_key`` (named with ``prefix``), in global order of the key.
 
-    ``weights`` are target shares by source; without them, shares follow the sources' counts to the power ``temperature``.
+    Columns of these names are replaced. ``weights`` are target shares by source; without them, shares follow the sources' counts to the power ``temperature``.
     """
-    rate, copy, order, n = (f"{prefix}{x}" for x in ("_rate", "copy", "order_key", "_n"))
+    copy, order = f"{prefix}copy", f"{prefix}order_key"
+    docs = docs.drop(copy, order)
+    rate, n, key_name = free(docs, "_rate", "_n", "_key")
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
-    counts = docs.groupBy(name.alias("_source")).agg(F.count(F.lit(1)).alias("_count"))
+    counts = docs.groupBy(name.alias(key_name)).agg(F.count(F.lit(1)).alias("_count"))
     if weights is None:
         share = F.pow(F.col("_count").cast("double"), F.lit(float(temperature)))
     else:
         given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]) if weights else None
-        share = F.coalesce(F.element_at(given, F.col("_source")), F.lit(0.0)) if weights else F.lit(0.0)
+        share = F.coalesce(F.element_at(given, F.col(key_name)), F.lit(0.0)) if weights else F.lit(0.0)
     counts = counts.withColumn("_share", share)
     total = counts.agg(F.count(F.lit(1)), F.sum("_count"), F.sum("_share"), F.max(F.col("_share") / F.col("_count"))).first()
     if not total[0] or not total[2]:
         return docs.limit(0).withColumn(copy, F.lit(0)).withColumn(order, F.lit(""))
     scale = total[1] / total[2]
-    rates = counts.select("_source", (F.col("_share") / F.col("_count") * F.lit(scale)).alias(rate))
+    rates = counts.select(key_name, (F.col("_share") / F.col("_count") * F.lit(scale)).alias(rate))
     if total[0] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     terms = poisson_terms(total[3] * scale)
-    counted = docs.withColumn("_source", name).join(rates, "_source").withColumn(n, poisson_count(uniform(F.col(key_col), seed), F.col(rate), terms))
+    counted = docs.withColumn(key_name, name).join(rates, key_name).withColumn(n, poisson_count(uniform(F.col(key_col), seed), F.col(rate), terms))
     copies = counted.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.col(copy)))
-    return copies.withColumn(order, key).drop("_source", rate, n).repartitionByRange(order).sortWithinPartitions(order)
+    return copies.withColumn(order, key).drop(key_name, rate, n).repartitionByRange(order).sortWithinPartitions(order)
 
 
 def op10_poisson_mix(spark, sf_dir: str) -> DataFrame:

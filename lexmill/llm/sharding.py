@@ -4,7 +4,8 @@ Going from n to n + 1 shards moves only the rows that the new shard takes. Slots
 without gaps; they come from counts of small hash ranges, so no task ever holds a whole shard.
 
 Cases: a null key hashes as its own value; repeated keys go to one shard and get different slots; a null text has
-no bytes; an empty table gives no rows; other columns are left alone.
+no bytes; an empty table gives no rows; other columns are left alone,
+but for those that have a result's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.frames import free
 from lexmill.session import ship_package, table
 
 #: Rows that a hash range of a shard should hold.
@@ -45,27 +47,27 @@ def jump_column(key, shards: int):
 
 
 def shard(docs: DataFrame, shards: int, key_col: str = "doc_id", prefix: str = "") -> DataFrame:
-    """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (with one more shard), named with ``prefix``."""
+    """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (with one more shard), named with ``prefix``.
+
+    Columns of these names are replaced.
+    """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    s, slot, grown, h, part, base = (f"{prefix}{x}" for x in ("shard", "slot", "grown_shard", "_hash", "_range", "_base"))
     ship_package(docs.sparkSession)
-    docs = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))))
-    docs = docs.withColumn(s, jump_column(F.col(h), shards)).withColumn(grown, jump_column(F.col(h), shards + 1))
-    # ranges of the hash, as many as the rows need: two passes over the key column alone
-    rows = docs.select(key_col).count()
+    own, slot, grown = (f"{prefix}{x}" for x in ("shard", "slot", "grown_shard"))
+    docs = docs.drop(own, slot, grown)
+    h, part, base, s, r = free(docs, "_hash", "_range", "_base", "_s", "_r")
+    rows = docs.count()
     ranges = max(1, -(-rows // (shards * RANGE_ROWS)))
-    docs = docs.withColumn(part, F.pmod(F.xxhash64(F.col(h), F.lit(17)), F.lit(ranges)).cast("int"))
-    sizes = docs.groupBy(s, part).count()
-    before = Window.partitionBy(s).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(s).alias("_s"), F.col(part).alias("_r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
-    own = Window.partitionBy(s, part).orderBy(h, key_col)
-    numbered = docs.withColumn(slot, F.row_number().over(own) - 1)
-    return (
-        numbered.join(offsets, (F.col(s) == F.col("_s")) & (F.col(part) == F.col("_r")))
-        .withColumn(slot, (F.col(base) + F.col(slot)).cast("long"))
-        .drop("_s", "_r", base, h, part)
-    )
+    docs = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))))
+    docs = docs.withColumn(own, jump_column(F.col(h), shards)).withColumn(grown, jump_column(F.col(h), shards + 1))
+    docs = docs.withColumn(part, F.pmod(F.xxhash64(h, F.lit(17)), F.lit(ranges)).cast("int"))
+    sizes = docs.groupBy(F.col(own).alias(s), F.col(part).alias(r)).count()
+    before = Window.partitionBy(s).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(s, r, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    number = F.row_number().over(Window.partitionBy(own, part).orderBy(h, key_col)) - 1
+    placed = docs.withColumn(slot, number).join(offsets, (F.col(own) == F.col(s)) & (F.col(part) == F.col(r)))
+    return placed.withColumn(slot, (F.col(base) + F.col(slot)).cast("long")).drop(s, r, base, h, part)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ Every run is hashed from its lower-cased words. The hashes are counted over all
 the shuffle; a run is first in the document of least id, at its first place there, and every other one is removed.
 
 Cases: null and empty texts have no sentences and stay as they are; a text all of whose sentences go becomes empty;
-rows with the same id count as one document; a null id keeps its text but for repeats within it.
+rows with the same id count as one document, each with its own text; a null id keeps its text whole.
+Columns of a result's name are replaced.
 Hot runs: the counting is pre-aggregated; the join back is by broadcast up to ``BROADCAST_RUNS`` repeated runs, else
 by a shuffle in which AQE splits hot runs.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import NOT_SPACE, Powers, byte_class, slices, span_hashes, word_bounds
+from lexmill.llm.frames import free
 from lexmill.session import save, ship_package, table
 
 LONGEST = 16
@@ -85,11 +87,10 @@ def run_rows(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarr
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
-        ids = batch.column(0)
-        for a, b, data, at in slices(batch.column(1)):
+        for a, b, data, at in slices(batch.column(2)):
             h, text, i, j, again = run_rows(data, at, powers)
-            doc = ids.slice(a, b - a).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(again)], ["h", "doc", "i", "j", "again"])
+            doc, version = (batch.column(k).slice(a, b - a).take(pa.array(text)) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc, version, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(again)], ["h", "doc", "version", "i", "j", "again"])
 
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -131,24 +132,26 @@ _RESULT = "struct<text:string,n_sentences:bigint,n_removed:bigint,removed:array<
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, i, j): runs of sentences that don't stand first; i and j number the document's sentences, j left out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    runs = rows.mapInArrow(_runs, "h long, doc long, i int, j int, again boolean")
+    """(doc, version, i, j): runs of sentences that don't stand first; i and j number the sentences, j left out; version is the text's hash."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    runs = rows.mapInArrow(_runs, "h long, doc long, version long, i int, j int, again boolean")
     counted = runs.filter("not again and doc is not null").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("first"))
     repeated = save(counted.filter("c > 1").select("h", "first"), "runs")
     if repeated.count() <= BROADCAST_RUNS:
         repeated = F.broadcast(repeated)
-    later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "i", "j")
-    return later.unionByName(runs.filter("again").select("doc", "i", "j"))
+    later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "version", "i", "j")
+    return later.unionByName(runs.filter("again").select("doc", "version", "i", "j"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the text cut, and n_sentences, n_removed and the removed byte spans of the old text (named with ``prefix``)."""
     ship_package(docs.sparkSession)
-    marks = repeated_runs(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("i", "j")).alias("_marks"))
-    joined = docs.join(marks, F.col(id_col).cast("long") == F.col("doc"), "left").drop("doc")
-    done = joined.withColumn("_cut", F.arrow_udf(_cut, _RESULT)(F.col(text_col), F.col("_marks")))
-    return done.withColumn(text_col, F.coalesce("_cut.text", text_col)).withColumns({f"{prefix}{x}": F.col(f"_cut.{x}") for x in ("n_sentences", "n_removed", "removed")}).drop("_cut", "_marks")
+    key, version, cut, held = free(docs, "_doc", "_version", "_cut", "_marks")
+    marks = repeated_runs(docs, id_col, text_col).groupBy(F.col("doc").alias(key), F.col("version").alias(version)).agg(F.collect_list(F.struct("i", "j")).alias(held))
+    joined = docs.join(marks, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(version)), "left").drop(key, version)
+    done = joined.withColumn(cut, F.arrow_udf(_cut, _RESULT)(F.col(text_col), F.col(held)))
+    done = done.withColumn(text_col, F.coalesce(f"{cut}.text", text_col))
+    return done.withColumns({f"{prefix}{x}": F.col(f"{cut}.{x}") for x in ("n_sentences", "n_removed", "removed")}).drop(cut, held)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

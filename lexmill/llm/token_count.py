@@ -6,7 +6,8 @@ sequences at once; sequences without a pair leave, and their surviving symbols a
 model doesn't know count one token a byte. Pre-tokens seen before are looked up by a 64-bit hash of their bytes.
 
 Cases: null and empty texts have no tokens; texts of any length are counted whole; a pre-token of over
-``LONG`` characters goes through a heap of its pairs instead of rounds, with the same result.
+``LONG`` characters goes through a heap of its pairs instead of rounds, with the same result; a
+column of the count's name is replaced.
 """
 
 from __future__ import annotations
