@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import all_found, col, fold, found, safe_int, spanish_number, strip
+from lexmill.functions.text import all_found, col, fold, found, let, safe_int, spanish_number, strip
 
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 RELATIONS = ("modifica", "modifica_parcial", "deroga", "deroga_parcial", "deroga_total", "adhiere", "reglamenta", "prorroga", "cita")
@@ -20,9 +20,9 @@ def frontmatter(text: Column | str) -> Column:
     lines = F.split(F.regexp_extract(col(text), FRONT, 1), r"\r?\n")
     pairs = F.filter(lines, lambda x: x.rlike(r"^\s*[^#:\s][^:]*:"))
     entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    last = lambda es: lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]
+    keys = lambda es: F.array_distinct(F.transform(es, lambda e: e["k"]))
+    return let(entries, lambda es: F.map_from_arrays(keys(es), F.transform(keys(es), last(es))))
 
 
 def body(text: Column | str) -> Column:
@@ -198,7 +198,10 @@ EXTRACTION = (
 
 def extraction(c: Column | str) -> Column:
     """The typed extraction of a response, with defaults: relations outside the known ones cite, relevances outside 0 to 1 are 0.5; null if it's no JSON."""
-    j = F.from_json(json_in_text(c), EXTRACTION)
+    return let(json_in_text(c), lambda t: F.when(F.try_parse_json(t).isNotNull(), let(F.from_json(t, EXTRACTION), _with_defaults)))
+
+
+def _with_defaults(j: Column) -> Column:
     relevance = lambda x: F.when(x.between(0, 1), x).otherwise(0.5)
     fixed = F.struct(
         j.resumen.alias("resumen"),
@@ -211,7 +214,7 @@ def extraction(c: Column | str) -> Column:
         F.coalesce(j.montos, F.array()).alias("montos"),
         F.coalesce(j.anexos, F.array()).alias("anexos"),
     )
-    return F.when(F.try_parse_json(json_in_text(c)).isNotNull() & j.isNotNull(), fixed)
+    return F.when(j.isNotNull(), fixed)
 
 
 def _repair(text: str) -> str | None:

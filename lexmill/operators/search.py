@@ -55,15 +55,24 @@ def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, ev
     return hits.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top).select("query_id", "id", "puesto", score.alias("score"))
 
 
-def all_terms_or_phrase(norms: DataFrame, queries: DataFrame, index: DataFrame, shape: DataFrame, text_col: str = "texto", top: int = 20) -> DataFrame:
-    """Documents with all terms; for queries without such, those whose folded text has the query as a phrase, in order of id (score 0)."""
+def all_terms_or_phrase(norms: DataFrame, queries: DataFrame, index: DataFrame, shape: DataFrame, text_col: str = "texto", top: int = 20, block: int = 500) -> DataFrame:
+    """Documents with all terms; for queries without such, those whose folded text has the query as a phrase, in order of id (score 0).
+
+    Phrases go over the texts in blocks of about ``block`` queries, each block one scan.
+    """
     hits = bm25(index, shape, query_terms(queries), top, every_term=True)
-    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").filter(F.length(F.trim("query")) > 0)
-    t = norms.select("id", fold(text_col).alias("_t"))
-    found = t.join(F.broadcast(rest.select("query_id", fold(F.trim("query")).alias("_q")).limit(1000)), F.contains("_t", "_q"))
-    w = Window.partitionBy("query_id").orderBy("id")
-    phrase = found.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top)
-    return hits.unionByName(phrase.select("query_id", "id", "puesto", F.lit(0.0).alias("score")))
+    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", fold(F.trim("query")).alias("q")).filter("q <> ''")
+    parts = -(-rest.count() // block)
+    for part in range(parts):
+        own = rest.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        if not own:
+            continue
+        asked = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q")) for r in own])
+        found = norms.select("id", fold(text_col).alias("_t")).select("id", F.explode(F.filter(asked, lambda x: F.contains(F.col("_t"), x["q"]))).alias("m"))
+        w = Window.partitionBy("query_id").orderBy("id")
+        best = found.select("m.query_id", "id").withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top)
+        hits = hits.unionByName(best.select("query_id", "id", "puesto", F.lit(0.0).alias("score")))
+    return hits
 
 
 def weighted_rank(index: DataFrame, terms: DataFrame, top: int = 20) -> DataFrame:

@@ -42,11 +42,11 @@ def republications(records: DataFrame, key: list[str]) -> DataFrame:
 
 def article_states(refs: DataFrame, sticky_repeal: bool = False) -> DataFrame:
     """(norma_id, articulo, estado, modificado_por) by the last reference that names the article; or, if sticky, the last repeal before all else."""
-    rows = refs.select("ref_id", "norma_origen_id", F.col("norma_destino_id").alias("norma_id"), "relacion", F.explode("articulos").alias("articulo")).filter(severity(F.col("relacion")) > 0)
-    order = [F.desc("ref_id")] if not sticky_repeal else [F.desc(severity(F.col("relacion")) >= 2), F.desc("ref_id")]
-    w = Window.partitionBy("norma_id", "articulo").orderBy(*order)
-    last = rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
-    return last.select("norma_id", "articulo", F.when(severity(F.col("relacion")) >= 2, "derogado").otherwise("modificado").alias("estado"), F.col("norma_origen_id").alias("modificado_por"))
+    s = severity(F.col("relacion"))
+    rows = refs.select("ref_id", "norma_origen_id", F.col("norma_destino_id").alias("norma_id"), s.alias("s"), F.explode("articulos").alias("articulo")).filter("s > 0")
+    order = [F.col("s") >= 2, F.col("ref_id")] if sticky_repeal else [F.col("ref_id")]
+    last = rows.groupBy("norma_id", "articulo").agg(F.max(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], "s", "norma_origen_id")).alias("m"))
+    return last.select("norma_id", "articulo", F.when(F.col("m.s") >= 2, "derogado").otherwise("modificado").alias("estado"), F.col("m.norma_origen_id").alias("modificado_por"))
 
 
 def norm_states(norms: DataFrame, refs: DataFrame) -> DataFrame:
@@ -58,12 +58,14 @@ def norm_states(norms: DataFrame, refs: DataFrame) -> DataFrame:
 
 def relation_report(norms: DataFrame, refs: DataFrame) -> DataFrame:
     """(ref_id, norma_id, relacion, etiqueta, antes, despues): each effect in order of references, with the state before and after it."""
-    effects = refs.filter(F.col("norma_destino_id").isNotNull() & (severity(F.col("relacion")) > 0))
-    joined = effects.join(norms.select(F.col("id").alias("norma_destino_id"), state_severity(F.col("estado")).alias("_stored")), "norma_destino_id")
     s = severity(F.col("relacion"))
-    before = Window.partitionBy("norma_destino_id").orderBy("ref_id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.greatest(F.col("_stored"), F.coalesce(F.max(s).over(before), F.lit(0)))
-    return joined.select("ref_id", F.col("norma_destino_id").alias("norma_id"), "relacion", "etiqueta", state_name(prior).alias("antes"), state_name(F.greatest(prior, s)).alias("despues"), (s >= prior).alias("anotada"))
+    effects = refs.filter(F.col("norma_destino_id").isNotNull() & (s > 0)).withColumn("_s", s)
+    # the state before a reference follows from where each severity first occurs: three minima a norm, however many references it has
+    firsts = effects.groupBy("norma_destino_id").agg(*[F.min(F.when(F.col("_s") == k, F.col("ref_id"))).alias(f"_f{k}") for k in (1, 2, 3)])
+    stored = norms.select(F.col("id").alias("norma_destino_id"), state_severity(F.col("estado")).alias("_stored"))
+    joined = effects.join(stored.join(firsts, "norma_destino_id"), "norma_destino_id")
+    prior = F.greatest(F.col("_stored"), *[F.when(F.col(f"_f{k}") < F.col("ref_id"), k).otherwise(0) for k in (1, 2, 3)])
+    return joined.select("ref_id", F.col("norma_destino_id").alias("norma_id"), "relacion", "etiqueta", state_name(prior).alias("antes"), state_name(F.greatest(prior, F.col("_s"))).alias("despues"), (F.col("_s") >= prior).alias("anotada"))
 
 
 def validity_notes(norms: DataFrame, report: DataFrame) -> DataFrame:
