@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.parse import mined_references
 from lexmill.functions.text import all_found, fold
 from lexmill.operators.filters import dossier_years
+from lexmill.operators.graph import reconcile
 from lexmill.operators.joins import children
 from lexmill.operators.search import bm25
 from lexmill.operators.vectors import top_k
@@ -32,6 +34,28 @@ def dossier(norms: DataFrame, articles: DataFrame, index: DataFrame, shape: Data
     return out.select("query_id", "id", "puesto", "score", "articulos", text.alias("markdown"))
 
 
+def enrich_and_reconcile(norms: DataFrame) -> dict[str, DataFrame]:
+    """References mined from the texts of all municipalities' norms at once, resolved, and the cascade over them.
+
+    ``norms``: id, tipo, numero, anio, codigo_localidad, estado, notas_vigencia, texto.
+    """
+    mined = norms.select(F.col("id").alias("norma_origen_id"), "codigo_localidad", "titulo", F.posexplode(mined_references("texto")).alias("k", "m"))
+    refs = mined.select(
+        (F.col("norma_origen_id") * 1000 + F.col("k")).alias("ref_id"),
+        "norma_origen_id",
+        F.lit(None).cast("long").alias("norma_destino_id"),
+        F.col("m.destino_tipo").alias("destino_tipo"),
+        F.col("m.numero").alias("destino_numero"),
+        F.col("m.anio").alias("destino_anio"),
+        "codigo_localidad",
+        F.lit(None).cast("string").alias("destino_referencia"),
+        F.col("m.relacion").alias("relacion"),
+        F.col("titulo").alias("etiqueta"),
+        F.lit(None).cast("string").alias("articulos_afectados"),
+    )
+    return reconcile(norms, refs)
+
+
 def title_terms(title: Column | str, most: int = 4) -> Column:
     """The first words of over four letters of a title, folded."""
     return F.slice(all_found(fold(title), r"(\p{L}{5,})"), 1, most)

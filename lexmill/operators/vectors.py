@@ -108,6 +108,32 @@ def article_search(queries: DataFrame, articles: DataFrame, norms: DataFrame, k:
     return joined.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= k)
 
 
+def over_fetched(queries: DataFrame, corpus: DataFrame, k: int = 10, factor: int = 5, threshold: float = 0.0, keep: Column | None = None) -> DataFrame:
+    """The best ``factor`` times k as an index would give them, then those that ``keep`` and ``threshold`` let through, cut to k.
+
+    With a filter this can give fewer than k; filter the corpus before ``top_k`` to get k.
+    """
+    hits = top_k(queries, corpus, factor * k, -1.0).join(corpus.drop("vector"), "id").filter(F.col("score") >= threshold)
+    hits = hits if keep is None else hits.filter(keep)
+    w = Window.partitionBy("query_id").orderBy("puesto")
+    return hits.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= k)
+
+
+def build_index(rows: DataFrame, path: str, encoder: Callable[[list[str]], np.ndarray], model: str, generation: str, manifests: DataFrame, resume: bool = True, id_col: str = "id", text_col: str = "texto", least: int = 5) -> DataFrame:
+    """Embed the rows that the index at ``path`` lacks and append them; returns the manifests with this generation active."""
+    spark = rows.sparkSession
+    done = None
+    if resume:
+        try:
+            done = spark.read.parquet(path).select(id_col)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    todo = rows.filter(F.length(F.trim(text_col)) > least)
+    embed(todo, done, encoder, id_col, text_col).write.mode("append" if resume else "overwrite").parquet(path)
+    return next_manifest(manifests, generation, model, spark.read.parquet(path).count())
+
+
 def combined(norm_hits: DataFrame, article_hits: DataFrame, limit: int = 10) -> DataFrame:
     """Both kinds of hits by score, tagged, ``limit`` per query."""
     both = norm_hits.withColumn("clase", F.lit("norma")).unionByName(article_hits.withColumn("clase", F.lit("articulo")), allowMissingColumns=True)

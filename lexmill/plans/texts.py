@@ -154,10 +154,9 @@ def p19(spark, sf):
     return normas(spark, sf).select("id", P.card_title(F.replace("titulo", F.lit(" N "), F.lit(" "))).alias("c")).select("id", "c.*")
 
 
-@query("p20_strip_fences", "SELECT doc_id AS id, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS m FROM documents WHERE NOT contains(text, chr(10) || chr(10))")
+@query("p20_strip_fences", "SELECT doc_id AS id, md5(regexp_replace(regexp_replace(text, '\\n[ \\t]*\\n([ \\t]*\\n)+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS m FROM documents")
 def p20(spark, sf):
-    n = normas(spark, sf).filter("not contains(texto, '\n\n')")
-    return n.select("id", F.md5(P.strip_fences(F.concat(F.lit("```json\n"), F.col("texto"), F.lit("\n```\n")))).alias("m"))
+    return normas(spark, sf).select("id", F.md5(P.strip_fences(F.concat(F.lit("```json\n"), F.col("texto"), F.lit("\n```\n")))).alias("m"))
 
 
 @query("p21_boilerplate", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS m FROM pages")
@@ -448,3 +447,43 @@ def t4(spark, sf):
     e = table(spark, sf, "events").select(F.when(F.col("value") > 50, F.col("value")).alias("r"), F.when(F.col("event_type") == "error", "x").alias("e"))
     return I.staged(e, "r", "e").groupBy("estado").agg(F.count(F.lit(1)).alias("n"))
 
+
+
+@query("t2_first_arrivals", "SELECT DISTINCT event_id % 3000 AS contenido_id FROM events")
+def t2(spark, sf):
+    target, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "arrivals-checkpoint")
+    stream = I.stream_tables(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema).selectExpr("event_id % 3000 as contenido_id")
+    I.first_arrivals(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
+@query(
+    "t3_all_municipalities",
+    f"""WITH {NORMAS}, n AS (SELECT id, tipo, numero, codigo_localidad, estado, coalesce(anio, CASE WHEN tipo = 'ordenanza' THEN 2001 ELSE (1981 + id % 40)::INT END) AS anio FROM normas),
+r AS (SELECT id % 300 + 1 AS numero, 1999 AS anio, codigo_localidad, 1 AS s FROM n UNION ALL SELECT id % 200 + 1, 2001, codigo_localidad, 3 FROM n),
+t AS (SELECT numero, anio, codigo_localidad, min(id) AS id FROM n WHERE tipo = 'ordenanza' GROUP BY 1, 2, 3), m AS (SELECT t.id, max(s) AS s FROM r JOIN t USING (numero, anio, codigo_localidad) GROUP BY 1)
+SELECT codigo_localidad, CASE coalesce(s, 0) WHEN 0 THEN 'vigente' WHEN 1 THEN 'modificada' ELSE 'derogada' END AS estado, count(*) AS n FROM n LEFT JOIN m USING (id) GROUP BY 1, 2""",
+)
+def t3(spark, sf):
+    parsed = S.parse_norms(markdown(spark, sf).select("path", "texto"))
+    norms = save(parsed.select((F.col("contenido_id") - 100000).alias("id"), "tipo", "numero", "anio", "codigo_localidad", "estado", "titulo", F.lit(None).cast("string").alias("notas_vigencia"), F.col("texto_completo").alias("texto")), "norms")
+    return C.enrich_and_reconcile(norms)["normas"].groupBy("codigo_localidad", "estado").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("v6_over_fetched", f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS puesto FROM r WHERE k <= 50 AND score >= 0.05 AND label < 5) SELECT query_id, id, puesto::INT AS puesto FROM f WHERE puesto <= 10")
+def v6(spark, sf):
+    v = vectors(spark, sf)
+    return V.over_fetched(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10, 5, 0.05, F.col("label") < 5).select("query_id", "id", "puesto")
+
+
+@query("v11_index_resume", f"WITH {NORMAS} SELECT 'g2' AS generation_id, true AS active, count(*) AS total FROM normas WHERE length(trim(texto)) > 5 UNION ALL SELECT 'g1', false, count(*) FROM normas WHERE length(trim(texto)) > 5 AND id % 2 = 0")
+def v11(spark, sf):
+    n, path = normas(spark, sf), shared_dir(spark, "index")
+    none = spark.createDataFrame([], "generation_id string, modelo string, total long, active boolean")
+    first = V.build_index(n.filter("id % 2 = 0"), path, V.test_encoder(8), "m", "g1", none)
+    return V.build_index(n, path, V.test_encoder(8), "m", "g2", first).select("generation_id", "active", "total")
+
+
+@query("r4_phrases")
+def r4_phrases(spark, sf):
+    return R.all_terms_or_phrase(normas(spark, sf), search_queries(spark, sf), *index(spark, sf))
