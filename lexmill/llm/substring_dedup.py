@@ -1,7 +1,8 @@
 """Substring dedup: remove sentences that a repeated run of sentences covers, except where the run stands first.
 
 A text's sentences end at a word with . ! or ? last, or at a line break; one of over ``LONGEST`` words is cut after
-each ``LONGEST``. The runs are all shortest ones of at least two sentences and ``LEAST_WORDS`` words, from each
+words of certain hashes (one in eight; and where that leaves over twice as many, after each so many), so that a passage
+is cut alike wherever it begins in a sentence. The runs are all shortest ones of at least two sentences and ``LEAST_WORDS`` words, from each
 sentence on and back from each sentence; so a repeated passage is covered from its first whole sentence to its last.
 Every run is hashed from its lower-cased words. The hashes are counted over all documents, with partial counts before
 the shuffle; a run is first in the document of least id, at its first place there, and every other one is removed.
@@ -9,8 +10,7 @@ the shuffle; a run is first in the document of least id, at its first place ther
 Cases: null and empty texts have no sentences and stay as they are; a text all of whose sentences go becomes empty;
 rows with the same id count as one document, each with its own text; a null id keeps its text whole.
 Columns of a result's name are replaced.
-Hot runs: the counting is pre-aggregated; the join back is by broadcast up to ``BROADCAST_RUNS`` repeated runs, else
-by a shuffle in which AQE splits hot runs.
+Hot runs: the counting is pre-aggregated; the join back is from a written table, so AQE splits hot runs.
 """
 
 from __future__ import annotations
@@ -26,26 +26,29 @@ from lexmill.llm.arrays import NOT_SPACE, Powers, byte_class, slices, span_hashe
 from lexmill.llm.frames import free
 from lexmill.session import save, ship_package, table
 
-LONGEST = 16
+LONGEST = 24
 LEAST_WORDS = 20
-BROADCAST_RUNS = 4_000_000
+_CUT = np.uint64(7)
 _STOP = byte_class([(0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
 
 
 class Sentences:
     """The sentences of a slice of texts, numbered through: first word of each (and an end), and each text's first sentence."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, at: np.ndarray, powers: Powers) -> None:
         self.starts, self.ends, self.word_first = word_bounds(data, at, NOT_SPACE)
         n = len(self.starts)
+        self.hashes = span_hashes(data, self.starts, self.ends, powers, True) if n else np.zeros(0, np.uint64)
         opens = np.zeros(n + 1, bool)
         opens[self.word_first] = True
         if n:
             lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
             opens[1:n] |= _STOP[data[self.ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[self.ends[:-1]])
+            size = np.diff(np.concatenate([np.flatnonzero(opens[:n]), [n]]))
+            opens[1:n] |= ((self.hashes & _CUT) == 0)[:-1] & np.repeat(size > LONGEST, size)[:-1]
         first = np.flatnonzero(opens[:n])
         within = np.arange(n) - np.repeat(first, np.diff(np.concatenate([first, [n]])))
-        opens[:n] |= within % LONGEST == 0
+        opens[:n] |= within % (2 * LONGEST) == 0
         self.word = np.concatenate([np.flatnonzero(opens[:n]), [n]])
         self.first = np.searchsorted(self.word[:-1], self.word_first)
 
@@ -65,11 +68,11 @@ class Sentences:
 
 def run_rows(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     """(hash, text, first sentence in the text, end sentence, whether the text has that hash before) of all runs."""
-    s = Sentences(data, at)
+    s = Sentences(data, at, powers)
     text, i, j = s.runs()
     if not len(i):
         return (np.zeros(0, np.uint64), text, i, j, np.zeros(0, bool))
-    words = span_hashes(data, s.starts, s.ends, powers, True)
+    words = s.hashes
     up, down = powers.upto(len(words))
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
@@ -94,11 +97,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    powers = Powers()
     for texts, marks in batches:
         out, total, gone, spans = [], [], [], []
         marked = marks.to_pylist()
         for a, b, data, at in slices(texts):
-            s = Sentences(data, at)
+            s = Sentences(data, at, powers)
             for k in range(a, b):
                 lo, hi = int(s.first[k - a]), int(s.first[k - a + 1])
                 total.append(hi - lo)
@@ -137,8 +141,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = rows.mapInArrow(_runs, "h long, doc long, version long, i int, j int, again boolean")
     counted = runs.filter("not again and doc is not null").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("first"))
     repeated = save(counted.filter("c > 1").select("h", "first"), "runs")
-    if repeated.count() <= BROADCAST_RUNS:
-        repeated = F.broadcast(repeated)
     later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "version", "i", "j")
     return later.unionByName(runs.filter("again").select("doc", "version", "i", "j"))
 

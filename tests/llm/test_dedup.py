@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lexmill.llm.arrays import Powers, span_hashes
 from lexmill.llm.components import components
 from lexmill.llm.near_dedup import near_duplicates, op5_near_dedup
 from lexmill.llm.sketches import minhash
@@ -93,14 +94,25 @@ def test_minhash_estimates_similarity():
 def pieces(text):
     b = (text or "").encode()
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
-    out, now = [], []
+    low = [b[x:y].translate(LOWER) for x, y in words]
+    whole, now = [], []
     for k, (x, y) in enumerate(words):
         now.append(k)
         line = k + 1 < len(words) and b"\n" in b[y : words[k + 1][0]]
-        if b[y - 1 : y] in (b".", b"!", b"?") or line or len(now) == 16 or k == len(words) - 1:
-            out.append(now)
+        if b[y - 1 : y] in (b".", b"!", b"?") or line or k == len(words) - 1:
+            whole.append(now)
             now = []
-    return b, words, [b[x:y].translate(LOWER) for x, y in words], out
+    out = []
+    for sentence in whole:
+        if len(sentence) > 24:
+            ends = np.array([len(low[k]) for k in sentence]).cumsum()
+            h = span_hashes(np.frombuffer(b"".join(low[k] for k in sentence), np.uint8), ends - [len(low[k]) for k in sentence], ends, Powers(), True)
+            cuts = [k + 1 for k in range(len(sentence) - 1) if not int(h[k]) & 7]
+            parts = [sentence[x:y] for x, y in zip([0, *cuts], [*cuts, len(sentence)], strict=True)]
+            out += [p[k : k + 48] for p in parts for k in range(0, len(p), 48)]
+        else:
+            out.append(sentence)
+    return b, words, low, out
 
 
 def brute_repeats(rows):
@@ -162,7 +174,6 @@ def test_repeats_spans_and_ids(spark, docs):
 
 @pytest.mark.parametrize("chunk", [1, 3])
 def test_sketches_do_not_depend_on_batches(chunk):
-    from lexmill.llm.arrays import Powers
     from lexmill.llm.sketches import sketch_batch
 
     texts = ["a b c d e f g", None, "x", "h i j k l m n o p", "Ñ é", ""]
