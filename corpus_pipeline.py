@@ -15,26 +15,24 @@ from lexmill.llm.poisson_mix import mix_sources
 from lexmill.llm.sharding import shard
 from lexmill.session import save, table
 
-#: A document whose language has less than this probability is rejected, as is one without a letter.
-LEAST_SCORE = 0.3
 SHARDS = 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: not ``und``, and with a probability of at least ``LEAST_SCORE``."""
+    """Documents that have a language: those without a text or without a letter (``und``) go."""
     known = identify_language(docs, table(spark, sf_dir, "documents").filter(~held_out()), prefix="_lid_")
-    return known.filter((F.col("_lid_lang_pred") != "und") & (F.col("_lid_score") >= LEAST_SCORE)).select(*docs.columns)
+    return known.filter(F.col("_lid_lang_pred") != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates, once if its row is repeated."""
+    """The document of least id of each group of near-duplicates. Rows of one id stay together, as do those without an id."""
     groups = near_duplicates(docs)
     gone = groups.filter("doc is not null and doc <> component").select(F.col("doc").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows don't cover to a twentieth of their words."""
+    """Documents of whose words benchmark windows cover less than a twentieth."""
     return find_contamination(docs, table(spark, sf_dir, "benchmark"), name="_hits").filter(~contaminated(F.col("_hits"))).select(*docs.columns)
 
 
