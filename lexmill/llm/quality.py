@@ -8,7 +8,8 @@ of the text. The margin becomes a probability by a logistic fit to margins of th
 true class shares. Scores read nothing but the text.
 
 Cases: a null text scores as an empty one (its margin is the bias); rows with a null label teach nothing; with one
-class only, all texts score that class's share; a document labelled more than once counts each time.
+class only, all texts score that class's share; a document labelled more than once counts each time; a column
+of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -177,7 +178,8 @@ def sample_classes(labelled: DataFrame, text_col: str, label_col: str, n0: int,
     text = F.coalesce(F.col(text_col), F.lit(""))
     picked = labelled.filter(F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
     place = 1 + F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - EXCERPT, F.lit(1))).cast("int")
-    got = picked.select(F.substring(text, place, F.lit(EXCERPT)).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text, label_col).alias("h")).orderBy("h", "t").collect()
+    got = picked.select(F.substring(text, place, F.lit(EXCERPT)).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text, label_col).alias("h")).collect()
+    got.sort(key=lambda r: (r["h"], r["t"]))
     return [r["t"] for r in got], [r["y"] for r in got]
 
 
