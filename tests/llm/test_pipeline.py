@@ -1,13 +1,8 @@
 """The pipeline's stages on a small corpus with planted cases, and over whole tables against the operators."""
 
-import importlib.util
-
 import pytest
 from pyspark.sql import functions as F
 
-if not importlib.util.find_spec("corpus_pipeline"):
-    pytest.skip("no pipeline", allow_module_level=True)
-
 import corpus_pipeline as pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, shard string"
