@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import NOT_SPACE, Powers, slices, span_hashes, word_bounds
 from lexmill.llm.language_id import held_out
-from lexmill.session import ship_package, table
+from lexmill.session import save, ship_package, table
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -186,9 +186,9 @@ def sample_classes(labelled: DataFrame, text_col: str, label_col: str, n0: int,
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | float:
     """A model of label 1 against 0, or the share of label 1 where only one class is known (0.5 without labels)."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_y"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    labelled = docs.select(id_col, text_col).join(known, id_col)
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    labelled = docs.select(id_col, text_col).join(F.broadcast(known) if few else known, id_col).select(text_col, "_y")
+    labelled = labelled if few else save(labelled, "labelled")  # the texts are shuffled once, for counts and sample
     n0, n1 = class_counts(labelled, text_col, "_y")
     if not n0[-1] or not n1[-1]:
         return float(n1[-1] / max(1, n0[-1] + n1[-1])) if n0[-1] + n1[-1] else 0.5

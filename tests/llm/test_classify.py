@@ -79,6 +79,17 @@ def test_quality_edge_cases(spark, docs):
     assert score_quality(docs([]), model).count() == 0
 
 
+def test_quality_by_shuffle_is_the_same(spark, docs, monkeypatch):
+    import lexmill.llm.quality as q
+
+    rows = docs([(k, f"good words {k}") for k in range(0, 40, 2)] + [(k, f"### {k} %%%") for k in range(1, 40, 2)])
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int")
+    a = train_quality(rows, labels)
+    monkeypatch.setattr(q, "BROADCAST_ROWS", 0)
+    b = train_quality(rows, labels)
+    assert np.allclose(a.weights, b.weights) and (a.bias, a.slope) == (b.bias, b.slope)
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
