@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm.decontam import op6_decontamination
+from lexmill.llm.decontam import OP6_SQL, op6_decontamination
 from lexmill.llm.language_id import op7_language_id
 from lexmill.llm.mpeg_audio import op8_mpeg_audio
-from lexmill.llm.near_dedup import op5_near_dedup
+from lexmill.llm.near_dedup import OP5_SQL, op5_near_dedup
 from lexmill.llm.poisson_mix import OP10_SQL, op10_poisson_mix
 from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": OP3_SQL,
+    "op5_near_dedup": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
     "op10_poisson_mix": OP10_SQL,
 }
