@@ -1,4 +1,4 @@
-"""Rows from pages already fetched: links, headings, paragraphs and panels, by the standard library's HTML parser in Arrow batches."""
+"""Rows from pages already fetched: elements by the standard library's HTML parser in Arrow batches, the rest by joins and aggregates."""
 
 from __future__ import annotations
 
@@ -7,84 +7,155 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from lexmill.functions.text import found, parse_date
 from lexmill.session import ship_package
 
 _HIDDEN = {"script", "style", "template", "noscript"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_ENDS_P = {"p", "div", "ul", "ol", "table", "article", "section", "form", "h1", "h2", "h3", "h4"}
+ELEMENTS = "orden int, padre int, etiqueta string, clases array<string>, destino string, texto string"
 
 
 class _Reader(HTMLParser):
+    """Elements in order of their begins: [parent, tag, classes, target, text parts]."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, str, str]] = []
-        self.open: list[tuple[str, str, list[str]]] = []
+        self.rows: list[list] = []
+        self.open: list[int] = []
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _HIDDEN:
             self.hidden += 1
+            return
+        if tag in _ENDS_P and self.open and self.rows[self.open[-1]][1] == "p":
+            self.open.pop()
         a = dict(attrs)
-        if tag == "p":
-            self._close("p")
-        if tag in ("a", "p", "h1", "h2", "h3", "li", "title"):
-            self.open.append((tag, a.get("href") or "", []))
-        if tag == "div" and "panel" in (a.get("class") or ""):
-            self.rows.append(("panel", (a.get("class") or "").strip(), ""))
-
-    def _close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                kind, href, parts = self.open.pop(k)
-                self.rows.append((kind, href, re.sub(r"\s+", " ", "".join(parts)).strip()))
-                return
+        target = a.get("href") or a.get("action") or a.get("src")
+        self.rows.append([self.open[-1] if self.open else None, tag, (a.get("class") or "").split(), target, []])
+        if tag not in _VOID:
+            self.open.append(len(self.rows) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        self._close(tag)
+            return
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.rows[self.open[k]][1] == tag:
+                del self.open[k:]
+                return
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            for _, _, parts in self.open:
-                parts.append(data)
-
-    def close(self) -> None:
-        super().close()
-        for tag, _, _ in reversed(self.open[:]):
-            self._close(tag)
+            for k in self.open:
+                self.rows[k][4].append(data)
 
 
-def page_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, orden, clase, destino, texto, numero): a page's links, headings, paragraphs, list items and panels in order of their ends.
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, orden, padre, etiqueta, clases, destino, texto): the elements of each page, with all text inside; a null page has none.
 
-    ``numero`` is the record number of 'Ordenanza N° n' in the text. A null page has no rows.
+    Text is kept for elements that hold short pieces (links, headings, paragraphs, list items, cells, titles, labelled blocks).
     """
     ship_package(pages.sparkSession)
+    texts = {"a", "p", "h1", "h2", "h3", "h4", "li", "td", "th", "title", "span", "b", "label"}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for i, html in zip(ids, batch.column(1).to_pylist(), strict=True):
+            at, out = [], []
+            for k, html in enumerate(batch.column(1).to_pylist()):
                 if html is None:
                     continue
                 r = _Reader()
                 r.feed(html)
                 r.close()
-                for k, (kind, target, text) in enumerate(r.rows):
-                    m = re.search(r"Ordenanza\s+N[°º]\s*(\d{1,9})", text)
-                    out.append((i, k, kind, target, text, int(m[1]) if m else None))
+                for n, (parent, tag, classes, target, parts) in enumerate(r.rows):
+                    at.append(k)
+                    out.append((n, parent, tag, classes, target, re.sub(r"\s+", " ", "".join(parts)).strip() if tag in texts else None))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
-            types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["id", "orden", "clase", "destino", "texto", "numero"])
+            types = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["id", "orden", "padre", "etiqueta", "clases", "destino", "texto"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInArrow(read, f"id {kind}, orden int, clase string, destino string, texto string, numero long")
+    return pages.select(id_col, html_col).mapInArrow(read, f"id {kind}, {ELEMENTS}")
 
 
-def page_count(rows: DataFrame, last: str = r"[?&]page=(\d+)") -> DataFrame:
-    """(id, paginas): the greatest page number that a page's links name, 1 without any."""
-    from pyspark.sql import functions as F
+def page_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, orden, clase, destino, texto, numero): links, headings, paragraphs, list items and titles of each page.
+
+    ``numero`` is the record number of 'Ordenanza N° n' in the text.
+    """
+    rows = elements(pages, id_col, html_col).filter(F.col("etiqueta").isin("a", "p", "h1", "h2", "h3", "li", "title"))
+    return rows.select("id", "orden", F.col("etiqueta").alias("clase"), F.coalesce("destino", F.lit("")).alias("destino"), "texto", F.regexp_extract("texto", r"Ordenanza\s+N[°º]\s*(\d{1,9})", 1).try_cast("long").alias("numero"))
+
 
-    n = F.regexp_extract("destino", last, 1).try_cast("int")
+def page_count(rows: DataFrame, page: str = r"[?&]page=(\d+)") -> DataFrame:
+    """(id, paginas): the greatest page number that a page's links name, 1 without any."""
+    n = F.regexp_extract("destino", page, 1).try_cast("int")
     return rows.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("clase") == "a", n)), F.lit(1)).alias("paginas"))
+
+
+def has_class(name: str) -> Column:
+    return F.array_contains("clases", name)
+
+
+def inside(rows: DataFrame, box: Column, deepest: int = 8) -> DataFrame:
+    """``rows`` within elements that ``box`` is true for, with ``caja`` (that element's orden) and ``caja_clases``; the element itself is in it."""
+    boxes = rows.filter(box).select("id", F.col("orden").alias("caja"), F.col("clases").alias("caja_clases"), F.col("orden"))
+    found_, level = boxes, boxes
+    links = rows.select("id", F.col("orden").alias("_child"), F.col("padre").alias("orden"))
+    for _ in range(deepest):
+        level = level.join(links, ["id", "orden"]).select("id", "caja", "caja_clases", F.col("_child").alias("orden"))
+        found_ = found_.unionByName(level)
+    return rows.join(found_, ["id", "orden"])
+
+
+def bulletins(rows: DataFrame) -> DataFrame:
+    """(id, boletin_id, numero, titulo, fecha) of listing pages: boxes of class ``bulletin`` with a title, a date and a form's action."""
+    own = inside(rows, has_class("bulletin") & (F.col("etiqueta") == "div"))
+    first = lambda c, v: F.min_by(v, F.when(c, F.col("orden")))
+    got = own.groupBy("id", "caja").agg(
+        first(has_class("bulletin-title"), F.col("texto")).alias("titulo"),
+        first(has_class("bulletin-date"), F.col("texto")).alias("_date"),
+        first((F.col("etiqueta") == "form") & F.col("destino").rlike(r"/bulletins/\d+"), F.regexp_extract("destino", r"/bulletins/(\d+)", 1)).alias("_id"),
+    )
+    return got.filter("titulo is not null and _id is not null").select("id", F.col("_id").cast("long").alias("boletin_id"), F.regexp_extract("titulo", r"(\d+)", 1).try_cast("int").alias("numero"), "titulo", parse_date("_date").alias("fecha"))
+
+
+def contents(rows: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(items, unknown panels) of bulletin pages: links of class ``content-link`` in panels, whose class after ``panel-`` names the kind.
+
+    Items: id, boletin_id, contenido_id, tipo, titulo, extractada, fecha; the first of each content id. Unknown: id, panel.
+    """
+    panel = F.regexp_replace(F.get(F.filter("caja_clases", lambda c: c.startswith("panel-") & (c != "panel-content")), F.lit(0)), "^panel-", "")
+    links = inside(rows, has_class("panel-content")).filter(has_class("content-link") & (F.col("etiqueta") == "a")).withColumn("panel", panel)
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v)]), F.col("panel"))
+    links = links.withColumn("tipo", kind)
+    unknown = links.filter("tipo is null").select("id", "panel").distinct()
+    known = links.filter("tipo is not null").select("id", "orden", "tipo", found(F.col("destino"), r"/contents/(\d+)").cast("long").alias("contenido_id"), found(F.col("destino"), r"/bulletins/(\d+)").cast("long").alias("boletin_id"), F.col("texto").alias("_all")).filter("contenido_id is not null")
+    parts = inside(rows, has_class("content-link") & (F.col("etiqueta") == "a")).filter("etiqueta = 'p'").groupBy("id", F.col("caja").alias("orden")).agg(F.min_by("texto", F.col("orden")).alias("titulo"), F.min_by("texto", F.when(has_class("city-and-date"), F.col("orden"))).alias("_date"))
+    items = known.join(parts, ["id", "orden"], "left")
+    items = items.select("id", "boletin_id", "contenido_id", "tipo", F.coalesce("titulo", F.lit("")).alias("titulo"), F.lower("_all").rlike("versi[oó]n extractada").alias("extractada"), parse_date("_date").alias("fecha"), "orden")
+    once = items.groupBy("contenido_id").agg(F.min(F.struct("id", "orden", "boletin_id", "tipo", "titulo", "extractada", "fecha")).alias("m"))
+    return once.select("m.id", "m.boletin_id", "contenido_id", "m.tipo", "m.titulo", "m.extractada", "m.fecha"), unknown
+
+
+def norm_details(rows: DataFrame) -> DataFrame:
+    """(id, titulo, numero_registro, cuerpo, anexos) of norm pages.
+
+    The body is the column's paragraphs without the date line, a blank line between; the record number is what the
+    heading ends with, unless that is a legal number with its year; annexes are download links with their names.
+    """
+    column = inside(rows, has_class("col-md-9"))
+    p = column.filter((F.col("etiqueta") == "p") & ~has_class("city-and-date") & (F.col("texto") != ""))
+    body = p.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("orden", "texto"))).alias("_p")).select("id", F.array_join(F.transform("_p", lambda x: x["texto"]), "\n\n").alias("cuerpo"))
+    heads = column.filter("etiqueta = 'h1'").groupBy("id").agg(F.min_by("texto", "orden").alias("titulo"))
+    annex = inside(rows, has_class("annex")).groupBy("id", "caja").agg(F.min_by("texto", F.when(has_class("annex-name"), F.col("orden"))).alias("nombre"), F.min_by("destino", F.when(F.contains("destino", F.lit("download_annex")), F.col("orden"))).alias("url"))
+    annexes = annex.filter("url is not null").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("caja", F.coalesce("nombre", F.lit("Anexo")).alias("nombre"), "url"))), lambda x: F.struct(x["nombre"].alias("nombre"), x["url"].alias("url"))).alias("anexos"))
+    number = F.when(~F.col("titulo").rlike(r"\d+\s*/\s*\d{2,4}"), F.regexp_extract("titulo", r"(\d+)\s*$", 1).try_cast("long"))
+    out = heads.join(body, "id", "full_outer").join(annexes, "id", "left")
+    return out.select("id", "titulo", number.alias("numero_registro"), "cuerpo", F.coalesce("anexos", F.array()).alias("anexos"))

@@ -267,3 +267,30 @@ def test_upsert_and_append(spark):
     assert {tuple(r) for r in J.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     batch = spark.createDataFrame([(3, "y"), (3, "x"), (1, "z"), (None, "n")], "k int, v string")
     assert [tuple(r) for r in J.append_new(old, batch, "k", "v").collect()] == [(3, "x")]
+
+
+LISTING = '<div class="bulletin"><p class="bulletin-title">Boletín N° 12</p><p class="bulletin-date">03/04/2020</p><form class="button_to" action="/bulletins/77"><input></form></div><div class="bulletin"><p class="bulletin-title">sin enlace</p></div>'
+PANELS = '<div class="panel-content panel-decrees"><a class="content-link" href="/bulletins/7/contents/91"><div class="white-box"><p>Decreto 5</p><p class="city-and-date">Azul, 05/06/2020</p> Versión extractada</div></a></div><div class="panel-content panel-odd"><a class="content-link" href="/bulletins/7/contents/92"><p>x</p></a></div>'
+DETAIL = '<div id="frontend-container"><div class="col-md-9"><h1 class="title">Ordenanza 45</h1><p class="city-and-date">Azul</p><p>uno</p><p>dos</p></div><div class="row annex"><p class="annex-name">Plano</p><a href="/download_annex/3">ver</a></div></div>'
+
+
+def test_pages_of_a_crawl(spark):
+    from lexmill.sources import html_rows as H
+
+    rows = H.elements(spark.createDataFrame([(1, LISTING), (2, PANELS), (3, DETAIL), (4, PANELS), (5, None)], "page_id long, html string"))
+    assert [tuple(r) for r in H.bulletins(rows).collect()] == [(1, 77, 12, "Boletín N° 12", datetime.date(2020, 4, 3))]
+    items, unknown = H.contents(rows, {"decrees": "decreto"})
+    assert [tuple(r) for r in items.collect()] == [(2, 7, 91, "decreto", "Decreto 5", True, datetime.date(2020, 6, 5))]
+    assert {tuple(r) for r in unknown.collect()} == {(2, "odd"), (4, "odd")}
+    detail = H.norm_details(rows).filter("id = 3").first()
+    assert (detail.titulo, detail.numero_registro, detail.cuerpo, [tuple(a) for a in detail.anexos]) == ("Ordenanza 45", 45, "uno\n\ndos", [("Plano", "/download_annex/3")])
+    links = H.page_rows(spark.createDataFrame([(1, '<a href="?page=4">4</a><a href="?page=12">x</a>')], "page_id long, html string"))
+    assert H.page_count(links).first()["paginas"] == 12
+
+
+def test_json_state(spark, tmp_path):
+    from lexmill.sources.corpus import read_state
+
+    (tmp_path / "a.json").write_text('[{"cid": 1, "estado": "ok"},\n {"cid": 2}]')
+    (tmp_path / "b.json").write_text('{"cid": 3, "x": [1]}')
+    assert sorted((r.cid, r.estado) for r in read_state(spark, str(tmp_path), "cid long, estado string").collect()) == [(1, "ok"), (2, None), (3, None)]
