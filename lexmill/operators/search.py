@@ -17,16 +17,20 @@ def tokens(text):
 
 def postings(norms: DataFrame, fields: dict[str, float], id_col: str = "id") -> DataFrame:
     """(term, id, tf, wtf, dl): term counts over the fields, their weighted sum, and the document's length in terms."""
-    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
-    every = F.concat(*[F.transform(tokens(F.col(f)), weigh(w)) for f, w in fields.items()])
-    rows = norms.select(F.col(id_col).alias("id"), every.alias("_t")).select("id", F.size("_t").alias("dl"), F.explode("_t").alias("t"))
-    return rows.groupBy("t.term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sum("t.w").alias("wtf"), F.max("dl").alias("dl"))
-
-
-def corpus_shape(norms: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: documents n, and their mean length avgdl."""
-    length = sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0))
-    return norms.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
+    names, weight = [f"_t{k}" for k in range(len(fields))], F.lit(0.0)
+    rows = norms.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(t) for f, t in zip(fields, names, strict=True)])
+    bounds = [sum((F.size(t) for t in names[: k + 1]), F.lit(0)).alias(f"_n{k}") for k in range(len(names))]
+    rows = rows.select("id", *bounds, F.concat(*names).alias("_t"))
+    rows = rows.select("id", *[f"_n{k}" for k in range(len(names))], F.posexplode("_t").alias("_at", "term"))
+    for k, w in reversed(list(enumerate(fields.values()))):
+        weight = F.when(F.col("_at") < F.col(f"_n{k}"), float(w)).otherwise(weight)
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sum(weight).alias("wtf"), F.max(f"_n{len(names) - 1}").alias("dl"))
+
+
+def corpus_shape(norms: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: documents n, and their mean length avgdl. The lengths come from the index, which should be a written table."""
+    both = norms.select(F.lit(1).alias("n"), F.lit(0).cast("long").alias("t")).unionByName(index.select(F.lit(0).alias("n"), F.col("tf").alias("t")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.coalesce(F.sum("t"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, query_col: str = "query", id_col: str = "query_id") -> DataFrame:

@@ -303,7 +303,8 @@ sc AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
 
 def index(spark, sf):
     n = normas(spark, sf)
-    return R.postings(n, {"titulo": 4.0, "texto": 1.0}), R.corpus_shape(n, ["titulo", "texto"])
+    terms = save(R.postings(n, {"titulo": 4.0, "texto": 1.0}), "postings")
+    return terms, R.corpus_shape(n, terms)
 
 
 @query("r1_postings", f"WITH {_INDEX} SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM p GROUP BY 1")
