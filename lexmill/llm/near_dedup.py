@@ -13,8 +13,10 @@
    blocks of ``BLOCK`` by ``BLOCK``. So no link inside a cluster is lost, though not all pairs are formed: pairs within
    the largest component need no check, as the result is components.
 
-Hot groups: exact copies are one class from the first aggregation on (pre-aggregated before the shuffle); a large
-group of near copies is linked by its best pairs and the blocks of the few that are left. A document without words has
+Hot groups: exact copies are one class from the first aggregation on (pre-aggregated before the shuffle). A region of
+over ``REGION`` classes is dealt into parts, in each tree by another hash, whose neighbours and first classes are the
+candidates; so a large group of near copies is in no single task, and it is linked by its best pairs and the blocks of
+the few that are left. A document without words has
 no shingles and is its own component; a null id has a null component and isn't kept; rows with the same id count as
 one document. Other columns are left alone.
 """
@@ -33,6 +35,8 @@ from lexmill.llm.components import components, union_find
 from lexmill.llm.sketches import SKETCH, TREES, agreement, shingle_sets, sketch_batch
 from lexmill.session import save, ship_package, table
 
+#: Rows of a region that are ordered in one task; larger regions are dealt into parts by a hash.
+REGION = 256
 BEST = 3
 BLOCK = 48
 LEAST_AGREEMENT = 0.62
@@ -61,9 +65,15 @@ def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b, agreement) of classes that are neighbours in some tree and pass the sketch filter."""
     keys = classes.select("rep", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(TREES)).alias("tree"), "high", "low")).alias("k")).select("rep", "k.tree", "k.high", "k.low")
-    order = Window.partitionBy("tree", "high").orderBy("low", "rep")
-    near = keys.select("rep", *[F.lag("rep", k).over(order).alias(f"p{k}") for k in (1, 2)])
-    pairs = near.filter("p1 is not null").select("rep", F.explode(F.array("p1", "p2")).alias("p")).filter("p is not null and p <> rep")
+    sizes = keys.groupBy("tree", "high").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    part = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / REGION)).cast("int")
+    rows = keys.join(sizes, ["tree", "high"]).withColumn("part", part)
+    order = Window.partitionBy("tree", "high", "part").orderBy("low", "rep")
+    near = rows.select("rep", "tree", "high", "part", "size", F.row_number().over(order).alias("k"), *[F.lag("rep", k).over(order).alias(f"p{k}") for k in (1, 2)])
+    pairs = near.filter("p1 is not null").select("rep", F.explode(F.array("p1", "p2")).alias("p"))
+    heads = near.filter((F.col("k") == 1) & (F.col("size") > REGION))
+    pairs = pairs.unionByName(heads.select("rep", F.lag("rep").over(Window.partitionBy("tree", "high").orderBy("part")).alias("p")))
+    pairs = pairs.filter("p is not null and p <> rep")
     pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")

@@ -50,7 +50,7 @@ def test_near_whole_table(spark, small):
     assert got == brute_components(rows)
 
 
-def test_near_hot_group(spark, docs):
+def test_near_hot_group(spark, docs, monkeypatch):
     """Many edited copies of one text: links are hub-like, and blocks must find what best pairs leave."""
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
@@ -61,7 +61,14 @@ def test_near_hot_group(spark, docs):
             words[rng.randrange(len(words))] = f"e{rng.random()}"
         rows.append((i, " ".join(words)))
     rows += [(i, rows[i % 260][1]) for i in range(300, 400)]
-    assert near(docs(rows)) == brute_components(rows)
+    want = brute_components(rows)
+    assert near(docs(rows)) == want
+    import lexmill.llm.near_dedup as d
+
+    monkeypatch.setattr(d, "REGION", 16)  # crowded regions in parts
+    monkeypatch.setattr(d, "BLOCK", 8)
+    monkeypatch.setattr(d, "BROADCAST_IDS", 0)
+    assert near(docs(rows)) == want
 
 
 def test_near_edge_cases(spark, docs):
