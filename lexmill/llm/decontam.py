@@ -10,7 +10,8 @@ Words: A-Z in lower case, then runs of letters, digits and non-ASCII bytes. A wi
 item, or the whole of a shorter one. Cases: null and empty texts have no words and are never contaminated; an empty
 benchmark hits nothing; equal windows of several items count for each; texts of any length are read whole. Words are
 told apart by 64-bit hashes. The benchmark reaches tasks in parts of at most ``PART_BYTES`` of text (of one item, if
-that is larger); beyond one part, the documents are passed over once for each.
+that is larger); beyond one part, the documents are passed over once for each,
+and the parts' spans are joined by the words they cover. Rows of one id are one item.
 A column of the result's name is replaced.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ class Windows:
     """The distinct windows of some items, over a vocabulary numbered from 1."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
+        number: dict[str, int] = {}
+        same = [number.setdefault(str(i), len(number)) for i, _ in items]  # rows of one id are one item
+        self.names = list(number)
         powers, hashes, owner = Powers(), [], []
         for a, _, data, at in slices(pa.array([t for _, t in items], pa.string())) if items else []:
             starts, ends, first = word_bounds(data, at, ALNUM)
@@ -45,8 +50,7 @@ class Windows:
                 own = h[first[k] : first[k + 1]]
                 if len(own):
                     hashes.append(own)
-                    owner.append(a + k)
-        self.names = [str(i) for i, _ in items]
+                    owner.append(same[a + k])
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         found: dict[bytes, set[int]] = {}
         for own, k in zip(hashes, owner, strict=True):
@@ -258,7 +262,7 @@ class Scanner:
         spans: list[list[dict]] = [[] for _ in range(docs)]
         for o, c in zip(opens.tolist(), closes.tolist(), strict=True):
             d = int(np.searchsorted(first, o, "right")) - 1
-            spans[d].append({"first_byte": int(starts[o] - text_at[d]), "end_byte": int(ends[c] - text_at[d]), "n_words": c - o + 1})
+            spans[d].append({"first_byte": int(starts[o] - text_at[d]), "end_byte": int(ends[c] - text_at[d]), "n_words": c - o + 1, "first_word": o - int(first[d])})
         out["n_words"] += np.diff(first).tolist()
         out["n_hit"] += (total[first[1:]] - total[first[:-1]]).tolist()
         out["items"] += items
@@ -294,13 +298,15 @@ class Scanner:
         return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
 
 
-RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<first_byte:bigint,end_byte:bigint,n_words:bigint>>>"
+SPANS = "array<struct<first_byte:bigint,end_byte:bigint,n_words:bigint,first_word:bigint>>"
+RESULT = f"struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:{SPANS}>"
+_SPAN = pa.struct([(k, pa.int64()) for k in ("first_byte", "end_byte", "n_words", "first_word")])
 _ARROW = pa.struct(
     [
         ("n_words", pa.int64()),
         ("n_hit", pa.int64()),
         ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64()), ("n_words", pa.int64())]))),
+        ("spans", pa.list_(_SPAN)),
     ]
 )
 
@@ -330,18 +336,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for k in range(parts):
         part = items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()
         docs = save(docs.withColumn(held[k], _scan(docs, text_col, Windows([(r.i, r.t) for r in part]))), "decontam")
-    return docs.withColumn(name, _merged(*[F.col(h) for h in held])).drop(*held)
+    docs = docs.withColumn(name, _merged(*[F.col(h) for h in held])).drop(*held)
+    return docs.withColumn(name, F.col(name).withField("n_hit", F.aggregate(F.col(name).spans, F.lit(0).cast("bigint"), lambda n, s: n + s.n_words)))
+
+
+def _union(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text's spans joined where they overlap or touch by words."""
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch), 0).to_numpy().astype(np.int64)
+        flat = batch.flatten()
+        first_byte, end_byte, n_words, first_word = (flat.field(k).to_numpy() for k in range(4))
+        text, end_word = np.repeat(np.arange(len(n)), n), first_word + n_words
+        order = np.lexsort((first_word, text))
+        width = int(end_word.max(initial=0)) + 1
+        reach = np.maximum.accumulate(text * width + end_word[order]) if len(order) else order
+        opens = np.flatnonzero(np.concatenate([[True], text[1:] * width + first_word[order][1:] > reach[:-1]])) if len(order) else order
+        joined = [first_byte[order][opens], np.maximum.reduceat(end_byte[order], opens) if len(opens) else opens]
+        joined += [np.maximum.reduceat(end_word[order], opens) - first_word[order][opens] if len(opens) else opens, first_word[order][opens]]
+        at = np.searchsorted(text[opens], np.arange(len(n) + 1)).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in joined], fields=list(_SPAN)))
 
 
 def _merged(*hits):
-    """The union of what the parts of a benchmark have hit; words of spans that overlap or touch are counted from the bytes."""
-    spans = F.array_sort(F.flatten(F.array(*[h.spans for h in hits])))
-    folded = F.aggregate(
-        spans,
-        F.array().cast("array<struct<first_byte:bigint,end_byte:bigint,n_words:bigint>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (s.end_byte <= F.get(a, F.size(a) - 1).end_byte), a).otherwise(F.concat(a, F.array(s))),
-    )
-    return F.struct(hits[0].n_words.alias("n_words"), F.aggregate(folded, F.lit(0).cast("bigint"), lambda a, s: a + s.n_words).alias("n_hit"), F.array_distinct(F.flatten(F.array(*[h.items for h in hits]))).alias("items"), folded.alias("spans"))
+    """The union of what the parts of a benchmark have hit; words are counted from the joined spans."""
+    spans = F.arrow_udf(_union, SPANS)(F.flatten(F.array(*[h.spans for h in hits])))
+    return F.struct(hits[0].n_words.alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array_distinct(F.flatten(F.array(*[h.items for h in hits]))).alias("items"), spans.alias("spans"))
 
 
 def contaminated(hits):

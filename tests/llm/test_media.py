@@ -103,6 +103,21 @@ def test_decontamination_in_parts(spark, docs, monkeypatch):
     assert find_contamination(rows, bench.limit(0)).filter(contaminated(__import__("pyspark").sql.functions.col("hits"))).count() == 0
 
 
+def test_decontamination_parts_overlap(spark, docs, monkeypatch):
+    import lexmill.llm.decontam as d
+
+    w = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(w[:20])), (2, " ".join(w[10:30])), (3, " ".join(w[30:44])), (4, " ".join(w[44:60])), (4, " ".join(w[40:55]))]
+    rows = docs([(1, " ".join(w[:35])), (2, "x " + " ".join(w)), (3, " ".join(w[:20] + ["y"] + w[10:30])), (4, None), (5, "z " * 40 + " ".join(w[5:30]))])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.hits.n_words, r.hits.n_hit, sorted(r.hits.items), r.hits.spans) for r in find_contamination(rows, bench).collect())
+    whole = found()
+    assert [r[2] for r in whole] == [30, 60, 40, 0, 25] and whole[1][3] == ["1", "2", "3", "4"]
+    for size in (50, 250, 400):
+        monkeypatch.setattr(d, "PART_BYTES", size)
+        assert found() == whole
+
+
 def test_long_text(spark):
     items = [(1, " ".join(f"w{k}" for k in range(13)))]
     text = "z " * 600_000 + items[0][1] + " z" * 10
