@@ -5,8 +5,10 @@ target weight x documents / documents of the source. The number comes from inver
 value hashed from key and seed, so a rerun, a retry or another partitioning gives the same mix. Copies are exploded
 and shuffled globally by a hashed order key.
 
-The inverse needs no table per source: the distribution's running sum is carried in a fold whose length is the least
-with a sum over the largest uniform value (1 - 2^-52), found from the largest rate. Rates are joined by broadcast as
+The inverse needs no table per source: the distribution's running sum is carried in a fold over as many terms as have
+a sum over the largest uniform value (1 - 2^-52), by each row's own rate. From ``LARGE`` on, where exp(-rate) comes near
+the least double, the fold starts at twelve deviations below the rate, with that term from Stirling's series; the terms
+before it sum to less than 2^-52, so only a uniform value of exactly 0 sees the difference. Rates are joined by broadcast as
 long as the sources number at most ``BROADCAST_SOURCES``, else by shuffle with the hot sources' rows split by AQE.
 
 Cases: a null source is a source of its own; equal keys get equal counts; a null key hashes as its own value; a null
@@ -27,6 +29,8 @@ from lexmill.session import table
 BROADCAST_SOURCES = 10_000
 #: Target weights follow counts to this power: 1 keeps the mix, 0 makes sources equal.
 TEMPERATURE = 0.5
+#: Rates above this are summed from near the least counts that occur, not from 0.
+LARGE = 500.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -35,22 +39,22 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
-def poisson_terms(rate: float) -> int:
-    """How many terms sum to more than 1 - 2^-52, for rates up to ``rate``: a bound on the count."""
-    return int(math.ceil(rate + 12 * math.sqrt(rate) + 30))
-
-
-def poisson_count(u: Column, rate: Column, terms: int) -> Column:
+def poisson_count(u: Column, rate: Column) -> Column:
     """The least k with u < P(X <= k) for X of Poisson law, by a running sum of terms."""
-    zero = F.exp(-rate)
-    start = F.struct(zero.alias("term"), zero.alias("sum"), F.lit(0).alias("k"))
+    wide = F.sqrt(rate) * 12 + 30
+    large = rate > LARGE
+    least = F.when(large, F.floor(rate - wide)).otherwise(F.lit(0)).cast("int")
+    # ln of rate^k exp(-rate) / k! with ln k! from Stirling's series
+    log_term = least * F.log(rate / least) + (least - rate) - F.log(least * (2 * math.pi)) / 2 - 1 / (12.0 * least) + 1 / (360.0 * F.pow(least.cast("double"), F.lit(3.0)))
+    zero = F.exp(F.when(large, log_term).otherwise(-rate))
+    start = F.struct(zero.alias("term"), zero.alias("sum"), least.alias("k"))
 
     def step(a: Column, k: Column) -> Column:
         term = a["term"] * rate / k
         more = a["sum"] <= u
         return F.struct(term.alias("term"), F.when(more, a["sum"] + term).otherwise(a["sum"]).alias("sum"), F.when(more, k.cast("int")).otherwise(a["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["k"]
+    return F.aggregate(F.sequence(least + 1, F.ceil(rate + wide).cast("int")), start, step)["k"]
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", key_col: str = "doc_id", seed: str = "mix", temperature: float = TEMPERATURE, prefix: str = "") -> DataFrame:
@@ -69,15 +73,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, source
         given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]) if weights else None
         share = F.coalesce(F.element_at(given, F.col(key_name)), F.lit(0.0)) if weights else F.lit(0.0)
     counts = counts.withColumn("_share", share)
-    total = counts.agg(F.count(F.lit(1)), F.sum("_count"), F.sum("_share"), F.max(F.col("_share") / F.col("_count"))).first()
+    total = counts.agg(F.count(F.lit(1)), F.sum("_count"), F.sum("_share")).first()
     if not total[0] or not total[2]:
         return docs.limit(0).withColumn(copy, F.lit(0)).withColumn(order, F.lit(""))
     scale = total[1] / total[2]
     rates = counts.select(key_name, (F.col("_share") / F.col("_count") * F.lit(scale)).alias(rate))
     if total[0] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    terms = poisson_terms(total[3] * scale)
-    counted = docs.withColumn(key_name, name).join(rates, key_name).withColumn(n, poisson_count(uniform(F.col(key_col), seed), F.col(rate), terms))
+    counted = docs.withColumn(key_name, name).join(rates, key_name).withColumn(n, poisson_count(uniform(F.col(key_col), seed), F.col(rate)))
     copies = counted.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.col(copy)))
     return copies.withColumn(order, key).drop(key_name, rate, n).repartitionByRange(order).sortWithinPartitions(order)

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm.language_id import LENGTH, Predictor, identify_language, log_softmax, op7_language_id, train, windows_of
-from lexmill.llm.poisson_mix import mix_sources, op10_poisson_mix
+from lexmill.llm.poisson_mix import mix_sources, op10_poisson_mix, poisson_count
 from lexmill.llm.quality import op2_quality, score_quality, train_quality
 from lexmill.llm.sharding import jump, op4_sharding, shard
 from lexmill.llm.token_count import BpeArrays, count_tokens, model_path, op9_token_counts
@@ -152,6 +153,37 @@ def test_mix_counts(spark, docs):
     assert all(abs(t - 300) < 80 for t in totals)
 
 
+def exact_poisson(u, rate):
+    with localcontext() as c:
+        c.prec = 60
+        k, term, rate = 0, (-Decimal(rate)).exp(), Decimal(rate)
+        total = term
+        while total <= Decimal(u):
+            k += 1
+            term *= rate / k
+            total += term
+        return k
+
+
+def test_poisson_large_rates(spark):
+    ends = [1 / (1 << 52), 1e-12, 1e-5, 0.5, 1 - 1e-9]
+    us = ends + [k / 37 for k in range(1, 37)]
+    rates = [0.5, 30.0, 499.5, 500.5, 700.0, 708.5, 745.0, 800.0, 5000.0]
+    rows = spark.createDataFrame([(u, r) for u in us for r in rates], "u double, rate double")
+    for r in rows.withColumn("n", poisson_count(F.col("u"), F.col("rate"))).collect():
+        assert r.n == exact_poisson(r.u, r.rate), r
+
+
+def test_mix_one_document_source(spark, docs):
+    import hashlib
+
+    rows = docs([(k, "t") for k in range(1600)]).withColumn("source", F.when(F.col("doc_id") == 7, "rare").otherwise("large"))
+    got = Counter(r.doc_id for r in mix_sources(rows, temperature=0.0).collect())
+    u = {k: int(hashlib.md5(f"mix|{k}".encode()).hexdigest()[:13], 16) / (1 << 52) for k in range(1600)}
+    assert got[7] == exact_poisson(u[7], 800.0)
+    assert all(got[k] == poisson(u[k], 800 / 1599) for k in u if k != 7)
+
+
 def test_mix_edge_cases(spark, docs):
     rows = docs([(1, None), (1, None), (2, "x")])
     a = [tuple(r) for r in mix_sources(rows).collect()]
