@@ -4,8 +4,8 @@
    of eight of them. Documents with equal sets are one class, told apart by size and 128-bit digest.
 2. Forest: in each tree, classes stand in the order of their keys. Where neighbours share the first half of the key
    (four least values), they and the next but one are candidates; within such a region the order goes on by the second
-   half, so in a crowded region neighbours agree more deeply. A pair of similarity 0.75 shares a region of some tree
-   with a chance of 0.9999.
+   half, so in a crowded region neighbours agree more deeply; classes of an equal key stand by a hash, in each tree by
+   another. A pair of similarity 0.75 shares a region of some tree with a chance of 0.9999.
 3. Candidates whose sketches agree by less than 0.62 (over four standard errors below) or whose sizes can't reach the
    similarity leave. What is left joins classes to clusters.
 4. Confirmation on full sets. First each class's three best candidates; then, in clusters that these don't join whole,
@@ -13,10 +13,10 @@
    blocks of ``BLOCK`` by ``BLOCK``. So no link inside a cluster is lost, though not all pairs are formed: pairs within
    the largest component need no check, as the result is components.
 
-Hot groups: exact copies are one class from the first aggregation on (pre-aggregated before the shuffle). A region of
-over ``REGION`` classes is dealt into parts, in each tree by another hash, whose neighbours and first classes are the
-candidates; so a large group of near copies is in no single task, and it is linked by its best pairs and the blocks of
-the few that are left. A document without words has
+Hot groups: exact copies are one class from the first aggregation on (pre-aggregated before the shuffle). The order of a
+tree is cut into ranges anywhere, also within a region, and neighbours across the cuts are candidates like others; so
+a large group of near copies is in no single task, and it is linked by its best pairs and the blocks of the few that
+are left. A document without words has
 no shingles and is its own component; a null id has a null component and isn't kept; rows with the same id count as
 one document. Other columns are left alone.
 """
@@ -35,8 +35,9 @@ from lexmill.llm.components import components, union_find
 from lexmill.llm.sketches import SKETCH, TREES, agreement, shingle_sets, sketch_batch
 from lexmill.session import save, ship_package, table
 
-#: Rows of a region that are ordered in one task; larger regions are dealt into parts by a hash.
-REGION = 256
+#: Rows in order whose neighbours are formed at once; the last ones are carried on to the next.
+REGION = 1 << 16
+PLACES = 2
 BEST = 3
 BLOCK = 48
 LEAST_AGREEMENT = 0.62
@@ -62,18 +63,47 @@ def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(agreement(a, b))
 
 
+_EDGES = ["rep", "tree", "high", "low", "tie"]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of a region within ``PLACES`` of each other in a range of the order; and its first and last rows, without p."""
+    none = np.zeros((5, 0), np.int64)
+    last, n = none, 0
+
+    def edges(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.nulls(rows.shape[1], pa.int64()), *map(pa.array, rows[1:])], ["rep", "p", *_EDGES[1:]])
+
+    for batch in batches:
+        every = np.stack([batch.column(k).to_numpy() for k in range(5)]) if batch.num_rows else none
+        for at in range(0, every.shape[1], REGION):
+            own = every[:, at : at + REGION]
+            if n < PLACES:
+                yield edges(own[:, : PLACES - n])
+            n += own.shape[1]
+            rows = np.concatenate([last, own], 1)
+            found = []
+            for k in range(1, PLACES + 1):
+                x, y = rows[:, k:], rows[:, :-k]
+                same = (x[1] == y[1]) & (x[2] == y[2])
+                same[: max(0, last.shape[1] - k)] = False  # formed before
+                found.append((x[0][same], y[0][same]))
+            rep, p = (np.concatenate(f) for f in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(p), *[pa.nulls(len(rep), pa.int64())] * 4], ["rep", "p", *_EDGES[1:]])
+            last = rows[:, -PLACES:]
+    if n > PLACES:
+        yield edges(last[:, -(n - PLACES) :])
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b, agreement) of classes that are neighbours in some tree and pass the sketch filter."""
-    keys = classes.select("rep", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(TREES)).alias("tree"), "high", "low")).alias("k")).select("rep", "k.tree", "k.high", "k.low")
-    sizes = keys.groupBy("tree", "high").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    part = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / REGION)).cast("int")
-    rows = keys.join(sizes, ["tree", "high"]).withColumn("part", part)
-    order = Window.partitionBy("tree", "high", "part").orderBy("low", "rep")
-    near = rows.select("rep", "tree", "high", "part", "size", F.row_number().over(order).alias("k"), *[F.lag("rep", k).over(order).alias(f"p{k}") for k in (1, 2)])
-    pairs = near.filter("p1 is not null").select("rep", F.explode(F.array("p1", "p2")).alias("p"))
-    heads = near.filter((F.col("k") == 1) & (F.col("size") > REGION))
-    pairs = pairs.unionByName(heads.select("rep", F.lag("rep").over(Window.partitionBy("tree", "high").orderBy("part")).alias("p")))
-    pairs = pairs.filter("p is not null and p <> rep")
+    trees = F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long")).alias("tree")
+    keys = classes.select("rep", F.explode(F.arrays_zip(trees, "high", "low")).alias("k")).select("rep", "k.tree", "k.high", "k.low").withColumn("tie", F.xxhash64("rep", "tree"))
+    order = ["tree", "high", "low", "tie", "rep"]
+    near = save(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "rep long, p long, tree long, high long, low long, tie long"), "neighbours")
+    across = Window.partitionBy("tree", "high").orderBy("low", "tie", "rep")
+    borders = near.filter("p is null").select("rep", F.array(*[F.lag("rep", k).over(across) for k in range(1, PLACES + 1)]).alias("ps")).select("rep", F.explode("ps").alias("p"))
+    pairs = near.select("rep", "p").unionByName(borders).filter("p is not null")
     pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")

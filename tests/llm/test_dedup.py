@@ -71,6 +71,62 @@ def test_near_hot_group(spark, docs, monkeypatch):
     assert near(docs(rows)) == want
 
 
+def test_near_crowded_region(spark, docs, monkeypatch):
+    """Thousands of texts share a passage of 60 %, below the similarity; pairs planted among them are linked."""
+    import lexmill.llm.near_dedup as d
+
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(40)])) for i in range(4000)]
+    for i in range(100):
+        own = rows[20 * i][1].split()
+        at = 62 + rng.randrange(20)
+        rows.append((10_000 + i, " ".join(own[:at] + [f"e{i}x{k}" for k in range(8)] + own[at + 8 :])))
+    for i in range(100):
+        a, b = shingles(rows[20 * i][1]), shingles(rows[4000 + i][1])
+        assert 0.75 <= len(a & b) / len(a | b) < 0.8
+    monkeypatch.setattr(d, "REGION", 1000)
+    got = near(docs(rows))
+    linked = [i for i in range(100) if got[10_000 + i][1] == got[20 * i][1]]
+    assert len(linked) >= 95 and all(got[i][1] == i for i in range(4000))
+
+
+def test_candidates_of_equal_keys_in_a_crowded_region(spark):
+    """All classes of a region of 4,000 agree on the first half of every key; pairs that agree on the second meet."""
+    import lexmill.llm.near_dedup as d
+
+    rng = random.Random(4)
+    marks = [bytearray(rng.randbytes(192)) for _ in range(2000)]
+    rows = [(k, 50, marks[k // 2], [t for t in range(24)], [k // 2 * 31 + t for t in range(24)]) for k in range(4000)]
+    classes = spark.createDataFrame(rows, "rep long, n long, marks binary, high array<long>, low array<long>")
+    got = {(r.a, r.b) for r in d.candidates(classes).collect()}
+    assert got == {(k, k + 1) for k in range(0, 4000, 2)}
+
+
+def test_neighbours_across_borders(spark):
+    """In however many ranges the order is cut, the candidates are the same."""
+    import lexmill.llm.near_dedup as d
+
+    rows = [(k, 1, k // 700, k % 50, k % 7) for k in range(2000)]
+    rows = sorted(rows, key=lambda r: (*r[1:], r[0]))
+    want = {(x[0], y[0]) for n in (1, 2) for x, y in zip(rows[n:], rows, strict=False) if x[1:3] == y[1:3]}
+
+    def pairs(cuts):
+        out, edge = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            part = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a:b], strict=True)], d._EDGES)] if b > a else []
+            for batch in d._neighbours(iter(part)):
+                for r in batch.to_pylist():
+                    (edge if r["p"] is None else out).append(r)
+        edge = sorted(edge, key=lambda r: (r["tree"], r["high"], r["low"], r["tie"], r["rep"]))
+        assert len({r["rep"] for r in edge}) == len(edge)
+        across = {(x["rep"], y["rep"]) for n in (1, 2) for x, y in zip(edge[n:], edge, strict=False) if x["high"] == y["high"]}
+        return {(r["rep"], r["p"]) for r in out} | across
+
+    for cuts in ([], [1000], [1, 2, 3, 500, 500, 503, 1999], list(range(0, 2000, 10))):
+        assert pairs(cuts) >= want
+
+
 def test_near_edge_cases(spark, docs):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "A b"), (5, "a  B"), (6, "one two three four five"), (7, "ONE two three four five"), (8, "x " * 40_000), (9, "x " * 50_000)]
     got = near(docs(rows))
