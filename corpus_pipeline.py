@@ -54,7 +54,7 @@ STAGES = [
     ("shard", shards),
 ]
 
-#: A trained network decides in the first stage, which SQL can't express.
+#: None is written. The first stage's rule is that a text has a letter; its network's predictions don't filter.
 ORACLE_SQL = None
 
 
