@@ -8,11 +8,15 @@ by walking back to a sample, and the spans found are merged per document.
 
 Words: A-Z in lower case, then runs of letters, digits and non-ASCII bytes. A window is 13 consecutive words of an
 item, or the whole of a shorter one. Cases: null and empty texts have no words and are never contaminated; an empty
-benchmark hits nothing; equal windows of several items count for each; texts of any length are read whole. Words are
-told apart by 64-bit hashes. The benchmark reaches tasks in parts of at most ``PART_BYTES`` of text (of one item, if
-that is larger); beyond one part, the documents are passed over once for each,
-and the parts' spans are joined by the words they cover. Rows of one id are one item.
-A column of the result's name is replaced.
+benchmark hits nothing; equal windows of several items count for each; rows of one id are one item, and so are those
+without an id, which count as an item but have no name to list; a null item text has no window. Texts of any length are
+read whole: a stretch of over ``PIECE`` words is indexed in pieces that overlap by a window less one word. Words are told
+apart by 64-bit hashes. Rows of documents are told apart by their place, so repeated ids and rows are no matter.
+
+The benchmark's distinct rows reach tasks in parts of about ``PART_BYTES`` of text (of one item, if that is larger), dealt
+by a hash of id and text, so rows of one id fill no part. Beyond one part, documents are written once with the first
+part's hits and read again for each other part, which writes row numbers and hits; a row's spans are then joined by the
+words they cover. A column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -32,15 +36,18 @@ from lexmill.session import save, ship_package, table
 WINDOW = 13
 PART_BYTES = 8 << 20
 SHARD_SYMBOLS = 1 << 20
+PIECE = 1 << 19
 SAMPLE = 8
+#: A table of word numbers has at most this many bits of places; words that find none are searched for.
+TABLE_BITS = 21
 
 
 class Windows:
     """The distinct windows of some items, over a vocabulary numbered from 1."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
-        number: dict[str, int] = {}
-        same = [number.setdefault(str(i), len(number)) for i, _ in items]  # rows of one id are one item
+        number: dict[str | None, int] = {}
+        same = [number.setdefault(i if i is None else str(i), len(number)) for i, _ in items]  # rows of one id are one item
         self.names = list(number)
         powers, hashes, owner = Powers(), [], []
         for a, _, data, at in slices(pa.array([t for _, t in items], pa.string())) if items else []:
@@ -67,8 +74,8 @@ class Windows:
         self._table()
 
     def _table(self) -> None:
-        """Two tables probed by different bits of a hash, large enough that every word has a place."""
-        bits = max(8, int(len(self.vocabulary) * 8).bit_length())
+        """Two tables probed by different bits of a hash; the words that have no place in either stay in ``rest``."""
+        bits = min(TABLE_BITS, max(8, int(len(self.vocabulary) * 8).bit_length()))
         while True:
             self.shifts = np.uint64(64 - bits), np.uint64(max(0, 64 - 2 * bits))
             self.mask = np.uint64((1 << bits) - 1)
@@ -80,7 +87,8 @@ class Windows:
                 _, one = np.unique(at, return_index=True)
                 self.slots[k, at[one]], self.ids[k, at[one]] = self.vocabulary[left[one]], left[one] + 1
                 left = np.delete(left, one)
-            if not len(left) or bits > 26:
+            if not len(left) or bits >= TABLE_BITS:
+                self.rest, self.rest_ids = self.vocabulary[left], (left + 1).astype(np.int32)
                 return
             bits += 1
 
@@ -90,6 +98,9 @@ class Windows:
         for k in range(2):
             at = ((hashes >> self.shifts[k]) & self.mask).astype(np.int64)
             out += np.where(self.slots[k][at] == hashes, self.ids[k][at], np.int32(0))
+        if len(self.rest):
+            at = np.minimum(np.searchsorted(self.rest, hashes), len(self.rest) - 1)
+            out += np.where(self.rest[at] == hashes, self.rest_ids[at], np.int32(0))
         return out
 
 
@@ -281,8 +292,12 @@ class Scanner:
         opens, n = opens[use], (closes - opens)[use]
         if not len(opens):
             return none
+        over = self.windows.symbols.shape[1] - 1  # any window lies whole in some piece
+        pieces = np.maximum(1, -(-(n - over) // PIECE))
+        k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        opens, n = np.repeat(opens, pieces) + k * PIECE, np.minimum(np.repeat(n, pieces) - k * PIECE, PIECE + over)
         found = []
-        groups = np.cumsum(n + 1) // SHARD_SYMBOLS  # a stretch stays whole
+        groups = np.cumsum(n + 1) // SHARD_SYMBOLS  # a piece stays whole
         for g in np.unique(groups):
             o, m = opens[groups == g], n[groups == g]
             put = np.cumsum(m + 1) - (m + 1)
@@ -327,17 +342,25 @@ def _scan(docs: DataFrame, text_col: str, windows: Windows):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text: str = "text", name: str = "hits") -> DataFrame:
     """``docs`` with a struct of n_words, n_hit, the items whose windows occur, and the merged spans to remove."""
     ship_package(docs.sparkSession)
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
+
+    def scan(rows: DataFrame, k: int):
+        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        return _scan(rows, text_col, Windows([(r.i, r.t) for r in part.collect()]))
+
     if parts == 1:
-        return docs.withColumn(name, _scan(docs, text_col, Windows([(r.i, r.t) for r in items.collect()])))
-    held = free(docs, *[f"_part_{k}" for k in range(parts)])
-    for k in range(parts):
-        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()
-        docs = save(docs.withColumn(held[k], _scan(docs, text_col, Windows([(r.i, r.t) for r in part]))), "decontam")
-    docs = docs.withColumn(name, _merged(*[F.col(h) for h in held])).drop(*held)
-    return docs.withColumn(name, F.col(name).withField("n_hit", F.aggregate(F.col(name).spans, F.lit(0).cast("bigint"), lambda n, s: n + s.n_words)))
+        return docs.withColumn(name, scan(docs, 0))
+    docs = docs.drop(name)
+    row, first, other, joined = free(docs, "_row", "_first", "_other", "_joined")
+    docs = save(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(first, scan(docs, 0)), "decontam")
+    found = docs.select(F.col(row).alias(other), F.col(first).alias("h"))
+    for k in range(1, parts):
+        found = found.unionByName(save(docs.select(F.col(row).alias(other), scan(docs, k).alias("h")), "decontam-hits"))
+    merged = save(_merged(found.filter(F.size("h.items") > 0).groupBy(other).agg(F.collect_list("h").alias("hs")), other, joined), "decontam-hits")
+    docs = docs.join(merged, F.col(row) == F.col(other), "left")
+    return docs.withColumn(name, F.coalesce(joined, first)).drop(row, first, other, joined)
 
 
 def _union(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -357,10 +380,12 @@ def _union(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in joined], fields=list(_SPAN)))
 
 
-def _merged(*hits):
-    """The union of what the parts of a benchmark have hit; words are counted from the joined spans."""
-    spans = F.arrow_udf(_union, SPANS)(F.flatten(F.array(*[h.spans for h in hits])))
-    return F.struct(hits[0].n_words.alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array_distinct(F.flatten(F.array(*[h.items for h in hits]))).alias("items"), spans.alias("spans"))
+def _merged(hits: DataFrame, key: str, name: str) -> DataFrame:
+    """The union of what the parts of a benchmark have hit in each row (``hs``); words are counted from the joined spans."""
+    rows = hits.withColumn("spans", F.arrow_udf(_union, SPANS)(F.flatten(F.transform("hs", lambda h: h["spans"]))))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["n_words"])
+    items = F.array_distinct(F.flatten(F.transform("hs", lambda h: h["items"])))
+    return rows.select(key, F.struct(F.col("hs")[0]["n_words"].alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), "spans").alias(name))
 
 
 def contaminated(hits):

@@ -118,6 +118,41 @@ def test_decontamination_parts_overlap(spark, docs, monkeypatch):
         assert found() == whole
 
 
+def test_decontamination_repeated_and_null_items(spark, docs, monkeypatch, tmp_path):
+    """The SQL's rows for items of one id, without an id, of equal texts, and null; in one part and in many."""
+    import duckdb
+
+    import lexmill.llm.decontam as d
+
+    w = [f"w{k}" for k in range(60)]
+    items = [("a", " ".join(w[:20])), ("a", " ".join(w[10:30])), ("a", " ".join(w[:20])), (None, " ".join(w[40:55])), (None, " ".join(w[30:45])), ("b", " ".join(w[:20])), ("c", None), ("10", "solo"), ("9", "solo")]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(w[38:56])), (3, "Solo, z"), (4, None), (5, "z"), (None, " ".join(w[:13]))]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(d.OP6_SQL).fetchall(), key=str)
+    for size in (1 << 20, 1000, 60):
+        monkeypatch.setattr(d, "PART_BYTES", size)
+        got = op6_decontamination(spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        got = sorted(map(tuple, got.collect()), key=str)
+        assert got[:-1] == want[:-1] and got[-1][:4] == (None, 13, 13, 2)  # the SQL joins by doc_id
+
+
+@pytest.mark.parametrize("bits", [3, 21])
+def test_long_stretches_in_pieces(monkeypatch, bits):
+    import lexmill.llm.decontam as d
+
+    monkeypatch.setattr(d, "PIECE", 40)
+    monkeypatch.setattr(d, "SHARD_SYMBOLS", 150)
+    monkeypatch.setattr(d, "TABLE_BITS", bits)
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for k, n in enumerate([2, 13, 30, 60])]
+    texts = [" ".join([rng.choice("abcdefghijklmnop") for _ in range(n)] + items[2 + n % 2][1].split() * 3) for n in (0, 1, 39, 40, 41, 500)]
+    assert scan(texts, items) == brute_hits(texts, items)
+
+
 def test_long_text(spark):
     items = [(1, " ".join(f"w{k}" for k in range(13)))]
     text = "z " * 600_000 + items[0][1] + " z" * 10
