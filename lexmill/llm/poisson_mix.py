@@ -3,7 +3,8 @@
 Every document of a source is repeated a Poisson number of times whose mean is the source's target repetition rate,
 target weight x documents / documents of the source. The number comes from inverting the distribution at a uniform
 value hashed from key and seed, so a rerun, a retry or another partitioning gives the same mix. Copies are exploded
-and shuffled globally by a hashed order key.
+and shuffled globally by a hashed order key. The keys are uniform, so a copy's partition is its key's place among them:
+one shuffle, no sample, and counts are worked out once.
 
 The inverse needs no table per source: the distribution's running sum is carried in a fold over as many terms as have
 a sum over the largest uniform value (1 - 2^-52), by each row's own rate. From ``LARGE`` on, where exp(-rate) comes near
@@ -12,7 +13,7 @@ before it sum to less than 2^-52, so only a uniform value of exactly 0 sees the
 long as the sources number at most ``BROADCAST_SOURCES``, else by shuffle with the hot sources' rows split by AQE.
 
 Cases: a null source is a source of its own; equal keys get equal counts; a null key hashes as its own value; a null
-or empty text is repeated like any other; sources without a target keep rate 0 if targets are given; an empty table
+or empty text is repeated like any other; the copies of rows of one key and source have equal order keys, and among these the order is open; sources without a target keep rate 0 if targets are given; an empty table
 stays empty.
 """
 
@@ -31,6 +32,8 @@ BROADCAST_SOURCES = 10_000
 TEMPERATURE = 0.5
 #: Rates above this are summed from near the least counts that occur, not from 0.
 LARGE = 500.0
+#: Copies that a partition of the result should hold at most; it has at least ``spark.sql.shuffle.partitions``.
+PARTITION_ROWS = 50_000
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -83,7 +86,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, source
     counted = docs.withColumn(key_name, name).join(rates, key_name).withColumn(n, poisson_count(uniform(F.col(key_col), seed), F.col(rate)))
     copies = counted.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.col(copy)))
-    return copies.withColumn(order, key).drop(key_name, rate, n).repartitionByRange(order).sortWithinPartitions(order)
+    mixed = copies.withColumn(order, key).drop(key_name, rate, n)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total[1] // PARTITION_ROWS))
+    place = F.shiftright(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * parts, 32).cast("int")
+    return mixed.repartitionById(parts, place).sortWithinPartitions(order)
 
 
 def op10_poisson_mix(spark, sf_dir: str) -> DataFrame:
@@ -96,7 +102,7 @@ WITH c AS (SELECT coalesce(source, chr(1)) AS s, count(*)::DOUBLE AS n FROM docu
 r AS (SELECT s, pow(n, 0.5) / n * ((SELECT sum(n) FROM c) / (SELECT sum(pow(n, 0.5)) FROM c)) AS rate FROM c),
 d AS (SELECT documents.*, rate, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
       FROM documents JOIN r ON coalesce(source, chr(1)) = r.s),
-t AS (SELECT s, rate, k::INT AS k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM r, range(0, 200) AS g(k)),
+t AS (SELECT s, rate, k::INT AS k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM r, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS g(k)),
 cdf AS (SELECT s, k, sum(term) OVER (PARTITION BY s ORDER BY k) AS p FROM t),
 n AS (SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.s = coalesce(d.source, chr(1)) AND cdf.p <= d.u) AS n FROM d)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,

@@ -184,6 +184,22 @@ def test_mix_one_document_source(spark, docs):
     assert all(got[k] == poisson(u[k], 800 / 1599) for k in u if k != 7)
 
 
+def test_mix_sql_at_large_rates(spark, docs, tmp_path):
+    """A source of one document beside one of 60,000 has rate 245: counts beyond 200, in Spark as in SQL."""
+    import duckdb
+
+    from lexmill.llm.poisson_mix import OP10_SQL
+
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, "rare").otherwise("large").alias("source"), F.lit(1).alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT doc_id, copy, order_key FROM ({OP10_SQL})").fetchall())
+    got = [(r.doc_id, r.copy, r.order_key) for r in op10_poisson_mix(spark, str(tmp_path)).select("doc_id", "copy", "order_key").collect()]
+    assert sorted(got) == want and sum(d == 7 for d, _, _ in want) > 200
+    assert [k for _, _, k in got] == sorted(k for _, _, k in got)
+
+
 def test_mix_edge_cases(spark, docs):
     rows = docs([(1, None), (1, None), (2, "x")])
     a = [tuple(r) for r in mix_sources(rows).collect()]
