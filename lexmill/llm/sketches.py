@@ -31,6 +31,11 @@ def shingle_sets(texts: pa.Array, powers: Powers) -> Iterator[np.ndarray]:
             yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
+def digest(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """A 128-bit digest of a set, whatever the order."""
+    return own.sum(), ((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum()
+
+
 def minhash(own: np.ndarray) -> np.ndarray:
     """The least value of the set under each of ``HASHES`` functions."""
     x = (own >> np.uint64(32)).astype(np.uint32)
@@ -46,13 +51,12 @@ def minhash(own: np.ndarray) -> np.ndarray:
 def sketch_batch(texts: pa.Array, powers: Powers) -> pa.StructArray:
     """Set size, a 128-bit digest of the set, a byte of each least value, and the sort keys of each tree (high and low part)."""
     n = np.zeros(len(texts), np.int64)
-    digest = np.zeros((2, len(texts)), np.uint64)
+    digests = np.zeros((2, len(texts)), np.uint64)
     least = np.zeros((len(texts), HASHES), np.uint32)
     for k, own in enumerate(shingle_sets(texts, powers)):
         n[k] = len(own)
         if len(own):
-            digest[0, k] = own.sum()
-            digest[1, k] = ((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum()
+            digests[:, k] = digest(own)
             least[k] = minhash(own)
     parts = (least & np.uint32(0xFFFF)).astype(np.uint64).reshape(len(texts), TREES, 2, DEPTH // 2)
     keys = np.zeros((len(texts), TREES, 2), np.uint64)
@@ -62,7 +66,7 @@ def sketch_batch(texts: pa.Array, powers: Powers) -> pa.StructArray:
     marks = ((least >> np.uint32(16)) & np.uint32(0xFF)).astype(np.uint8)
     binary = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.arange(len(texts) + 1, dtype=np.int32) * HASHES), pa.py_buffer(marks.tobytes())])
     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(keys[..., j]).view(np.int64).ravel())) for j in range(2)]
-    return pa.StructArray.from_arrays([pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), binary, *lists], ["n", "d1", "d2", "marks", "high", "low"])
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), binary, *lists], ["n", "d1", "d2", "marks", "high", "low"])
 
 
 SKETCH = "struct<n:bigint,d1:bigint,d2:bigint,marks:binary,high:array<bigint>,low:array<bigint>>"

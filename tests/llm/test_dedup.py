@@ -65,7 +65,7 @@ def test_near_hot_group(spark, docs, monkeypatch):
     assert near(docs(rows)) == want
     import lexmill.llm.near_dedup as d
 
-    monkeypatch.setattr(d, "REGION", 16)  # crowded regions in parts
+    monkeypatch.setattr(d, "REGION", 16)
     monkeypatch.setattr(d, "BLOCK", 8)
     monkeypatch.setattr(d, "BROADCAST_IDS", 0)
     assert near(docs(rows)) == want
@@ -91,6 +91,63 @@ def test_near_crowded_region(spark, docs, monkeypatch):
     assert len(linked) >= 95 and all(got[i][1] == i for i in range(4000))
 
 
+def test_near_templates_form_no_pairs(spark, docs, monkeypatch):
+    """Texts of one template at similarity 0.70 agree by their sketches; exact pairs among them stay in proportion to the texts."""
+    import lexmill.llm.near_dedup as d
+
+    template = [f"p{k}" for k in range(415)]
+    make = lambda n: docs([(i, " ".join([f"u{i}x{k}" for k in range(42)] + template + [f"v{i}x{k}" for k in range(42)])) for i in range(n)])
+    a, b = (shingles(r.text) for r in make(2).collect())
+    assert 0.69 < len(a & b) / len(a | b) < 0.71
+    whole, formed = d.posting_pairs, []
+
+    def counted(posted):
+        with_pairs = d._with_pairs(posted).count()
+        formed.append((with_pairs, posted.count() / (1500 * 495)))
+        return whole(posted)
+
+    monkeypatch.setattr(d, "posting_pairs", counted)
+    got = near(make(1500))
+    assert all(c == i for i, (_, c) in got.items())
+    assert len(formed) == 1 and formed[0][0] == 0 and formed[0][1] < 1
+
+
+def test_near_crowd_links_what_places_leave_out(spark, docs, monkeypatch):
+    """Without any place for neighbours, the crowd alone finds the links between classes of crowded regions."""
+    import lexmill.llm.near_dedup as d
+
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(40)])) for i in range(300)]
+    for i in range(60):
+        own = rows[5 * i][1].split()
+        at = 62 + rng.randrange(20)
+        rows.append((1000 + i, " ".join(own[:at] + [f"e{i}x{k}" for k in range(8)] + own[at + 8 :])))
+    want = brute_components(rows)
+    for share, block in ((0.25, 1024), (2.0, 3)):  # hubs first; or blocks at once
+        monkeypatch.setattr(d, "HUB_SHARE", share)
+        monkeypatch.setattr(d, "BLOCK", block)
+        classes = []
+        candidates = d.candidates
+        with monkeypatch.context() as m:
+            m.setattr(d, "candidates", lambda c, f=candidates: classes.append(c) or (f(c)[0].limit(0), c.select("rep")))
+            assert near(docs(rows)) == want
+
+
+def test_near_id_with_several_texts(spark, docs):
+    """An id's texts are links, whatever the order of rows."""
+    x, y = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, x), (1, y), (2, x + " z"), (3, y + " z"), (4, " ".join(f"c{k}" for k in range(50)))]
+    for order in (rows, rows[::-1]):
+        assert {k: c for k, (_, c) in near(docs(order)).items()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_near_long_text(spark, docs):
+    text = " ".join(f"w{k % 9973}x{k // 7}" for k in range(200_000))
+    got = near(docs([(1, text), (2, text + " more"), (3, text[: len(text) // 2]), (4, "short")]))
+    assert {k: c for k, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_candidates_of_equal_keys_in_a_crowded_region(spark):
     """All classes of a region of 4,000 agree on the first half of every key; pairs that agree on the second meet."""
     import lexmill.llm.near_dedup as d
@@ -99,7 +156,7 @@ def test_candidates_of_equal_keys_in_a_crowded_region(spark):
     marks = [bytearray(rng.randbytes(192)) for _ in range(2000)]
     rows = [(k, 50, marks[k // 2], [t for t in range(24)], [k // 2 * 31 + t for t in range(24)]) for k in range(4000)]
     classes = spark.createDataFrame(rows, "rep long, n long, marks binary, high array<long>, low array<long>")
-    got = {(r.a, r.b) for r in d.candidates(classes).collect()}
+    got = {(r.a, r.b) for r in d.candidates(classes)[0].collect()}
     assert got == {(k, k + 1) for k in range(0, 4000, 2)}
 
 
