@@ -5,9 +5,11 @@ is kept, and a softmax layer gives the languages. A text is cut into windows of
 windows' log-probabilities are averaged. For prediction, embedding and filters are folded into one table per pair of
 neighbouring bytes, so a convolution is a few table rows added up; that is the same network.
 
-Training reads a bounded sample: about ``PER_LANGUAGE`` documents of each language, chosen by a hash of the text, and
-at most ``WINDOWS_EACH`` windows of each. Cases: a null text and one without a letter give ``und`` and score 0; a text
-shorter than a window is padded with byte 0; without any labelled row, every text gives ``und``;
+Training reads a bounded sample of labelled rows: at most ``PER_LANGUAGE`` documents of each language and
+``MOST_ROWS`` in all, drawn by a hash of id and text, and all windows of their whole texts. A text's windows together
+weigh as the root of their number, and languages weigh alike. Cases: a null text and one without a letter give ``und``
+and score 0; a text shorter than a window is padded with byte 0; without any labelled row, every text gives ``und``;
+a language of null or empty texts alone is never predicted; repeated rows are drawn like others, within the bounds;
 columns of a result's name are replaced.
 """
 
@@ -24,15 +26,15 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import slices
 from lexmill.llm.frames import free
+from lexmill.llm.samples import sample_rows
 from lexmill.session import ship_package, table
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
 EMBEDDING = 8
 FILTERS = 12
-PER_LANGUAGE = 600
-WINDOWS_EACH = 6
-EXCERPT = 4096
+PER_LANGUAGE = 400
+MOST_ROWS = 20_000
 EPOCHS = 8
 
 
@@ -107,17 +109,14 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     number = {x: k for k, x in enumerate(languages)}
-    rows, y = [], []
+    rows, y, root = [], [], []
     for a, b, data, at in slices(pa.array(texts, pa.string())):
         r, text = windows_of(data, at)
-        order = rng.random(len(r))
-        rank = np.argsort(np.lexsort((order, text)))
-        first = np.searchsorted(text, np.arange(b - a))
-        keep = rank - first[text] < WINDOWS_EACH
-        rows.append(r[keep])
-        y.append(np.array([number[labels[a + t]] for t in text[keep]]))
-    x, y = np.concatenate(rows), np.concatenate(y)
-    weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y]
+        rows.append(r)
+        y.append(np.array([number[x] for x in labels[a:b]])[text])
+        root.append(np.bincount(text)[text] ** -0.5)
+    x, y, root = np.concatenate(rows), np.concatenate(y), np.concatenate(root)
+    weight = root * (len(y) / (len(languages) * np.bincount(y, root, len(languages))))[y]
     total = FILTERS * len(WIDTHS)
     params = [rng.normal(0, 0.5, (256, EMBEDDING))] + [rng.normal(0, 0.35, (w, EMBEDDING, FILTERS)) for w in WIDTHS]
     params += [np.zeros(total), rng.normal(0, 0.2, (total, len(languages))), np.zeros(len(languages))]
@@ -167,28 +166,18 @@ def _gradients(params: list[np.ndarray], rows: np.ndarray, y: np.ndarray, weight
     return [g_emb, *g_convs, g_hidden.sum(0), hidden.T @ d, d.sum(0)]
 
 
-def sample_labelled(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """About ``per_language`` texts of each language, chosen by a hash of the text: an excerpt of each, at a hashed place.
-
-    Shares come from exact counts, so rare languages are taken whole and no language has more rows than asked for,
-    but for chance.
-    """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
-    if not counts:
-        return [], []
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    excerpt = F.substring(F.col("text"), 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int"), F.lit(EXCERPT))
-    got = picked.select("lang", excerpt.alias("text"), F.xxhash64("text", "lang").alias("h")).orderBy("h", "text").collect()
+def sample_labelled(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of at most ``per_language`` rows of each language and ``most`` in all; empty texts teach nothing."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = sample_rows(rows, "lang", ["id", "text"], per_language, most).select("lang", "text").collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def identify_language(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang", prefix: str = "") -> DataFrame:
+def identify_language(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang", prefix: str = "", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (named with ``prefix``), from a network fitted on ``training``."""
     spark = docs.sparkSession
     ship_package(spark)
-    texts, labels = sample_labelled(training, text_col, lang_col)
+    texts, labels = sample_labelled(training, text_col, lang_col, id_col)
     pred, score = f"{prefix}lang_pred", f"{prefix}score"
     if not texts:
         return docs.withColumn(pred, F.lit("und")).withColumn(score, F.lit(0.0))

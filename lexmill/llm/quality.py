@@ -1,15 +1,14 @@
 """Quality classifier: a linear model on n-gram indicators scaled by naive Bayes log-count ratios.
 
-The n-grams are those of two and three bytes, hashed to ``DIMENSIONS``, and word n-grams of one repeated word; a
-document has each one or not. The ratios
-come from counts over all labelled rows that learning may see. With indicators scaled by them, dual coordinate
-descent fits a squared-hinge linear model to a bounded sample, about ``PER_CLASS`` rows of each class chosen by a hash
-of the text. The margin becomes a probability by a logistic fit to margins of the other half's model, weighted to the
-true class shares. Scores read nothing but the text.
+The n-grams are those of two and three bytes, those of one and two words, and those of two to four words up to renaming
+(which of them are equal), hashed to ``DIMENSIONS``; a document has each one or not. The ratios come from counts over all labelled rows that learning may see. With indicators scaled by them,
+dual coordinate descent fits a hinge-loss linear model to a bounded sample of labelled rows: at most ``PER_CLASS`` of
+each class, drawn by a hash of id and text, with their whole texts. The margin becomes a probability by a logistic fit
+to margins of the other half's model, weighted to the true class shares. Scores read nothing but the text.
 
 Cases: a null text scores as an empty one (its margin is the bias); rows with a null label teach nothing; with one
-class only, all texts score that class's share; a document labelled more than once counts each time; a column
-of the score's name is replaced.
+class only, all texts score that class's share; a document labelled more than once counts each time; repeated texts are
+drawn one by one, within the bound; a column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +23,19 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.arrays import NOT_SPACE, Powers, slices, span_hashes, word_bounds
 from lexmill.llm.language_id import held_out
+from lexmill.llm.samples import sample_rows
 from lexmill.session import save, ship_package, table
 
 BITS = 18
 DIMENSIONS = 1 << BITS
 PER_CLASS = 2500
 ROUNDS = 12
-RUNS = 8
-COST = 0.05
+#: Patterns go over this many neighbouring words at most.
+PATTERN = 4
+COST = 1.0
 SMOOTHING = 1.0
-EXCERPT = 16384
 #: Labels up to this many rows are broadcast to the texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def ngrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -51,23 +51,27 @@ def ngrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
             h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
             within = text[: len(codes)] == text[n - 1 :][: len(codes)]
             keys.append((text[: len(codes)] << np.uint64(BITS) | h)[within])
-        keys.append(_repeats(data, at, powers))
+        keys.append(_words(data, at, powers))
         k = np.sort(np.concatenate(keys))
         k = k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
-        yield a, b, (k >> np.uint64(BITS)).astype(np.int64), (k & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+        yield a, b, (k >> np.uint64(BITS)).astype(np.int32), (k & np.uint64(DIMENSIONS - 1)).astype(np.int32)
 
 
-def _repeats(data: np.ndarray, at: np.ndarray, powers: Powers) -> np.ndarray:
-    """Word n-grams that are one word n times over, n from 2 to ``RUNS``: an indicator for each n, whatever the word."""
+def _words(data: np.ndarray, at: np.ndarray, powers: Powers) -> np.ndarray:
+    """Keys of the words, of the pairs of neighbouring words, and of the patterns of up to ``PATTERN`` neighbours: which are equal."""
     starts, ends, first = word_bounds(data, at, NOT_SPACE)
     words = span_hashes(data, starts, ends, powers, True)
-    text = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(first))
-    same = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
-    out, run = [], same
-    for n in range(2, RUNS + 1):
-        h = np.uint64((n * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - BITS))
-        out.append(np.unique(text[: len(run)][run]) << np.uint64(BITS) | h)
-        run = run[:-1] & same[n - 1 :]
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(first)) << np.uint64(BITS)
+    pairs = words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:] * np.uint64(0x9E3779B97F4A7C15)
+    out = [text | words >> np.uint64(64 - BITS), (text[1:] | pairs >> np.uint64(64 - BITS))[text[1:] == text[:-1]]]
+    equal = np.ones(len(words), np.uint64)
+    for n in range(2, PATTERN + 1):
+        m = max(0, len(words) - n + 1)
+        equal = equal[:m].copy()
+        for k in range(n - 1):
+            equal = equal << np.uint64(1) | (words[k : k + m] == words[n - 1 : n - 1 + m]).astype(np.uint64)
+        h = (equal + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
+        out.append(np.unique((text[:m] | h)[text[:m] == text[n - 1 : n - 1 + m]]))
     return np.concatenate(out)
 
 
@@ -108,26 +112,25 @@ def class_counts(labelled: DataFrame, text_col: str, label_col: str) -> tuple[np
     return out[0], out[1]
 
 
-def descend(first: np.ndarray, grams: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the squared hinge: weights on the scaled indicators, and the bias (a constant feature)."""
+def descend(first: np.ndarray, grams: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for the hinge loss: weights on the scaled indicators, the bias (a constant feature), and the dual."""
     rng = np.random.default_rng(seed)
     w, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(y))
-    rows = [grams[first[i] : first[i + 1]] for i in range(len(y))]
-    values = [ratio[g] for g in rows]
-    scale = [1 / max(1.0, float(np.sqrt(v @ v))) for v in values]
-    values = [v * s for v, s in zip(values, scale, strict=True)]
-    norm = [float(v @ v) + 1.0 + 1 / (2 * cost) for v in values]
+    size = np.array([float(np.sum(ratio[grams[first[i] : first[i + 1]]] ** 2)) for i in range(len(y))])
+    scale = 1 / np.maximum(1.0, np.sqrt(size))
+    norm = size * scale**2 + 1.0
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
-            g, v = rows[i], values[i]
-            slope = y[i] * (w[g] @ v + bias) - 1 + dual[i] / (2 * cost)
-            new = max(0.0, dual[i] - slope / norm[i])
+            g = grams[first[i] : first[i + 1]]
+            v = ratio[g] * scale[i]
+            slope = y[i] * (w[g] @ v + bias) - 1
+            new = min(cost, max(0.0, dual[i] - slope / norm[i]))
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
                 w[g] += step * v
                 bias += step
                 dual[i] = new
-    return w, bias
+    return w, bias, dual
 
 
 def fit(texts: list[str], labels: list[int], n0: np.ndarray, n1: np.ndarray) -> Model:
@@ -135,7 +138,7 @@ def fit(texts: list[str], labels: list[int], n0: np.ndarray, n1: np.ndarray) ->
     y = np.where(np.array(labels) == 1, 1.0, -1.0)
     rows, grams = [], []
     for a, _, text, gram in ngrams(pa.array(texts, pa.string())):
-        rows.append(a + text)
+        rows.append(text + np.int32(a))
         grams.append(gram)
     row, gram = np.concatenate(rows), np.concatenate(grams)
     size = np.bincount(row, weights=ratio[gram] ** 2, minlength=len(y))
@@ -144,12 +147,12 @@ def fit(texts: list[str], labels: list[int], n0: np.ndarray, n1: np.ndarray) ->
         pick = use[row]
         place = np.cumsum(use) - 1
         first = np.searchsorted(place[row[pick]], np.arange(use.sum() + 1))
-        return descend(first, gram[pick], ratio, y[use], COST, ROUNDS)
+        return descend(first, gram[pick], ratio, y[use], COST, ROUNDS)[:2]
 
     def margins(w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(row, w[gram] * ratio[gram], len(y)) / np.maximum(1.0, np.sqrt(size)) + bias
 
-    half = np.arange(len(y)) % 2 == 0
+    half = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y < 0)) % 2 == 0  # of each class
     other = np.where(half, margins(*model(~half)), margins(*model(half)))
     share = np.where(y > 0, n1[-1] / max(1, (y > 0).sum()), n0[-1] / max(1, (y < 0).sum()))
     slope, offset = _logistic(other, y > 0, share)
@@ -172,27 +175,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a[0]), float(a[1])
 
 
-def sample_classes(labelled: DataFrame, text_col: str, label_col: str, n0: int, n1: int, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """About ``per_class`` rows of each class, by a hash of the text, as excerpts of at most ``EXCERPT`` characters at a hashed place."""
-    share = F.when(F.col(label_col) == 1, min(1.0, per_class / max(1, n1))).otherwise(min(1.0, per_class / max(1, n0)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = labelled.filter(F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
-    place = 1 + F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - EXCERPT, F.lit(1))).cast("int")
-    got = picked.select(F.substring(text, place, F.lit(EXCERPT)).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text, label_col).alias("h")).collect()
-    got.sort(key=lambda r: (r["h"], r["t"]))
-    return [r["t"] for r in got], [r["y"] for r in got]
-
-
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | float:
     """A model of label 1 against 0, or the share of label 1 where only one class is known (0.5 without labels)."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_y"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    labelled = docs.select(id_col, text_col).join(F.broadcast(known) if few else known, id_col).select(text_col, "_y")
+    labelled = docs.select(id_col, text_col).join(F.broadcast(known) if few else known, id_col).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), "_y")
     labelled = labelled if few else save(labelled, "labelled")  # the texts are shuffled once, for counts and sample
-    n0, n1 = class_counts(labelled, text_col, "_y")
+    n0, n1 = class_counts(labelled, "text", "_y")
     if not n0[-1] or not n1[-1]:
         return float(n1[-1] / max(1, n0[-1] + n1[-1])) if n0[-1] + n1[-1] else 0.5
-    texts, y = sample_classes(labelled, text_col, "_y", int(n0[-1]), int(n1[-1]))
+    got = sample_rows(labelled, "_y", ["id", "text"], PER_CLASS, 2 * PER_CLASS).select("text", "_y").collect()
+    texts, y = [r["text"] for r in got], [r["_y"] for r in got]
     if len(set(y)) < 2:
         return float(n1[-1] / (n0[-1] + n1[-1]))
     return fit(texts, y, n0, n1)

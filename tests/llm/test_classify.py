@@ -53,6 +53,55 @@ def test_folded_network_is_the_same():
     assert np.allclose(Predictor(net).log_probabilities(rows), plain, atol=1e-3)
 
 
+def test_gradients():
+    """Of the weighted cross-entropy, by differences, for every parameter array."""
+    from lexmill.llm import language_id as m
+
+    rng = np.random.default_rng(3)
+    total = m.FILTERS * len(m.WIDTHS)
+    params = [rng.normal(0, 0.5, (256, m.EMBEDDING))] + [rng.normal(0, 0.4, (w, m.EMBEDDING, m.FILTERS)) for w in m.WIDTHS]
+    params += [rng.normal(0, 0.1, total), rng.normal(0, 0.3, (total, 3)), rng.normal(0, 0.1, 3)]
+    rows, y, weight = rng.integers(0, 40, (6, LENGTH)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 1]), rng.random(6) + 0.5
+
+    def loss():
+        e, pooled = params[0][rows], []
+        for w in params[1:-3]:
+            n = LENGTH - len(w) + 1
+            pooled.append(sum(e[:, k : k + n] @ w[k] for k in range(len(w))).max(1))
+        hidden = np.maximum(np.concatenate(pooled, 1) + params[-3], 0)
+        return -(weight * log_softmax(hidden @ params[-2] + params[-1])[np.arange(6), y]).sum() / 6
+
+    for p, g in zip(params, m._gradients(params, rows, y, weight), strict=True):
+        assert p.shape == g.shape
+        places = np.argsort(-np.abs(g).ravel())[:6].tolist() + rng.integers(0, g.size, 6).tolist()
+        for k in places:
+            at, step = np.unravel_index(k, p.shape), 1e-6
+            old = p[at]
+            p[at] = old + step
+            up = loss()
+            p[at] = old - step
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-5
+
+
+def test_samples_are_bounded(spark, docs):
+    """One text in half of the rows, and one row many times: no class gives more rows than asked for, and whole texts come."""
+    from lexmill.llm.language_id import sample_labelled
+    from lexmill.llm.samples import sample_rows
+
+    long = "end " * 5000
+    rows = docs([(k, "same" if k % 2 else f"{k} {long}") for k in range(3000)] + [(7, "again")] * 500)
+    rows = rows.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
+    texts, langs = sample_labelled(rows, per_language=50)
+    assert set(langs) == {"a", "b"} and 30 <= langs.count("a") <= 50 and 30 <= langs.count("b") <= 50
+    assert sum(t != "same" and t != "again" for t in texts) > 20 and all(t.endswith(long) for t in texts if len(t) > 5)
+    assert len(sample_labelled(rows, per_language=50, most=60)[0]) <= 60
+    many = docs([(k, "t") for k in range(300)]).withColumn("lang", F.col("doc_id").cast("string"))
+    assert sample_rows(many, "lang", ["doc_id", "text"], 5, 40).count() == 40
+    assert sample_labelled(rows.limit(0)) == ([], [])
+
+
 def test_windows_cover_every_byte():
     data = np.arange(300) % 251 + 1
     rows, text = windows_of(data.astype(np.uint8), np.array([0, 0, 10, 300]))
@@ -69,6 +118,59 @@ def test_quality_held_out(spark, small):
     assert np.mean([r.predicted == y for r, y in held]) > 0.9
 
 
+def grams(text):
+    """Every n-gram of a text, by plain loops; numbers come from the module's own hash of one n-gram alone."""
+    import itertools
+
+    b = (text or "").encode()
+    w = b.decode().lower().split()
+    found = {b[k : k + n] for n in (2, 3) for k in range(len(b) - n + 1)} | {tuple(w[k : k + n]) for n in (1, 2) for k in range(len(w) - n + 1)}
+    for n in (2, 3, 4):
+        found |= {("=", *[w[k + i] == w[k + j] for i, j in itertools.combinations(range(n), 2)]) for k in range(len(w) - n + 1)}
+    return found
+
+
+def test_ngrams_and_ratios_against_brute_force(spark, docs):
+    from lexmill.llm.quality import DIMENSIONS, class_counts, ngrams
+
+    texts = ["a b a b", "xx xx xx xx", "", None, "the cat sat on the mat", "cat cat dog dog", "Ñandú"]
+    rows = {}
+    for a, _, text, gram in ngrams(pa.array(texts)):
+        for t, g in zip(text.tolist(), gram.tolist(), strict=True):
+            rows.setdefault(a + t, set()).add(g)
+    for k, t in enumerate(texts):
+        assert len(rows.get(k, ())) == len(grams(t))
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(rows.get(i, set()) & rows.get(j, set())) == len(grams(texts[i]) & grams(texts[j]))
+    labels = [k % 2 for k in range(len(texts))]
+    table = spark.createDataFrame([(t or "", y) for t, y in zip(texts, labels, strict=True)] * 3, "text string, y int")
+    n0, n1 = class_counts(table, "text", "y")
+    for y, n in ((0, n0), (1, n1)):
+        assert n[-1] == 3 * labels.count(y)
+        want = Counter(g for k in rows if labels[k] == y for g in rows[k])
+        assert {g: c for g, c in enumerate(n[:-1].tolist()) if c} == {g: 3 * c for g, c in want.items()} and len(n) == DIMENSIONS + 1
+
+
+def test_dual_coordinate_descent_is_optimal():
+    """The primal value comes down to the dual one, as it does at the optimum alone."""
+    from lexmill.llm.quality import descend
+
+    rng = np.random.default_rng(5)
+    n, cost = 60, 0.7
+    rows = [np.sort(rng.choice(30, rng.integers(2, 9), replace=False)) for _ in range(n)]
+    first, ratio, y = np.cumsum([0] + [len(r) for r in rows]), rng.normal(0, 1, 30), np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    w, bias, dual = descend(first, np.concatenate(rows), ratio, y, cost, 3000)
+    x = np.zeros((n, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / max(1.0, np.sqrt((ratio[r] ** 2).sum()))
+        x[i, 30] = 1
+    full = np.append(w, bias)
+    assert np.allclose(full, x.T @ (dual * y)) and dual.min() >= 0 and dual.max() <= cost
+    primal = 0.5 * full @ full + cost * np.maximum(0, 1 - y * (x @ full)).sum()
+    assert -1e-9 < primal - (dual.sum() - 0.5 * full @ full) < 1e-4 * primal
+
+
 def test_quality_edge_cases(spark, docs):
     rows = [(k, "good words in a clean line") for k in range(0, 40, 2)] + [(k, "### bad %%% bad !!!") for k in range(1, 40, 2)]
     labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)] + [(3, None), (999, 1)], "doc_id long, quality int")
