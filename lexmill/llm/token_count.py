@@ -1,18 +1,19 @@
 """Token counts of whole texts under a sentencepiece BPE model, by rank-synchronous array merging.
 
 Pre-tokens (a run of spaces and what follows up to the next space; a line break alone) are held as ragged numpy
-arrays. In each round every sequence merges its pair of lowest rank (the leftmost, if several have it), all
-sequences at once; sequences without a pair leave, and their surviving symbols are counted. Characters that the
-model doesn't know count one token a byte. Pre-tokens seen before are looked up by a 64-bit hash of their bytes.
-
-Cases: null and empty texts have no tokens; texts of any length are counted whole; a pre-token of over
-``LONG`` characters goes through a heap of its pairs instead of rounds, with the same result; a
-column of the count's name is replaced.
+arrays, cut where two characters stand together in no piece, as no merge reaches over such a place. In each round every
+sequence merges its pair of lowest rank, all sequences at once: from the left, every occurrence up to the first one
+whose merging makes a pair of as low a rank, which is what one merge at a time comes to. Sequences without a pair leave,
+and their surviving symbols are counted. Characters that the model doesn't know count one token a byte. Pre-tokens seen
+before are looked up by a 64-bit hash of their bytes.
+
+Cases: null and empty texts have no tokens; texts and pre-tokens of any length are counted whole (a round costs what is
+left of the sequences, and a long one takes at most a round for each rank and each such stop); repeated rows count alike;
+an empty table gives no rows; a column of the count's name is replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from lexmill.llm.arrays import Powers, slices, span_hashes
 from lexmill.session import ship_package, table
 
-LONG = 512
 NEVER = np.int64(1) << 40
 CACHE_BITS = 19
 
@@ -64,6 +64,8 @@ class BpeArrays:
         self.rank = np.array([pairs[int(k)][0] for k in keys] + [NEVER], np.int64)
         self.merged = np.array([pairs[int(k)][1] for k in keys] + [0], np.int32)
         self._hash(keys)
+        together = {(p[k], p[k + 1]) for p in pieces for k in range(len(p) - 1)}
+        self.together = np.array(sorted(symbol[a] * self.n + symbol[b] for a, b in together), np.int64)
 
     def _hash(self, keys: np.ndarray) -> None:
         """Open addressing with linear steps; ``steps`` is the longest probe."""
@@ -108,17 +110,23 @@ class BpeArrays:
     def count(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Tokens of each ragged row of code points; ``first`` has one entry more than there are rows."""
         total = np.zeros(len(first) - 1, np.int64)
-        length = np.diff(first)
-        for k in np.flatnonzero(length > LONG):
-            total[k] = self._count_long(points[first[k] : first[k + 1]])
-        row = np.repeat(np.arange(len(length)), length)
-        use = np.repeat(length <= LONG, length)
-        points, row = points[use], row[use]
+        if not len(points):
+            return total
+        owner = np.repeat(np.arange(len(total)), np.diff(first))
         symbols = self.of_char[points]
         cost = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
-        if not len(row):
-            return total
-        pair = np.full(len(row), len(self.rank) - 1, np.int32)
+        key = symbols[:-1].astype(np.int64) * self.n + symbols[1:]
+        near = self.together[np.minimum(np.searchsorted(self.together, key), len(self.together) - 1)] == key if len(self.together) else np.zeros(len(key), bool)
+        near &= (owner[1:] == owner[:-1]) & (symbols[:-1] >= 0) & (symbols[1:] >= 0)
+        row = np.cumsum(np.concatenate([[True], ~near])) - 1
+        np.add.at(total, owner[np.flatnonzero(np.concatenate([[True], ~near]))], self._merge(row, symbols, cost))
+        return total
+
+    def _merge(self, row: np.ndarray, symbols: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """Tokens of each row of symbols; rows are numbered from 0 and none is empty."""
+        none = len(self.rank) - 1
+        total = np.zeros(row[-1] + 1, np.int64)
+        pair = np.full(len(row), none, np.int32)
         same = np.flatnonzero(row[1:] == row[:-1])
         pair[same] = self.lookup(symbols[same], symbols[same + 1])
         while len(row):
@@ -134,8 +142,7 @@ class BpeArrays:
                 if not len(row):
                     break
                 least, sizes = least[~over], sizes[~over]
-            at = np.flatnonzero(rank == np.repeat(least, sizes))
-            at = at[np.concatenate([[True], row[at[1:]] != row[at[:-1]]])]
+            at = self._at_once(np.flatnonzero(rank == np.repeat(least, sizes)), row, symbols, pair, rank)
             symbols[at] = self.merged[pair[at]]
             keep = np.ones(len(row), bool)
             keep[at + 1] = False
@@ -145,42 +152,34 @@ class BpeArrays:
             # the merged symbol has a new pair on its right, and its left neighbour too
             ends = np.concatenate([row[1:] != row[:-1], [True]])
             right = at[~ends[at]]
-            pair[at[ends[at]]] = len(self.rank) - 1
+            pair[at[ends[at]]] = none
             pair[right] = self.lookup(symbols[right], symbols[right + 1])
             left = at[at > 0] - 1
             left = left[~ends[left]]
             pair[left] = self.lookup(symbols[left], symbols[left + 1])
         return total
 
-    def _count_long(self, points: np.ndarray) -> int:
-        symbols = self.of_char[points].tolist()
-        cost = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-        none = len(self.rank) - 1
-
-        def offer(places: list[int]) -> None:
-            a = np.array([symbols[i] for i in places], np.int64)
-            b = np.array([symbols[after[i]] for i in places], np.int64)
-            for i, k in zip(places, self.lookup(a, b).tolist(), strict=True):
-                if k != none:
-                    heapq.heappush(heap, (int(self.rank[k]), i, symbols[i], symbols[after[i]]))
-
-        offer(list(range(n - 1)))
-        gone = [False] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if gone[i] or after[i] >= n or symbols[i] != a or symbols[after[i]] != b:
-                continue
-            j = after[i]
-            symbols[i] = int(self.merged[self.lookup(np.array([a]), np.array([b]))[0]])
-            gone[j], after[i] = True, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer([k for k in (before[i], i) if k >= 0 and after[k] < n])
-        left = np.array([i for i in range(n) if not gone[i]])
-        return int(self.tokens(np.array(symbols, np.int32)[left], cost[left]).sum())
+    def _at_once(self, at: np.ndarray, row: np.ndarray, symbols: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Which of the lowest pairs ``at`` merge in one round: from the left of each row, none that overlaps the last,
+        up to the first whose merging makes a pair of as low a rank."""
+        opens = np.concatenate([[True], (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])])
+        run = np.flatnonzero(opens)
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        head = np.concatenate([[True], row[at[1:]] != row[at[:-1]]])
+        if head.all():
+            return at
+        merged, lowest = self.merged[pair[at]], rank[at]
+        stop = np.zeros(len(at), bool)
+        has = np.flatnonzero((at > 0) & (row[np.maximum(at - 1, 0)] == row[at]))
+        before = symbols[at[has] - 1]
+        after_last = np.flatnonzero(~head[has] & (at[has] - 2 == at[has - 1]))  # the last merged symbol stands before
+        before[after_last] = merged[has[after_last] - 1]
+        stop[has] = self.rank[self.lookup(before, merged[has])] <= lowest[has]
+        has = np.flatnonzero((at + 2 < len(row)) & (row[np.minimum(at + 2, len(row) - 1)] == row[at]))
+        stop[has] |= self.rank[self.lookup(merged[has], symbols[at[has] + 2])] <= lowest[has]
+        stops = np.cumsum(stop) - stop  # stops before each
+        first = np.flatnonzero(head)
+        return at[stops == np.repeat(stops[first], np.diff(np.append(first, len(at))))]
 
 
 class Counter:

@@ -338,6 +338,22 @@ def test_tokens_odd_texts():
     assert Tokens(BpeArrays(model_path())).batch(pa.array(ODD, pa.string())).tolist() == [len(sp.encode(x or "")) for x in ODD]
 
 
+def test_tokens_long_pre_tokens():
+    """Long texts without a space: few letters, pieces of the model strung together, base64, and a long run of one letter."""
+    import base64
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    rng = random.Random(3)
+    pieces = [sp.id_to_piece(i).replace("▁", "") for i in range(300, 12_000)]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aeinst", "etaoinshrdlucmfwypvbgk", "01", "-=") for n in (2, 7, 50, 600, 5000)]
+    texts += ["".join(rng.choice(pieces) for _ in range(n)) for n in (3, 20, 400, 3000)] * 3
+    texts += [base64.b64encode(rng.randbytes(30_000)).decode(), "a" * 50_000, "ha" * 20_000, "".join(rng.choice("的一是不了人") for _ in range(3000))]
+    assert Tokens(BpeArrays(model_path())).batch(pa.array(texts, pa.string())).tolist() == [len(sp.encode(x)) for x in texts]
+
+
 def test_tokens_keep_other_columns(spark, docs):
     got = count_tokens(docs([(1, None), (1, None), (2, "a b")]), name="n").collect()
     assert sorted(r.n for r in got) == [0, 0, 2] and got[0].doc == "y"
