@@ -1,17 +1,19 @@
 """Sharding by jump consistent hashing: a stable key and the shard count decide, without a table of ring points.
 
 Going from n to n + 1 shards moves only the rows that the new shard takes. Slots number the rows of a shard from 0
-without gaps; they come from counts of small hash ranges, so no task ever holds a whole shard.
+without gaps. A shard is cut into ranges by a hash of whole rows, so that the rows of a hot key (or of no key) spread over
+ranges too; slots come from counts of the ranges and each row's number in its range, so no task holds a whole shard.
 
-Cases: a null key hashes as its own value; repeated keys go to one shard and get different slots; a null text has
-no bytes; an empty table gives no rows; other columns are left alone,
-but for those that have a result's name, which it replaces.
+Cases: a null key hashes as its own value; rows of one key go to one shard and get different slots; a row's slot depends
+on the table's rows alone, whatever their order or layout, and rows equal in all columns (maps left out) share the slots
+of their place, which one task numbers with spill; a null text has no bytes; an empty table gives no rows; other columns
+are left alone, but for those that have a result's name, which it replaces.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from lexmill.session import ship_package, table
 RANGE_ROWS = 20_000
 
 
-def jump(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each unsigned 64-bit key; after few steps (log of the shards) no key jumps any more."""
+def jump(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each unsigned 64-bit key, and with one more shard; after few steps (log of the shards) no key jumps any more."""
     keys = keys.astype(np.uint64, copy=True)
     at, to = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
     left = np.arange(len(keys))
@@ -33,15 +35,16 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
             keys[left] = keys[left] * np.uint64(2862933555777941757) + np.uint64(1)
             to[left] = ((at[left] + 1) * (float(1 << 31) / ((keys[left] >> np.uint64(33)).astype(np.float64) + 1.0))).astype(np.int64)
             left = left[to[left] < shards]
-    return at
+    return at, np.where(to == shards, to, at)
 
 
-def jump_column(key, shards: int):
-    """The shard (int) of a 64-bit hash column."""
+def jump_columns(key, shards: int):
+    """The shard and the grown shard (struct of ints) of a 64-bit hash column."""
 
-    @F.pandas_udf("int")
-    def place(h: pd.Series) -> pd.Series:
-        return pd.Series(jump(h.to_numpy(), shards), dtype="int32")
+    @F.arrow_udf("struct<shard:int,grown:int>")
+    def place(h: pa.Array) -> pa.Array:
+        own, grown = jump(h.to_numpy(), shards)
+        return pa.StructArray.from_arrays([pa.array(own, pa.int32()), pa.array(grown, pa.int32())], ["shard", "grown"])
 
     return place(key)
 
@@ -56,18 +59,20 @@ def shard(docs: DataFrame, shards: int, key_col: str = "doc_id", prefix: str = "
     ship_package(docs.sparkSession)
     own, slot, grown = (f"{prefix}{x}" for x in ("shard", "slot", "grown_shard"))
     docs = docs.drop(own, slot, grown)
-    h, part, base, s, r = free(docs, "_hash", "_range", "_base", "_s", "_r")
+    place, one, two, part, base, s, r = free(docs, "_place", "_one", "_two", "_range", "_base", "_s", "_r")
     rows = docs.count()
     ranges = max(1, -(-rows // (shards * RANGE_ROWS)))
-    docs = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))))
-    docs = docs.withColumn(own, jump_column(F.col(h), shards)).withColumn(grown, jump_column(F.col(h), shards + 1))
-    docs = docs.withColumn(part, F.pmod(F.xxhash64(h, F.lit(17)), F.lit(ranges)).cast("int"))
+    whole = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    docs = docs.withColumn(place, jump_columns(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))), shards))
+    docs = docs.withColumn(own, F.col(f"{place}.shard")).withColumn(grown, F.col(f"{place}.grown")).drop(place)
+    docs = docs.withColumn(one, F.xxhash64(*whole)).withColumn(part, F.pmod(one, F.lit(ranges)).cast("int"))
     sizes = docs.groupBy(F.col(own).alias(s), F.col(part).alias(r)).count()
     before = Window.partitionBy(s).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(s, r, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
-    number = F.row_number().over(Window.partitionBy(own, part).orderBy(h, key_col)) - 1
+    docs = docs.withColumn(two, F.xxhash64(F.lit(1), *whole))
+    number = F.row_number().over(Window.partitionBy(own, part).orderBy(one, two)) - 1
     placed = docs.withColumn(slot, number).join(offsets, (F.col(own) == F.col(s)) & (F.col(part) == F.col(r)))
-    return placed.withColumn(slot, (F.col(base) + F.col(slot)).cast("long")).drop(s, r, base, h, part)
+    return placed.withColumn(slot, (F.col(base) + F.col(slot)).cast("long")).drop(s, r, base, one, two, part)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -205,9 +205,11 @@ def plain_jump(key, n):
 def test_jump():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for n in (1, 2, 40, 41, 1000):
-        assert jump(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
-    moved = jump(keys, 41) != jump(keys, 40)
-    assert set(jump(keys, 41)[moved]) == {40} and 0.01 < moved.mean() < 0.05
+        own, grown = jump(keys, n)
+        assert own.tolist() == [plain_jump(int(k), n) for k in keys]
+        assert grown.tolist() == [plain_jump(int(k), n + 1) for k in keys]
+    own, grown = jump(keys, 40)
+    assert set(grown[own != grown]) == {40} and 0.01 < (own != grown).mean() < 0.05
 
 
 def test_sharding(spark, small):
@@ -232,6 +234,22 @@ def test_sharding_edge_cases(spark, docs):
         shard(rows, 0)
 
 
+def test_sharding_slots_of_a_hot_key(spark, docs, monkeypatch):
+    """A third of the rows has one key: they fill many ranges, and slots don't depend on the layout."""
+    import lexmill.llm.sharding as m
+
+    monkeypatch.setattr(m, "RANGE_ROWS", 10)
+    rows = docs([(5, f"t{k}") for k in range(200)] + [(k, "x") for k in range(1000, 1400)] + [(None, f"n{k}") for k in range(50)])
+    a = shard(rows, 4)
+    got = sorted(((r.doc_id, r.text, r.shard, r.slot, r.grown_shard) for r in a.collect()), key=str)
+    for other in (rows.repartition(7), rows.orderBy("text").coalesce(1)):
+        assert sorted(((r.doc_id, r.text, r.shard, r.slot, r.grown_shard) for r in shard(other, 4).collect()), key=str) == got
+    for s in range(4):
+        assert sorted(x[3] for x in got if x[2] == s) == list(range(sum(x[2] == s for x in got)))
+    hot = [x[3] for x in got if x[0] == 5]
+    assert len({x[2] for x in got if x[0] == 5}) == 1 and max(hot) - min(hot) > 205
+
+
 def poisson(u, rate):
     k, term, total = 0, math.exp(-rate), math.exp(-rate)
     while total <= u:
