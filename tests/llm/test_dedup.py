@@ -211,27 +211,41 @@ def test_minhash_estimates_similarity():
     assert abs((a == b).mean() - 3000 / 4000) < 0.1
 
 
+STOPS = [c.encode() for c in ".!?؟۔।॥…。｡．！？"]
+
+
 def pieces(text):
-    b = (text or "").encode()
-    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+    """Words as byte places, their lower case, and the sentences as lists of word numbers, by plain loops."""
+    text = text or ""
+    words, at, open_ = [], 0, False
+    for c in text:
+        n = len(c.encode())
+        if c in " \t\n\v\f\r":
+            open_ = False
+        elif n >= 3 or not open_:
+            words.append([at, at + n])
+            open_ = n < 3
+        else:
+            words[-1][1] = at + n
+        at += n
+    b = text.encode()
     low = [b[x:y].translate(LOWER) for x, y in words]
     whole, now = [], []
     for k, (x, y) in enumerate(words):
         now.append(k)
         line = k + 1 < len(words) and b"\n" in b[y : words[k + 1][0]]
-        if b[y - 1 : y] in (b".", b"!", b"?") or line or k == len(words) - 1:
+        if any(b[x:y].endswith(c) for c in STOPS) or line or k == len(words) - 1:
             whole.append(now)
             now = []
     out = []
     for sentence in whole:
-        if len(sentence) > 24:
+        cuts = set()
+        if len(sentence) > 16:
             ends = np.array([len(low[k]) for k in sentence]).cumsum()
-            h = span_hashes(np.frombuffer(b"".join(low[k] for k in sentence), np.uint8), ends - [len(low[k]) for k in sentence], ends, Powers(), True)
-            cuts = [k + 1 for k in range(len(sentence) - 1) if not int(h[k]) & 7]
-            parts = [sentence[x:y] for x, y in zip([0, *cuts], [*cuts, len(sentence)], strict=True)]
-            out += [p[k : k + 48] for p in parts for k in range(0, len(p), 48)]
-        else:
-            out.append(sentence)
+            h = span_hashes(np.frombuffer(b"".join(low[k] for k in sentence), np.uint8), ends - [len(low[k]) for k in sentence], ends, Powers(), True).tolist()
+            cuts = {min(range(k, k + 12), key=lambda i: (h[i], i)) for k in range(1, len(h) - 11)}
+        edges = [0, *sorted(cuts), len(sentence)]
+        out += [sentence[x:y] for x, y in zip(edges, edges[1:], strict=False)]
     return b, words, low, out
 
 
@@ -239,18 +253,8 @@ def brute_repeats(rows):
     held, runs, first = {}, {}, {}
     for d, t in rows:
         b, words, low, ps = pieces(t)
-        found = set()
-        for i in range(len(ps)):
-            for j in range(i + 2, len(ps) + 1):
-                if ps[j - 1][-1] - ps[i][0] + 1 >= 20:
-                    found.add((i, j))
-                    break
-            for h in range(i - 1, -1, -1):
-                if ps[i][-1] - ps[h][0] + 1 >= 20:
-                    found.add((h, i + 1))
-                    break
         held[d] = b, words, ps
-        runs[d] = [(tuple(low[ps[i][0] : ps[j - 1][-1] + 1]), i, j) for i, j in sorted(found)]
+        runs[d] = [(tuple(low[ps[i][0] : ps[i + 1][-1] + 1]), i, i + 2) for i in range(len(ps) - 1)]
     for d in sorted(runs):
         for h, i, _ in runs[d]:
             first.setdefault(h, (d, i))
@@ -273,15 +277,49 @@ def test_repeats_whole_table(spark, small):
 def test_repeats_edge_cases(spark, docs):
     passage = "One two three four five six seven eight. Nine ten eleven twelve thirteen.\nFourteen fifteen sixteen seventeen eighteen nineteen twenty twenty-one. And more of it."
     rows = [(1, f"First here. {passage} End one."), (2, f"Second there. {passage.upper()} End two."), (3, None), (4, ""), (5, "ñandú " * 60_000), (6, passage + " " + passage)]
+    rows += [(7, "A single sentence stays."), (8, "A single sentence stays."), (9, "Yes. No."), (10, "yes. NO."), (11, " \n "), (12, "…。"), (13, "😀 😀"), (14, "مرحبا بك؟ نعم۔"), (15, "مرحبا بك؟ نعم۔")]
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in remove_repeats(docs(rows)).collect()}
     want = brute_repeats(rows)
     want[3] = (None, 0, 0)
     assert got == want
+    assert got[8] == ("A single sentence stays.", 1, 0) and got[10] == ("", 2, 2) and got[15] == ("", 2, 2)
     assert got[2][0].startswith("Second there.") and got[2][0].endswith("End two.") and got[1][2] == 0
     assert remove_repeats(docs([])).count() == 0
     assert {"_hash", "doc", "n"} <= set(remove_repeats(docs(rows)).columns)
 
 
+def test_passages_of_over_fifty_words_are_found(spark, docs):
+    """With stops or without, at any place of a sentence, and in scripts without spaces."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], []
+    for k in range(300):
+        passage = [word() for _ in range(51)]
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 8])):
+            passage[rng.randrange(51)] += rng.choice([".", "!", "?"])
+        if k % 10 == 0:
+            passage = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(51))]
+        glue = "" if k % 10 == 0 else " "
+        for d in range(2):
+            before, after = ([word() for _ in range(rng.randrange(40))] for _ in range(2))
+            rows.append((2 * k + d, " ".join(before) + glue + " ".join(passage) + glue + " ".join(after)))
+        want.append(2 * k + 1)
+    got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in remove_repeats(docs(rows)).collect()}
+    assert got == brute_repeats(rows)
+    assert {k for k, (_, _, n) in got.items() if n} == set(want)
+
+
+def test_repeated_rows_give_each_mark_once(spark, docs):
+    """Copies of one (id, text) row share their marks; these don't grow with the copies."""
+    from lexmill.llm.substring_dedup import repeated_runs
+
+    text = " ".join(f"Word{k} more text here now." for k in range(8))
+    rows = docs([(1, text)] + [(2, text)] * 30)
+    assert repeated_runs(rows).distinct().count() == 7
+    assert sorted(r.n_removed for r in remove_repeats(rows).collect()) == [0] + [8] * 30
+    assert repeated_runs(docs([])).count() == 0
+
+
 def test_repeats_spans_and_ids(spark, docs):
     passage = " ".join(f"Word{k} more text here now." for k in range(8))
     rows = [(1, passage), (1, passage), (2, "Own begin. " + passage), (None, passage)]
