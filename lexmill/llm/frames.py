@@ -15,3 +15,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def free_prefix(df: DataFrame, prefix: str, *names: str) -> str:
+    """``prefix`` with underscores put before it until no column of the table is one of the prefixed names (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while any(f"{prefix}{x}".lower() in taken for x in names):
+        prefix = f"_{prefix}"
+    return prefix

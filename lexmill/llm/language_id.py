@@ -5,6 +5,10 @@ is kept, and a softmax layer gives the languages. A text is cut into windows of
 windows' log-probabilities are averaged. For prediction, embedding and filters are folded into one table per pair of
 neighbouring bytes, so a convolution is a few table rows added up; that is the same network.
 
+One more class stands for no language: it learns from the sample's windows with their characters shuffled and from
+random letters, digits and signs, as keyboard noise, keys and dumps are. Its probability is part of the result, so a
+caller can reject what has letters but no language; the predicted language is always a learned one.
+
 Training reads a bounded sample of labelled rows: at most ``PER_LANGUAGE`` documents of each language and
 ``MOST_ROWS`` in all, drawn by a hash of id and text, and all windows of their whole texts. A text's windows together
 weigh as the root of their number, and languages weigh alike. Cases: a null text and one without a letter give ``und``
@@ -36,6 +40,13 @@ FILTERS = 12
 PER_LANGUAGE = 400
 MOST_ROWS = 20_000
 EPOCHS = 8
+#: Small samples are gone over more often, for this many steps at least.
+STEPS = 400
+#: Windows of fewer bytes aren't shuffled into examples of no language, as little text can be anything.
+LEAST_NOISE = 48
+#: A caller that rejects may take this probability of no language as its bound: no held-out text with a language reached it.
+NO_LANGUAGE = 0.9
+RESULTS = ("lang_pred", "score", "no_language")
 
 
 @dataclass
@@ -44,7 +55,7 @@ class Network:
     embedding: np.ndarray  # 256 x e
     filters: list[np.ndarray]  # width x e x f each
     bias: np.ndarray
-    out: np.ndarray
+    out: np.ndarray  # a column for each language, and one for none
     out_bias: np.ndarray
 
     def folded(self) -> list[list[np.ndarray]]:
@@ -91,17 +102,34 @@ class Predictor:
         hidden = np.maximum(np.concatenate(pooled, 1) + self.net.bias, 0)
         return log_softmax(hidden @ self.net.out + self.net.out_bias)
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The best language's number and its probability, of each text."""
-        best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language's number, its probability, and that of no language, of each text."""
+        best, score, none = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
         for a, b, data, at in slices(texts, 1 << 18):
             rows, text = windows_of(data, at)
-            sums = np.zeros((b - a, len(self.net.languages)))
+            sums = np.zeros((b - a, len(self.net.languages) + 1))
             for k in range(0, len(rows), 2048):
                 np.add.at(sums, text[k : k + 2048], self.log_probabilities(rows[k : k + 2048]))
             p = np.exp(log_softmax(sums / np.bincount(text, minlength=b - a)[:, None]))
-            best[a:b], score[a:b] = p.argmax(1), p.max(1)
-        return best, score
+            best[a:b], score[a:b], none[a:b] = p[:, :-1].argmax(1), p[:, :-1].max(1), p[:, -1]
+        return best, score, none
+
+
+def noise(rows: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` windows of no language: two in three are some of ``rows`` with their characters shuffled, the others random signs."""
+    out = np.zeros((n, LENGTH), np.uint8)
+    full = rows[(rows > 0).sum(1) >= LEAST_NOISE]
+    signs = [np.frombuffer(x, np.uint8) for x in (b"0123456789abcdef", b"abcdefghijklmnopqrstuvwxyz", bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b"+/=_-")]
+    for k in range(n):
+        if k % 3 and len(full):
+            text = list(full[rng.integers(len(full))].tobytes().decode(errors="ignore").rstrip("\0"))
+            rng.shuffle(text)
+            own = np.frombuffer("".join(text).encode(), np.uint8)
+        else:
+            own = rng.choice(signs[rng.integers(len(signs))], rng.integers(LEAST_NOISE, LENGTH + 1))
+            own[rng.random(len(own)) < rng.choice([0.0, 0.05, 0.15])] = 0x20
+        out[k, : len(own)] = own
+    return out
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Network:
@@ -116,19 +144,22 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Network:
         y.append(np.array([number[x] for x in labels[a:b]])[text])
         root.append(np.bincount(text)[text] ** -0.5)
     x, y, root = np.concatenate(rows), np.concatenate(y), np.concatenate(root)
-    weight = root * (len(y) / (len(languages) * np.bincount(y, root, len(languages))))[y]
+    false = noise(x, -(-len(x) // len(languages)), rng)
+    x, y, root = np.concatenate([x, false]), np.append(y, np.full(len(false), len(languages))), np.append(root, np.ones(len(false)))
+    weight = root * (len(y) / ((len(languages) + 1) * np.bincount(y, root, len(languages) + 1)))[y]
     total = FILTERS * len(WIDTHS)
     params = [rng.normal(0, 0.5, (256, EMBEDDING))] + [rng.normal(0, 0.35, (w, EMBEDDING, FILTERS)) for w in WIDTHS]
-    params += [np.zeros(total), rng.normal(0, 0.2, (total, len(languages))), np.zeros(len(languages))]
+    params += [np.zeros(total), rng.normal(0, 0.2, (total, len(languages) + 1)), np.zeros(len(languages) + 1)]
     params = [p.astype(np.float32) for p in params]
     first_m, second_m, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * 128 // len(x)))
+    for epoch in range(epochs):
         order = rng.permutation(len(x))
         for k in range(0, len(order), 128):
             batch = order[k : k + 128]
             grads = _gradients(params, x[batch], y[batch], weight[batch])
             t += 1
-            rate = 0.01 * (0.5 ** (epoch // 3))
+            rate = 0.01 * 0.5 ** (3 * epoch // epochs)
             for p, g, m, v in zip(params, grads, first_m, second_m, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -174,27 +205,27 @@ def sample_labelled(docs: DataFrame, text_col: str = "text", lang_col: str = "la
 
 
 def identify_language(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_col: str = "lang", prefix: str = "", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (named with ``prefix``), from a network fitted on ``training``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``no_language`` (a probability), named with ``prefix``, from a network fitted on ``training``."""
     spark = docs.sparkSession
     ship_package(spark)
     texts, labels = sample_labelled(training, text_col, lang_col, id_col)
-    pred, score = f"{prefix}lang_pred", f"{prefix}score"
+    pred, score, none = (f"{prefix}{x}" for x in RESULTS)
     if not texts:
-        return docs.withColumn(pred, F.lit("und")).withColumn(score, F.lit(0.0))
+        return docs.withColumns({pred: F.lit("und"), score: F.lit(0.0), none: F.lit(1.0)})
     shared = spark.sparkContext.broadcast(train(texts, labels))
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,none:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Predictor(shared.value)
         names = np.array(model.net.languages, object)
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch, r"\p{L}"), False)
-            best, p = model.batch(batch)
+            best, p, q = model.batch(batch)
             lang = pc.if_else(letters, pa.array(names[best], pa.string()), "und")
-            yield pa.StructArray.from_arrays([lang, pc.if_else(letters, pa.array(p), 0.0)], ["lang", "score"])
+            yield pa.StructArray.from_arrays([lang, pc.if_else(letters, pa.array(p), 0.0), pc.if_else(letters, pa.array(q), 1.0)], ["lang", "score", "none"])
 
     (found,) = free(docs, "_found")
-    return docs.withColumn(found, predict(F.col(text_col))).withColumn(pred, F.col(found).lang).withColumn(score, F.col(found).score).drop(found)
+    return docs.withColumn(found, predict(F.col(text_col))).withColumns({pred: F.col(found).lang, score: F.col(found).score, none: F.col(found).none}).drop(found)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -203,6 +234,6 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; trained on the documents that aren't held out."""
+    """doc_id, held_out, lang_pred, score, no_language of every document; trained on the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    return identify_language(docs.select("doc_id", "text", held_out().alias("held_out")), docs.filter(~held_out())).select("doc_id", "held_out", "lang_pred", "score")
+    return identify_language(docs.select("doc_id", "text", held_out().alias("held_out")), docs.filter(~held_out())).select("doc_id", "held_out", "lang_pred", "score", "no_language")

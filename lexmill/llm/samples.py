@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import save
+
+#: Class counts are broadcast up to this many classes; more are joined by shuffle.
+BROADCAST_CLASSES = 10_000
 #: How many times as many rows as a class may give pass the hash before they are ranked.
 SLACK = 2
 
@@ -18,6 +22,8 @@ def sample_rows(rows: DataFrame, label: str, keys: list[str], per_class: int, mo
     more classes than ``most``, some have no row.
     """
     counts = rows.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_count"))
+    counts = save(counts, "classes")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_CLASSES else counts
     share = F.lit(float(SLACK * per_class)) / F.col("_count") * float(1 << 52)
     h = F.shiftrightunsigned(F.xxhash64(*keys), 12)
     passed = rows.withColumn("_h", h).join(counts, F.col(label) == F.col("_class")).filter(F.col("_h") < share).drop("_class", "_count")

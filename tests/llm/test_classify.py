@@ -30,6 +30,24 @@ def test_language_held_out(spark, small):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
 
 
+def test_no_language(spark, small, docs):
+    """Keys, dumps and shuffled letters are rejected at the pipeline's bound; held-out documents with a language aren't."""
+    import base64
+    import random
+
+    from lexmill.llm.language_id import NO_LANGUAGE
+
+    rng = random.Random(9)
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    real = [r.text for r in table.filter("lang is not null").limit(40).collect() if len(r.text) > 200]
+    junk = [base64.b64encode(rng.randbytes(900)).decode() for _ in range(20)] + [rng.randbytes(400).hex() for _ in range(20)]
+    junk += ["".join(rng.sample(t, len(t))) for t in real[:20]] + ["".join(rng.choice("asdfghjklqwertyuiop ") for _ in range(500)) for _ in range(20)]
+    got = identify_language(docs(list(enumerate(junk))), table.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    assert got.filter(F.col("no_language") >= NO_LANGUAGE).count() >= 0.9 * len(junk)
+    held = op7_language_id(spark, small).filter("held_out").join(table.filter("lang is not null"), "doc_id")
+    assert held.filter(F.col("no_language") >= NO_LANGUAGE).count() <= 0.01 * held.count()
+
+
 def test_language_edge_cases(spark, docs):
     training = docs([(k, "the and of them " * 5) for k in range(30)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
     training = training.withColumn("text", F.when(F.col("lang") == "fr", "que le la été ").otherwise(F.col("text")))

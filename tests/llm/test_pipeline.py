@@ -1,11 +1,15 @@
 """The pipeline's stages on a small corpus with planted cases, and over whole tables against the operators."""
 
+import base64
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, shard string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, shard string, _hits string, _lid_lang_pred string, _lid_score string, _copy string, _order_key string"
+CLASH = ("h", "p", "q", "c", "o")
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +25,10 @@ def planted(spark, tmp_path_factory):
         (104, "123 456", None, "a", 1, None, None),
         (105, "", "en", None, 1, None, None),
     ]
+    rng = random.Random(2)
+    rows += [(110, base64.b64encode(rng.randbytes(700)).decode(), None, "a", 1, "e", "s"), (111, rng.randbytes(500).hex(), None, "b", 1, "e", "s")]
+    rows += [(None, "of and to the one without an id", "en", "a", 1, "e", "s")]
+    rows = [(*r, *CLASH) for r in rows]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
@@ -33,10 +41,14 @@ def test_each_stage(spark, planted):
         docs = stage(spark, docs, planted)
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
-    clean = set(range(40))
+        assert {tuple(r[c] for c in ("_hits", "_lid_lang_pred", "_lid_score", "_copy", "_order_key")) for r in docs.collect()} == {CLASH}
+    clean = set(range(40)) | {None}
+    for k, v in {"language_id": clean | {100, 101, 102}, "near_dedup": clean | {102}, "decontaminate": clean}.items():
+        assert kept[k] ^ v == set()
     assert kept == {"language_id": clean | {100, 101, 102}, "near_dedup": clean | {102}, "decontaminate": clean}
     mixed = pipeline.mix(spark, docs, planted)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= clean
+    assert {tuple(r[c] for c in ("_hits", "_copy", "_order_key")) for r in mixed.collect()} == {("h", "c", "o")}
     placed = pipeline.shards(spark, mixed, planted)
     assert placed.count() == mixed.count()
     assert placed.filter(~F.col("grown_shard").isin(pipeline.SHARDS) & (F.col("grown_shard") != F.col("shard"))).count() == 0
