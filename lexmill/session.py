@@ -32,17 +32,21 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share, as a full URI.
 
-    Where that setting is unset (tests, one machine) a temporary folder is set as checkpoint folder first.
+    A path without a scheme is one of Hadoop's default filesystem, to Spark's writers as to others that open the URI.
+    Where the setting is unset, a local master (tests, one machine) gets a temporary folder; a cluster is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def save(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:

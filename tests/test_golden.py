@@ -294,3 +294,26 @@ def test_json_state(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"cid": 1, "estado": "ok"},\n {"cid": 2}]')
     (tmp_path / "b.json").write_text('{"cid": 3, "x": [1]}')
     assert sorted((r.cid, r.estado) for r in read_state(spark, str(tmp_path), "cid long, estado string").collect()) == [(1, "ok"), (2, None), (3, None)]
+
+
+def test_shared_folders_are_full_uris(spark, monkeypatch):
+    from lexmill.session import shared_dir
+
+    assert shared_dir(spark, "x").startswith("file:///")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: "/tmp/no-scheme/")
+    assert shared_dir(spark, "x").startswith("file:///tmp/no-scheme/x-")
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
+    from lexmill.session import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(), "x")
