@@ -10,7 +10,8 @@ revisit it; their owner comes from counts by SHA-1 with partial aggregation, joi
 ``BROADCAST_OWNERS`` repeated payloads, else by a shuffle in which AQE splits hot payloads.
 
 Cases: a null payload is empty; a null id is written as ``null``, is never an owner and revisits like others; rows that
-share the owner's id and payload are all responses; a null url gives the record's own URN as target. A record that is
+share the owner's id and payload are all responses; a null url gives the record's own URN as target; an empty table gives
+an empty manifest; only the three named columns are read, so others may have any name. A record that is
 cut off, lacks a length or fails a digest comes back with ``error`` set; reading goes on at the next member, if any.
 """
 
@@ -147,7 +148,8 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    """The filesystem and path of a URI as ``shared_dir`` gives it; a path without a scheme is a local one."""
+    return pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
