@@ -1,14 +1,20 @@
-"""Full-text search as joins: an inverted index, BM25 for many queries at once, weighted fields, phrases, snippets."""
+"""Full-text search as joins: an inverted index, BM25 for many queries at once, weighted fields, phrases, snippets.
+
+Build the index once with ``write_index``: it is a table partitioned by a hash of the term, so a search reads the
+partitions of its own terms.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import all_found, fold
+from lexmill.session import save
 
 K1, B = 1.2, 0.75
 WORD = r"([\p{L}\p{N}]+)"
+BUCKETS = 64
 
 
 def tokens(text):
@@ -33,24 +39,54 @@ def corpus_shape(norms: DataFrame, index: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.coalesce(F.sum("t"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("avgdl"))
 
 
+def bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(norms: DataFrame, fields: dict[str, float], path: str, id_col: str = "id") -> None:
+    """Write postings and corpus shape below ``path``, once for all searches.
+
+    Rows are dealt by term bucket and document, so a frequent term fills no single task; files are sorted by term.
+    """
+    rows = postings(norms, fields, id_col).withColumn("bucket", bucket(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_shape(norms, norms.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, shape) of an index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/shape")
+
+
+def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the terms; of a written index, only their buckets are read (at most ``BUCKETS`` numbers reach the driver)."""
+    own = terms.select("term").distinct()
+    if "bucket" in index.columns:
+        index = index.filter(F.col("bucket").isin([r[0] for r in own.select(bucket(F.col("term"))).distinct().collect()]))
+    return index.join(own, "term", "left_semi")
+
+
 def query_terms(queries: DataFrame, query_col: str = "query", id_col: str = "query_id") -> DataFrame:
     """(query_id, term): distinct folded terms of each query, operators stripped; an empty query has none."""
     clean = F.regexp_replace(F.coalesce(F.col(query_col), F.lit("")), r"[\"*^:()]", " ")
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(clean))).alias("term"))
 
 
-def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, every_term: bool = False, score_mode: str = "bm25") -> DataFrame:
+def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, every_term: bool = False, score_mode: str = "bm25", allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, puesto, score) of each query's best documents; ``every_term`` asks for all of a query's terms.
 
-    Only the postings of query terms are read on; document frequencies come from them. ``score_mode='reference'`` gives
-    1 / (1 + score), which falls as relevance rises; the ranks stay those of BM25.
+    Only the postings of query terms are read on; document frequencies come from them. ``allowed`` has the ids that
+    filters leave (municipality, type, in force): they are picked before the top k, while weights stay those of the whole
+    corpus. ``score_mode='reference'`` gives 1 / (1 + score), which falls as relevance rises; the ranks stay those of BM25.
     """
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = postings_of(index, terms)
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = shape.first()
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
     asked = terms.join(df, "term").withColumn("idf", idf)
+    if allowed is not None:
+        wanted = wanted.join(allowed.select("id").distinct(), "id", "left_semi")
     hits = wanted.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * tf).alias("_s"), F.count(F.lit(1)).alias("_n"))
     if every_term:
         hits = hits.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_all")), "query_id").filter("_n = _all")
@@ -62,26 +98,41 @@ def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, ev
 def all_terms_or_phrase(norms: DataFrame, queries: DataFrame, index: DataFrame, shape: DataFrame, text_col: str = "texto", top: int = 20, block: int = 500) -> DataFrame:
     """Documents with all terms; for queries without such, those whose folded text has the query as a phrase, in order of id (score 0).
 
-    Phrases go over the texts in blocks of about ``block`` queries, each block one scan.
+    A phrase may begin and end within words, but the words inside it are whole: the texts that have the rarest of them,
+    by the index, are read for a phrase of three words or more. Shorter phrases go over all texts in blocks of about
+    ``block`` queries, each block one scan.
     """
-    hits = bm25(index, shape, query_terms(queries), top, every_term=True)
+    hits = save(bm25(index, shape, query_terms(queries), top, every_term=True), "all-terms")
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", fold(F.trim("query")).alias("q")).filter("q <> ''")
-    parts = -(-rest.count() // block)
+    words = tokens(F.col("q"))
+    rest = save(rest.withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))), "phrases")
+    inner = rest.filter(F.size("inner") > 0).select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
+    found = postings_of(index, inner)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("m")).filter("m.df > 0").select("query_id", F.col("m.term").alias("term"))
+    near = found.select("term", "id").join(rarest, "term").join(rest.select("query_id", "q"), "query_id").select("query_id", "q", "id")
+    texts = norms.select("id", fold(text_col).alias("_t"))
+    phrases = near.join(texts, "id").filter(F.contains("_t", F.col("q"))).select("query_id", "id")
+    short = rest.filter(F.size("inner") == 0).select("query_id", "q")
+    parts = -(-short.count() // block)
     for part in range(parts):
-        own = rest.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        own = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
         if not own:
             continue
         asked = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q")) for r in own])
-        found = norms.select("id", fold(text_col).alias("_t")).select("id", F.explode(F.filter(asked, lambda x: F.contains(F.col("_t"), x["q"]))).alias("m"))
-        w = Window.partitionBy("query_id").orderBy("id")
-        best = found.select("m.query_id", "id").withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top)
-        hits = hits.unionByName(best.select("query_id", "id", "puesto", F.lit(0.0).alias("score")))
-    return hits
-
-
-def weighted_rank(index: DataFrame, terms: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, id, puesto, score): weighted term counts r of the query's terms as r / (r + 1)."""
-    r = index.join(terms, "term").groupBy("query_id", "id").agg(F.sum("wtf").alias("_r"))
+        m = texts.select("id", F.explode(F.filter(asked, lambda x: F.contains(F.col("_t"), x["q"]))).alias("m"))
+        phrases = phrases.unionByName(m.select("m.query_id", "id"))
+    w = Window.partitionBy("query_id").orderBy("id")
+    best = phrases.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top)
+    return hits.unionByName(best.select("query_id", "id", "puesto", F.lit(0.0).alias("score")))
+
+
+def weighted_rank(index: DataFrame, terms: DataFrame, top: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, puesto, score): weighted term counts r of the query's terms as r / (r + 1), of the ``allowed`` ids if given."""
+    wanted = postings_of(index, terms)
+    if allowed is not None:
+        wanted = wanted.join(allowed.select("id").distinct(), "id", "left_semi")
+    r = wanted.join(terms, "term").groupBy("query_id", "id").agg(F.sum("wtf").alias("_r"))
     score = F.round(F.col("_r") / (F.col("_r") + 1), 6)
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
     return r.withColumn("score", score).withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top).select("query_id", "id", "puesto", "score")

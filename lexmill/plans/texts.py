@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import parse as P
 from lexmill.functions import text as T
 from lexmill.operators import compose as C
+from lexmill.operators import filters as L
 from lexmill.operators import search as R
 from lexmill.operators import splits as X
 from lexmill.operators import vectors as V
@@ -289,22 +290,32 @@ def s10(spark, sf):
 
 
 def search_queries(spark, sf):
-    """(query_id, query): the first four words of each benchmark item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    """(query_id, query): the whole text of each benchmark item."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _TOK = "regexp_extract_all(lower(strip_accents({x})), '([\\p{L}\\p{N}]+)')"
 _INDEX = f"""{NORMAS}, tk AS (SELECT id, unnest({_TOK.replace('{x}', "titulo || ' ' || texto")}) AS term FROM normas), dl AS (SELECT id, count(*) AS dl FROM tk GROUP BY 1),
-p AS (SELECT term, id, count(*) AS tf FROM tk GROUP BY 1, 2), q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark),
+p AS (SELECT term, id, count(*) AS tf FROM tk GROUP BY 1, 2), q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({_TOK.replace('{x}', 'query')}) AS term FROM q)),
 df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM qt) GROUP BY 1), sh AS (SELECT (SELECT count(*) FROM normas)::DOUBLE AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM normas) AS avgdl),
 sc AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS s, count(*) AS k FROM qt JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id), sh GROUP BY 1, 2)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def index(spark, sf):
-    n = normas(spark, sf)
-    terms = save(R.postings(n, {"titulo": 4.0, "texto": 1.0}), "postings")
-    return terms, R.corpus_shape(n, terms)
+    """Postings and shape of the norms' index, written once for a session and a folder of tables."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        path = shared_dir(spark, "index")
+        R.write_index(normas(spark, sf), {"titulo": 4.0, "texto": 1.0}, path)
+        _INDEXES[key] = path
+    return R.read_index(spark, _INDEXES[key])
+
+
+_TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM {x})"
 
 
 @query("r1_postings", f"WITH {_INDEX} SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM p GROUP BY 1")
@@ -323,7 +334,13 @@ def r3(spark, sf):
     return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)))
 
 
-@query("r4_all_terms", f"WITH {_INDEX}, nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), r AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM sc JOIN nq USING (query_id) WHERE k = m) SELECT query_id, id, puesto::INT AS puesto FROM r WHERE puesto <= 20")
+@query("r3_filtered", f"WITH {_INDEX}, f AS (SELECT sc.* FROM sc JOIN normas USING (id) WHERE tipo = 'ordenanza' AND estado IN ('vigente', 'modificada') AND codigo_localidad = 3), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
+def r3_filtered(spark, sf):
+    own = L.in_force(L.of_type(normas(spark, sf).filter("codigo_localidad = 3"), "ordenanza"))
+    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), allowed=own)
+
+
+@query("r4_all_terms", f"WITH {_INDEX}, nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), f AS (SELECT sc.* FROM sc JOIN nq USING (query_id) WHERE k = m), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto FROM r WHERE puesto <= 20")
 def r4(spark, sf):
     return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), every_term=True).select("query_id", "id", "puesto")
 
@@ -333,17 +350,31 @@ def r5(spark, sf):
     return R.weighted_rank(index(spark, sf)[0], R.query_terms(search_queries(spark, sf)))
 
 
-@query("r6_snippets")
+@query(
+    "r6_snippets",
+    f"""WITH {_INDEX}, {_TOP.replace('{x}', 'sc')}, top AS (SELECT query_id, id, puesto, texto FROM r JOIN normas USING (id) WHERE puesto <= 3),
+w AS (SELECT query_id, id, puesto, unnest(string_split_regex(trim(texto), '\\s+')) AS word, generate_subscripts(string_split_regex(trim(texto), '\\s+'), 1) AS k FROM top),
+tw AS (SELECT query_id, id, k, unnest({_TOK.replace('{x}', 'word')}) AS term FROM w), hw AS (SELECT DISTINCT query_id, id, k FROM tw JOIN qt USING (query_id, term)),
+h AS (SELECT w.*, (hw.k IS NOT NULL)::INT AS hit FROM w LEFT JOIN hw USING (query_id, id, k)),
+s AS (SELECT *, sum(hit) OVER (PARTITION BY query_id, id ORDER BY k ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS n FROM h),
+b AS (SELECT query_id, id, coalesce(arg_min(k, -n * 1000000 + k) FILTER (hit = 1), 1) AS k0 FROM s GROUP BY 1, 2)
+SELECT query_id, id, max(puesto)::INT AS puesto, string_agg(CASE WHEN hit = 1 THEN '<<' || word || '>>' ELSE word END, ' ' ORDER BY k) AS snippet FROM h JOIN b USING (query_id, id) WHERE k BETWEEN k0 AND k0 + 11 GROUP BY 1, 2""",
+)
 def r6(spark, sf):
     terms = R.query_terms(search_queries(spark, sf))
-    return R.snippets(R.bm25(*index(spark, sf), terms, 3), normas(spark, sf), terms)
+    return R.snippets(R.bm25(*index(spark, sf), terms, 3), normas(spark, sf), terms).select("query_id", "id", "puesto", "snippet")
 
 
-@query("a14_retrieval")
+@query(
+    "a14_retrieval",
+    f"""WITH {_INDEX}, {_TOP.replace('{x}', 'sc')}, c AS (SELECT query_id, list_filter({_TOK.replace('{x}', 'query')}, lambda x: length(x) >= 8) AS palabras FROM q),
+h AS (SELECT query_id, max(len(list_filter(palabras, lambda p: contains(lower(strip_accents(texto)), p))) > 0) AS hit FROM r JOIN normas USING (id) JOIN c USING (query_id) WHERE puesto <= 10 GROUP BY 1)
+SELECT count(*) AS casos, count(*) FILTER (hit) AS con_acierto, round(avg(coalesce(hit, false)::INT), 4) AS tasa FROM c LEFT JOIN h USING (query_id)""",
+)
 def a14(spark, sf):
     q = search_queries(spark, sf)
     hits = R.bm25(*index(spark, sf), R.query_terms(q), 10).join(normas(spark, sf).select("id", "texto"), "id")
-    return retrieval_report(hits, q.select("query_id", F.slice(F.split("query", " "), 1, 2).alias("palabras")))
+    return retrieval_report(hits, q.select("query_id", F.filter(R.tokens(F.col("query")), lambda x: F.length(x) >= 8).alias("palabras")))
 
 
 def vectors(spark, sf):
@@ -383,11 +414,11 @@ def v5(spark, sf):
     return V.article_search(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), a, normas(spark, sf), 5, 0.0, True).select("query_id", "id")
 
 
-@query("v7_combined")
+@query("v7_combined", f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score, CASE WHEN c.label < 4 THEN 'norma' ELSE 'articulo' END AS clase FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, clase ORDER BY score DESC, id) AS z FROM s WHERE score >= 0), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clase DESC, id) AS puesto FROM r WHERE z <= 10) SELECT query_id, id, round(score, 4) AS score, puesto::INT AS puesto, clase FROM f WHERE puesto <= 10")
 def v7(spark, sf):
     v = vectors(spark, sf)
     q = v.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
-    return V.combined(V.top_k(q, v.filter("label < 4"), 10, 0.0), V.top_k(q, v.filter("label >= 4"), 10, 0.0), 10).select("query_id", "id", "score", "puesto", "clase")
+    return V.combined(V.top_k(q, v.filter("label < 4"), 10, 0.0), V.top_k(q, v.filter("label >= 4"), 10, 0.0), 10).select("query_id", "id", F.round("score", 4).alias("score"), "puesto", "clase")
 
 
 @query("v8_neighbours", f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id AND q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS puesto FROM s WHERE score >= 0.2) SELECT query_id, id FROM r WHERE puesto <= 10")
@@ -411,7 +442,12 @@ def v10(spark, sf):
     return V.embed(normas(spark, sf), done, V.test_encoder(16)).select("id", F.size("vector").alias("n"))
 
 
-@query("c1_dossier")
+@query(
+    "c1_dossier",
+    f"""WITH {_INDEX}, {ARTICULOS}, {_TOP.replace('{x}', 'sc')}, f AS (SELECT query_id, id, s, titulo, estado, row_number() OVER (PARTITION BY query_id ORDER BY puesto) AS puesto FROM r JOIN normas USING (id) WHERE puesto <= 100 AND (anio IS NULL OR anio BETWEEN 2000 AND 2020)),
+k AS (SELECT norma_id AS id, string_agg('- **Art. ' || numero || '** ' || substr(texto, 1, 250), chr(10) ORDER BY orden) AS t FROM articulos WHERE orden <= 5 GROUP BY 1)
+SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score, '## ' || titulo || chr(10) || 'Estado: ' || estado || chr(10) || coalesce(t, '') AS markdown FROM f LEFT JOIN k USING (id)""",
+)
 def c1(spark, sf):
     terms = R.query_terms(search_queries(spark, sf))
     return C.dossier(normas(spark, sf), articulos(spark, sf), *index(spark, sf), terms, 2000, 2020).select("query_id", "id", "puesto", "score", "markdown")
@@ -485,6 +521,13 @@ def v11(spark, sf):
     return V.build_index(n, path, V.test_encoder(8), "m", "g2", first).select("generation_id", "active", "total")
 
 
-@query("r4_phrases")
+@query(
+    "r4_phrases",
+    f"""WITH {_INDEX}, nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), f AS (SELECT sc.* FROM sc JOIN nq USING (query_id) WHERE k = m), {_TOP.replace('{x}', 'f')},
+ph AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS puesto FROM q JOIN normas ON contains(lower(strip_accents(texto)), lower(strip_accents(trim(query)))) WHERE query_id NOT IN (SELECT query_id FROM f))
+SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20 UNION ALL SELECT query_id, id, puesto, 0 FROM ph WHERE puesto <= 20""".replace("text AS query FROM benchmark", "substr(text, 2, 30) AS query FROM benchmark"),
+)
 def r4_phrases(spark, sf):
-    return R.all_terms_or_phrase(normas(spark, sf), search_queries(spark, sf), *index(spark, sf))
+    """Each benchmark text from its second to its 31st character: phrases that begin and end within words."""
+    q = search_queries(spark, sf).withColumn("query", F.substring("query", 2, 30))
+    return R.all_terms_or_phrase(normas(spark, sf), q, *index(spark, sf))
