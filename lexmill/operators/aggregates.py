@@ -114,13 +114,26 @@ def compare_extractors(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(shared / F.greatest(F.lit(1), mine), 4).alias("solape"), F.sum(F.col("b.referencias") - F.col("a.referencias")).alias("dif_referencias"), F.round(F.avg("a.ms"), 4).alias("ms_a"), F.round(F.avg("b.ms"), 4).alias("ms_b"))
 
 
-#: Spanish stop words of four letters and more, folded.
-STOP_WORDS = ("para", "como", "esta", "este", "esto", "estos", "estas", "desde", "hasta", "sobre", "entre", "donde", "cuando", "segun", "todo", "todos", "toda", "todas", "sera", "seran", "dicho", "dicha", "articulo", "ordenanza", "decreto", "municipal", "partido", "presente")
+#: Spanish stop words. Words are folded before they are compared, so those with an accent never match.
+STOP_WORDS = (
+    "el", "la", "de", "que", "y", "a", "en", "un", "ser", "se", "no", "haber",
+    "por", "con", "su", "para", "como", "estar", "tener", "le", "lo", "todo",
+    "pero", "más", "hacer", "o", "poder", "decir", "este", "ir", "otro", "ese",
+    "la", "si", "me", "ya", "ver", "porque", "dar", "cuando", "él", "muy",
+    "sin", "vez", "mucho", "saber", "qué", "sobre", "mi", "alguno", "mismo",
+    "yo", "también", "hasta", "año", "dos", "querer", "entre", "así", "primero",
+    "desde", "grande", "eso", "ni", "nos", "llegar", "pasar", "tiempo", "ella",
+    "sí", "día", "uno", "bien", "poco", "deber", "entonces", "poner", "cosa",
+    "tanto", "hombre", "parecer", "nuestro", "tan", "donde", "ahora", "parte",
+    "después", "vida", "quedar", "siempre", "creer", "hablar", "llevar", "dejar",
+    "nada", "cada", "seguir", "menos", "nuevo", "encontrar", "algo", "solo",
+)
+KEYWORD = r"(?<![a-z0-9_])([a-z]{4,})(?![a-z0-9_])"
 
 
 def keywords(norms: DataFrame, id_col: str = "id", text_col: str = "texto", most: int = 8, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(id, palabras): the most frequent folded words of four letters and more that aren't stop words, ties in order of the word."""
-    words = norms.select(F.col(id_col).alias("id"), F.explode(all_found(fold(F.col(text_col)), r"(\p{L}{4,})")).alias("w")).filter(~F.col("w").isin(*stop))
+    """(id, palabras): the most frequent folded words of four letters a to z and more that aren't stop words, ties in order of the word."""
+    words = norms.select(F.col(id_col).alias("id"), F.explode(all_found(fold(F.col(text_col)), KEYWORD)).alias("w")).filter(~F.col("w").isin(*stop))
     counted = words.groupBy("id", "w").count()
     w = Window.partitionBy("id").orderBy(F.desc("count"), "w")
     best = counted.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)

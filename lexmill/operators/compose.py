@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.parse import mined_references
-from lexmill.functions.text import all_found, fold
+from lexmill.functions.text import col
 from lexmill.operators.filters import dossier_years
 from lexmill.operators.graph import reconcile
 from lexmill.operators.joins import children
-from lexmill.operators.search import bm25
+from lexmill.operators.search import bm25, query_terms
 from lexmill.operators.vectors import top_k
 
 
@@ -57,36 +57,47 @@ def enrich_and_reconcile(norms: DataFrame) -> dict[str, DataFrame]:
 
 
 def title_terms(title: Column | str, most: int = 4) -> Column:
-    """The first words of over four letters of a title, folded."""
-    return F.slice(all_found(fold(title), r"(\p{L}{5,})"), 1, most)
+    """The first words of over four characters of a title, as a query."""
+    return F.array_join(F.slice(F.filter(F.split(F.coalesce(col(title), F.lit("")), r"\s+"), lambda w: F.length(w) > 4), 1, most), " ")
 
 
-def compare_municipalities(candidates: DataFrame, target_vectors: DataFrame, lexical: DataFrame, strong: float = 0.75, moderate: float = 0.6, text_least: float = 0.5) -> DataFrame:
-    """(query_id, equivalente, score, via, clase) for candidates (query_id, vector): the target's best match by vector, else by words.
+def compare_municipalities(candidates: DataFrame, target_vectors: DataFrame, lexical: DataFrame, strong: float = 0.75, text_least: float = 0.6, moderate: float = 0.5) -> DataFrame:
+    """(query_id, equivalente, score, via, clase) for candidates (query_id, vector or null): the target's best match.
 
-    ``lexical`` holds each candidate's best text hit (query_id, id, score). Equivalent from ``strong`` on; moderate from
-    ``moderate`` on, or with a text score over ``text_least``; else a possible gap.
+    ``lexical`` holds each candidate's best text hit (query_id, id, score). Its best vector counts from ``strong`` on, else
+    a text score over ``text_least``, else the best vector from ``moderate`` on; else there is a possible gap.
     """
-    best = top_k(candidates, target_vectors, 1, 0.0).select("query_id", F.col("id").alias("v_id"), F.col("score").alias("v"))
+    best = top_k(candidates.filter("vector is not null"), target_vectors, 1, 0.0, digits=4).select("query_id", F.col("id").alias("v_id"), F.col("score").alias("v"))
     text = lexical.select("query_id", F.col("id").alias("t_id"), F.col("score").alias("t"))
     j = candidates.select("query_id").join(best, "query_id", "left").join(text, "query_id", "left")
-    v, t = F.coalesce("v", F.lit(0.0)), F.coalesce("t", F.lit(0.0))
-    by_vector, by_text = v >= moderate, t > text_least
+    via = F.when(F.col("v") >= strong, "vectorial").when(F.col("t") > text_least, "fts_bm25").when(F.col("v") >= moderate, "vectorial_moderado").when(F.col("v").isNotNull(), "vectorial_bajo").otherwise("ninguna")
+    by_text = via == "fts_bm25"
     return j.select(
         "query_id",
-        F.when(by_vector, F.col("v_id")).when(by_text, F.col("t_id")).alias("equivalente"),
-        F.when(by_vector, v).when(by_text, t).otherwise(F.greatest(v, t)).alias("score"),
-        F.when(by_vector, "vector").when(by_text, "texto").otherwise("ninguna").alias("via"),
-        F.when(v >= strong, "equivalente").when(by_vector | by_text, "moderada").otherwise("posible_brecha").alias("clase"),
+        F.when(by_text, F.col("t_id")).otherwise(F.col("v_id")).alias("equivalente"),
+        F.when(by_text, F.col("t")).otherwise(F.col("v")).alias("score"),
+        via.alias("via"),
+        F.when(via.isin("vectorial", "fts_bm25", "vectorial_moderado"), "equivalente_encontrado").otherwise("posible_brecha").alias("clase"),
     )
 
 
+def compare_norms(candidates: DataFrame, target: DataFrame, index: DataFrame, shape: DataFrame) -> DataFrame:
+    """``compare_municipalities`` of candidate norms (id, titulo, vector) against a municipality's norms (id, vector): by vector, and by the words of their titles."""
+    queries = candidates.select(F.col("id").alias("query_id"), "vector", title_terms("titulo").alias("query"))
+    lexical = bm25(index, shape, query_terms(queries), 1, score_mode="reference", allowed=target)
+    return compare_municipalities(queries.select("query_id", "vector"), target.filter("vector is not null").select("id", "vector"), lexical)
+
+
 def gap_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("clase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def report_index(norms: DataFrame, section: str) -> DataFrame:
-    """(seccion, n, lista): sections in order of their names with their norms' titles, newest first."""
-    order = F.struct((-F.coalesce("anio", F.lit(-1))).alias("y"), (-F.coalesce("numero", F.lit(-1))).alias("k"), "id", "titulo")
-    rows = norms.groupBy(F.col(section).alias("seccion")).agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(order)), lambda x: x["titulo"]).alias("lista"))
-    return rows.orderBy("seccion")
+    """(seccion, n, puesto, titulo): a row per norm, numbered in its section, newest first; sections in order of their names.
+
+    Rows, not a list per section, so no section has to fit in a row.
+    """
+    counts = norms.groupBy(F.col(section).alias("seccion")).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.coalesce("anio", F.lit(-1)).desc(), F.coalesce("numero", F.lit(-1)).desc(), "id"]
+    rows = norms.select(F.col(section).alias("seccion"), F.row_number().over(Window.partitionBy(section).orderBy(*order)).alias("puesto"), "titulo")
+    return rows.join(counts, rows["seccion"].eqNullSafe(counts["seccion"])).select(rows["seccion"], "n", "puesto", "titulo").orderBy("seccion", "puesto")

@@ -69,6 +69,11 @@ def full_records(norms: DataFrame, parts: dict[str, tuple[DataFrame, str, list[s
     return out
 
 
+def response_documents(norms: DataFrame, parts: dict[str, tuple[DataFrame, str, list[str]]], fields: list[str], id_col: str = "id", parent: str = "norma_id") -> DataFrame:
+    """(id, documento): each norm's ``fields`` and child tables (as in ``full_records``) as one JSON object; no children give an empty array."""
+    return full_records(norms, parts, id_col, parent).select(id_col, F.to_json(F.struct(*fields, *parts), {"ignoreNullFields": "false"}).alias("documento"))
+
+
 def cache_key(text: str, model: str, style: str, length: int):
     return F.sha2(F.concat_ws("|", F.lit(model), F.lit(style), F.lit(str(length)), F.col(text)), 256)
 

@@ -176,7 +176,7 @@ def n7(spark, sf):
 @query("n8_cache", "WITH k AS (SELECT doc_id, sha256('m|formal|50|' || text) AS clave FROM documents) SELECT doc_id, clave, EXISTS (SELECT 1 FROM k c WHERE c.doc_id % 2 = 0 AND c.clave = k.clave) AS hit FROM k")
 def n8(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    cache = d.filter("doc_id % 2 = 0").select(J.cache_key("text", "m", "formal", 50).alias("clave"), F.substring("text", 1, 20).alias("resumen")).dropDuplicates(["clave"])
+    cache = d.filter("doc_id % 2 = 0").select(J.cache_key("text", "m", "formal", 50).alias("clave"), F.col("text").alias("resumen")).dropDuplicates(["clave"])
     return J.cached(d, cache, "text", "m").select("doc_id", "clave", "hit")
 
 
@@ -297,7 +297,7 @@ def a14(spark, sf):
     return A.latency_report(table(spark, sf, "events"), "value")
 
 
-_KEYWORDS = """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(strip_accents(text)), '(\\p{L}{4,})')) AS w FROM documents),
+_KEYWORDS = """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(strip_accents(text)), '\\b([a-z]{4,})\\b', 1)) AS w FROM documents),
 c AS (SELECT id, w, count(*) AS n FROM w WHERE w NOT IN ({stop}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, w) AS k FROM c)
 SELECT id, list(w ORDER BY k) AS palabras FROM r WHERE k <= 8 GROUP BY 1"""
 

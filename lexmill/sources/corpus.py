@@ -23,7 +23,11 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, anio, numero, texto) of .txt files in folders named by year, with the number after N° in the file's name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    return text_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path))
+
+
+def text_rows(files: DataFrame) -> DataFrame:
+    """(path, anio, numero, texto) of text files given as (path, content)."""
     p = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     return files.select(p.alias("path"), F.regexp_extract(p, r"/(\d{4})/[^/]*$", 1).try_cast("int").alias("anio"), F.regexp_extract(p, r"[N][°º]\s*(\d+)[^/]*$", 1).try_cast("int").alias("numero"), decoded(F.col("content")).alias("texto"))
 
