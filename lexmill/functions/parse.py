@@ -173,14 +173,23 @@ def strip_fences(c: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(col(c), r"(?m)^[ \t]*```\w*[ \t]*\r?\n?", ""), r"\n[ \t]*\n([ \t]*\n)+", "\n\n"))
 
 
+#: Boilerplate phrases of provincial norms, in the order in which they go.
+BOILERPLATE = (
+    r"(?i)LA PLATA,\s+\d+\s+de\s+\w+\s+de\s+\d{4}",
+    r"(?is)VISTO el expediente.*?Y CONSIDERANDO:?",
+    r"(?is)Por ello,.*?(EL GOBERNADOR|EL PRESIDENTE) DE LA PROVINCIA DE BUENOS AIRES.*(DECRETA|PROMULGA|SANCIONA):?",
+    r"(?is)Registrar, comunicar y dar al SINDMA.*?(AXEL KICILLOF|MARIA EUGENIA VIDAL|DANIEL SCIOLI|FIRMANTES)",
+)
+
+
 def strip_boilerplate(c: Column | str) -> Column:
-    """Page text without scripts, tags, a date line at its begin, the part from VISTO to CONSIDERANDO, and signatures."""
-    out = F.regexp_replace(col(c), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    out = F.regexp_replace(out, r"(?iu)\A\s*[\p{L} .]{1,40},\s*\d{1,2} de \p{L}+ de \d{4}\.?", "")
-    out = F.regexp_replace(out, r"(?isu)\bVISTO\b.*?\bCONSIDERANDO\b\s*:?", " ")
-    out = F.regexp_replace(out, r"(?isu)\b(?:REG[IÍ]STRESE|COMUN[IÍ]QUESE),.{0,200}\z", "")
-    return strip(F.regexp_replace(out, r"\s+", " "))
+    """A page's main text without date line, VISTO to CONSIDERANDO, preamble, signatures, tags that are left, and doubled white space."""
+    out = col(c)
+    for phrase in BOILERPLATE:
+        out = F.regexp_replace(out, phrase, "")
+    out = F.regexp_replace(out, r"<[^>]*>?", "")
+    out = strip(F.regexp_replace(out, r"(\r\n|\r|\n){2,}", "\n\n"))
+    return F.regexp_replace(out, r"\s{2,}", " ")
 
 
 def json_in_text(c: Column | str) -> Column:
@@ -218,24 +227,30 @@ def _with_defaults(j: Column) -> Column:
 
 
 def _repair(text: str) -> str | None:
-    """Close what a cut-off JSON text leaves open, from the latest place in its last 500 characters where that parses."""
+    """Close what a cut-off JSON text leaves open, from the latest place in its last 500 characters where that parses.
+
+    One pass finds what is open at each of these places; only places where a value or a string can end are tried.
+    """
     import json
 
-    for end in range(len(text), max(0, len(text) - 500) - 1, -1):
-        head = text[:end].rstrip().rstrip(",")
-        stack, quoted, skip = [], False, False
-        for ch in head:
-            if skip:
-                skip = False
-            elif quoted:
-                quoted, skip = ch != '"', ch == "\\"
-            elif ch == '"':
-                quoted = True
-            elif ch in "{[":
-                stack.append("}" if ch == "{" else "]")
-            elif ch in "}]" and stack:
-                stack.pop()
-        fixed = head + '"' * quoted + "".join(reversed(stack))
+    first, places = max(0, len(text) - 500), []
+    stack: list[str] = []
+    quoted = skip = False
+    for k, ch in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            quoted, skip = ch != '"', ch == "\\"
+        elif ch == '"':
+            quoted = True
+        elif ch in "{[":
+            stack.append("}" if ch == "{" else "]")
+        elif ch in "}]" and stack:
+            stack.pop()
+        if k + 1 >= first and (quoted and not skip or not quoted and (ch in '"}]{[' or ch.isalnum())):
+            places.append((k + 1, '"' * quoted + "".join(reversed(stack))))
+    for end, tail in reversed(places):
+        fixed = text[:end].rstrip() + tail if '"' != tail[:1] else text[:end] + tail
         try:
             json.loads(fixed)
             return fixed

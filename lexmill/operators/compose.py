@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from lexmill.operators.filters import dossier_years
 from lexmill.operators.graph import reconcile
 from lexmill.operators.joins import children
 from lexmill.operators.search import bm25, query_terms
-from lexmill.operators.vectors import top_k
+from lexmill.operators.vectors import embed, top_k
 
 
 def dossier(norms: DataFrame, articles: DataFrame, index: DataFrame, shape: DataFrame, terms: DataFrame, since: int | None = None, until: int | None = None, municipalities: list[int] | None = None, search_limit: int | None = 100, first_articles: int = 5, cut: int = 250) -> DataFrame:
@@ -34,10 +37,11 @@ def dossier(norms: DataFrame, articles: DataFrame, index: DataFrame, shape: Data
     return out.select("query_id", "id", "puesto", "score", "articulos", text.alias("markdown"))
 
 
-def enrich_and_reconcile(norms: DataFrame) -> dict[str, DataFrame]:
+def enrich_and_reconcile(norms: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, embedded: DataFrame | None = None) -> dict[str, DataFrame]:
     """References mined from the texts of all municipalities' norms at once, resolved, and the cascade over them.
 
-    ``norms``: id, tipo, numero, anio, codigo_localidad, estado, notas_vigencia, texto.
+    ``norms``: id, tipo, numero, anio, codigo_localidad, estado, notas_vigencia, texto. With an ``encoder``, ``vectores``
+    (id, vector) has the norms that ``embedded`` lacks.
     """
     mined = norms.select(F.col("id").alias("norma_origen_id"), "codigo_localidad", "titulo", F.posexplode(mined_references("texto")).alias("k", "m"))
     refs = mined.select(
@@ -53,7 +57,10 @@ def enrich_and_reconcile(norms: DataFrame) -> dict[str, DataFrame]:
         F.col("titulo").alias("etiqueta"),
         F.lit(None).cast("string").alias("articulos_afectados"),
     )
-    return reconcile(norms, refs)
+    out = reconcile(norms, refs)
+    if encoder is not None:
+        out["vectores"] = embed(norms, embedded, encoder)
+    return out
 
 
 def title_terms(title: Column | str, most: int = 4) -> Column:

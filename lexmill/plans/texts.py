@@ -161,9 +161,34 @@ def p20(spark, sf):
     return normas(spark, sf).select("id", F.md5(P.strip_fences(F.concat(F.lit("```json\n"), F.col("texto"), F.lit("\n```\n")))).alias("m"))
 
 
-@query("p21_boilerplate", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS m FROM pages")
+_BODY_TEXT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)<(script|style)\\b.*?</(script|style)\\s*>|<nav\\b.*?</nav\\s*>|<header\\b.*?</header\\s*>|<footer\\b.*?</footer\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"
+_DECODED = f"replace(replace(replace(replace(replace({_BODY_TEXT}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query("p21_boilerplate", f"SELECT page_id AS id, md5(regexp_replace(trim(regexp_replace(regexp_replace({_DECODED}, '<[^>]*>?', '', 'g'), '^\\s+|\\s+$', '', 'g')), '\\s{{2,}}', ' ', 'g')) AS m FROM pages")
 def p21(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(P.strip_boilerplate("html")).alias("m"))
+    return H.main_text(table(spark, sf, "pages")).select("id", F.md5(P.strip_boilerplate("texto")).alias("m"))
+
+
+@query("p21_norm_pages", "SELECT doc_id AS id, md5(regexp_replace(trim('que conviene; Artículo 1. ' || regexp_replace(regexp_replace(text, '[<&]', '', 'g'), '^\\s+|\\s+$', '', 'g')), '\\s{2,}', ' ', 'g')) AS m FROM documents WHERE length(regexp_replace(regexp_replace(text, '[<&]', '', 'g'), '\\s', '', 'g')) > 0")
+def p21_norm_pages(spark, sf):
+    """Each document's whole text in a page of a provincial norm, with frame, date, preamble and signatures."""
+    own = F.regexp_replace(F.regexp_replace("texto", "[<&]", ""), r"\A\s+|\s+\z", "")
+    before = "<html><body><header>Cabecera</header><nav><a href='/x'>Inicio</a></nav><div class='sidebar x'>Otra</div><div class='norma-content'><p>LA PLATA, 3 de mayo de 2004</p><p>VISTO el expediente 4-2004 Y CONSIDERANDO: que conviene; Por ello, EL GOBERNADOR DE LA PROVINCIA DE BUENOS AIRES DECRETA:</p><div>Artículo 1. "
+    after = "</div><p>Registrar, comunicar y dar al SINDMA. FIRMANTES</p></div><div>fuera</div><footer>Pie</footer></body></html>"
+    pages = normas(spark, sf).select(F.col("id").alias("page_id"), F.concat(F.lit(before), own, F.lit(after)).alias("html")).filter(F.length(F.regexp_replace(own, r"\s", "")) > 0)
+    return H.main_text(pages).select("id", F.md5(P.strip_boilerplate("texto")).alias("m"))
+
+
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("p22_links", f"""WITH h AS (SELECT page_id AS id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+r AS (SELECT id, 'a' AS clase, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS destino, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS texto FROM h
+UNION ALL SELECT id, 'h1', '', unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) FROM h UNION ALL SELECT id, 'title', '', unnest(regexp_extract_all(html, '(?s)<title[^>]*>(.*?)</title>', 1)) FROM h)
+SELECT id, clase, destino, {_CLEAN.replace('{x}', 'texto')} AS texto FROM r""")
+def p22_links(spark, sf):
+    return H.page_rows(table(spark, sf, "pages")).filter("clase in ('a', 'h1', 'title')").select("id", "clase", "destino", "texto")
 
 
 @query("p22_page_rows")
@@ -534,6 +559,15 @@ def t4(spark, sf):
 
 
 
+@query("t2_bounded_state", "SELECT DISTINCT event_id % 3000 AS contenido_id FROM events")
+def t2_bounded(spark, sf):
+    """As t2_first_arrivals, with state kept for a delay only, which all arrivals here are within."""
+    target, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "arrivals-checkpoint")
+    stream = I.stream_tables(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema).selectExpr("event_id % 3000 as contenido_id", "cast(ts as timestamp) as ts")
+    I.first_arrivals(stream, time_col="ts", delay="3650 days").select("contenido_id").writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query("t2_first_arrivals", "SELECT DISTINCT event_id % 3000 AS contenido_id FROM events")
 def t2(spark, sf):
     target, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "arrivals-checkpoint")
@@ -547,12 +581,15 @@ def t2(spark, sf):
     f"""WITH {NORMAS}, n AS (SELECT id, tipo, numero, codigo_localidad, estado, coalesce(anio, CASE WHEN tipo = 'ordenanza' THEN 2001 ELSE (1981 + id % 40)::INT END) AS anio FROM normas),
 r AS (SELECT id % 300 + 1 AS numero, 1999 AS anio, codigo_localidad, 1 AS s FROM n UNION ALL SELECT id % 200 + 1, 2001, codigo_localidad, 3 FROM n),
 t AS (SELECT numero, anio, codigo_localidad, min(id) AS id FROM n WHERE tipo = 'ordenanza' GROUP BY 1, 2, 3), m AS (SELECT t.id, max(s) AS s FROM r JOIN t USING (numero, anio, codigo_localidad) GROUP BY 1)
-SELECT codigo_localidad, CASE coalesce(s, 0) WHEN 0 THEN 'vigente' WHEN 1 THEN 'modificada' ELSE 'derogada' END AS estado, count(*) AS n FROM n LEFT JOIN m USING (id) GROUP BY 1, 2""",
+SELECT codigo_localidad, CASE coalesce(s, 0) WHEN 0 THEN 'vigente' WHEN 1 THEN 'modificada' ELSE 'derogada' END AS estado, count(*) AS n, count(*) FILTER (n.id NOT IN (SELECT doc_id FROM labels)) AS vectores FROM n LEFT JOIN m USING (id) GROUP BY 1, 2""",
 )
 def t3(spark, sf):
     parsed = S.parse_norms(markdown(spark, sf).select("path", "texto"))
     norms = save(parsed.select((F.col("contenido_id") - 100000).alias("id"), "tipo", "numero", "anio", "codigo_localidad", "estado", "titulo", F.lit(None).cast("string").alias("notas_vigencia"), F.col("texto_completo").alias("texto")), "norms")
-    return C.enrich_and_reconcile(norms)["normas"].groupBy("codigo_localidad", "estado").agg(F.count(F.lit(1)).alias("n"))
+    done = table(spark, sf, "labels").selectExpr("doc_id as id")
+    out = C.enrich_and_reconcile(norms, V.test_encoder(8), done)
+    rows = out["normas"].join(out["vectores"].select("id", F.lit(1).alias("nuevo")), "id", "left")
+    return rows.groupBy("codigo_localidad", "estado").agg(F.count(F.lit(1)).alias("n"), F.count("nuevo").alias("vectores"))
 
 
 @query("v6_over_fetched", f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS puesto FROM r WHERE k <= 50 AND score >= 0.05 AND label < 5) SELECT query_id, id, puesto::INT AS puesto FROM f WHERE puesto <= 10")

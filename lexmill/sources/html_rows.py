@@ -16,11 +16,17 @@ from lexmill.session import ship_package
 _HIDDEN = {"script", "style", "template", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ENDS_P = {"p", "div", "ul", "ol", "table", "article", "section", "form", "h1", "h2", "h3", "h4"}
-ELEMENTS = "orden int, padre int, etiqueta string, clases array<string>, destino string, texto string"
+#: What frames a page, and the class of its main part.
+_FRAME_TAGS = {"header", "footer", "nav", "script", "style"}
+_FRAME_CLASSES = {"sidebar", "share-buttons", "back-to-top"}
+MAIN_CLASS = "norma-content"
+ELEMENTS = "orden int, ancestros array<int>, etiqueta string, clases array<string>, destino string, texto string"
+#: Elements that hold short pieces of text; all text inside is kept for them.
+_TEXTS = {"a", "p", "h1", "h2", "h3", "h4", "li", "td", "th", "title", "span", "b", "label"}
 
 
 class _Reader(HTMLParser):
-    """Elements in order of their begins: [parent, tag, classes, target, text parts]."""
+    """Elements in order of their begins: [open elements around it, tag, classes, target, text parts]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -36,7 +42,7 @@ class _Reader(HTMLParser):
             self.open.pop()
         a = dict(attrs)
         target = a.get("href") or a.get("action") or a.get("src")
-        self.rows.append([self.open[-1] if self.open else None, tag, (a.get("class") or "").split(), target, []])
+        self.rows.append([list(self.open), tag, (a.get("class") or "").split(), target, []])
         if tag not in _VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -52,16 +58,72 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             for k in self.open:
-                self.rows[k][4].append(data)
+                if self.rows[k][1] in _TEXTS:
+                    self.rows[k][4].append(data)
+
+
+class _MainText(HTMLParser):
+    """Text of the first element of the main class, else of the body, without the page's frame."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool, bool]] = []  # tag, frame, main
+        self.all: list[str] = []
+        self.main: list[str] = []
+        self.seen = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self.all.clear()
+        if tag in _VOID:
+            return
+        classes = set((dict(attrs).get("class") or "").split())
+        main = MAIN_CLASS in classes and not self.seen
+        self.seen |= main
+        self.open.append((tag, tag in _FRAME_TAGS or bool(classes & _FRAME_CLASSES), main))
+
+    def handle_endtag(self, tag: str) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        if not any(frame for _, frame, _ in self.open):
+            self.all.append(data)
+            if any(main for *_, main in self.open):
+                self.main.append(data)
+
+    def text(self) -> str:
+        return "".join(self.main if self.seen else self.all)
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, texto) of each page's main part without headers, footers, navigation and scripts; null for a null page."""
+    ship_package(pages.sparkSession)
+
+    def read(html: str | None) -> str | None:
+        if html is None:
+            return None
+        r = _MainText()
+        r.feed(html)
+        r.close()
+        return r.text()
+
+    @F.arrow_udf("string")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([read(x) for x in batch.to_pylist()], pa.string())
+
+    return pages.select(F.col(id_col).alias("id"), texts(F.col(html_col)).alias("texto"))
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, orden, padre, etiqueta, clases, destino, texto): the elements of each page, with all text inside; a null page has none.
+    """(id, orden, ancestros, etiqueta, clases, destino, texto): the elements of each page and the numbers of those around them; a null page has none.
 
-    Text is kept for elements that hold short pieces (links, headings, paragraphs, list items, cells, titles, labelled blocks).
+    All text inside is kept for elements that hold short pieces (links, headings, paragraphs, list items, cells, titles, labels).
     """
     ship_package(pages.sparkSession)
-    texts = {"a", "p", "h1", "h2", "h3", "h4", "li", "td", "th", "title", "span", "b", "label"}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +134,13 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 r = _Reader()
                 r.feed(html)
                 r.close()
-                for n, (parent, tag, classes, target, parts) in enumerate(r.rows):
+                for n, (around, tag, classes, target, parts) in enumerate(r.rows):
                     at.append(k)
-                    out.append((n, parent, tag, classes, target, re.sub(r"\s+", " ", "".join(parts)).strip() if tag in texts else None))
+                    out.append((n, around, tag, classes, target, re.sub(r"\s+", " ", "".join(parts)).strip() if tag in _TEXTS else None))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
-            types = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+            types = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["id", "orden", "padre", "etiqueta", "clases", "destino", "texto"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["id", "orden", "ancestros", "etiqueta", "clases", "destino", "texto"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, html_col).mapInArrow(read, f"id {kind}, {ELEMENTS}")
@@ -103,15 +165,11 @@ def has_class(name: str) -> Column:
     return F.array_contains("clases", name)
 
 
-def inside(rows: DataFrame, box: Column, deepest: int = 8) -> DataFrame:
+def inside(rows: DataFrame, box: Column) -> DataFrame:
     """``rows`` within elements that ``box`` is true for, with ``caja`` (that element's orden) and ``caja_clases``; the element itself is in it."""
-    boxes = rows.filter(box).select("id", F.col("orden").alias("caja"), F.col("clases").alias("caja_clases"), F.col("orden"))
-    found_, level = boxes, boxes
-    links = rows.select("id", F.col("orden").alias("_child"), F.col("padre").alias("orden"))
-    for _ in range(deepest):
-        level = level.join(links, ["id", "orden"]).select("id", "caja", "caja_clases", F.col("_child").alias("orden"))
-        found_ = found_.unionByName(level)
-    return rows.join(found_, ["id", "orden"])
+    boxes = rows.filter(box).select("id", F.col("orden").alias("caja"), F.col("clases").alias("caja_clases"))
+    around = F.explode(F.array_append("ancestros", F.col("orden"))).alias("caja")
+    return rows.select("*", around).join(boxes, ["id", "caja"])
 
 
 def bulletins(rows: DataFrame) -> DataFrame:

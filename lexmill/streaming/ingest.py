@@ -17,30 +17,47 @@ def stream_tables(spark: SparkSession, path: str, schema: StructType | str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: Partitions of an ingest's target, by a hash of the key.
+BUCKETS = 64
+BUCKET = "cubo"
+
+
 def auto_ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "contenido_id", order: str = "boletin", once: bool = True, interval: str = "60 seconds", prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append rows whose key the target doesn't have. A batch that is run again after a failure appends nothing twice.
 
-    ``once`` takes what is there and ends; else a batch starts at every ``interval``.
+    The target is partitioned by ``cubo``, a hash of the key, so a batch reads known keys only where its own fall (at most
+    ``BUCKETS`` numbers reach the driver). ``once`` takes what is there and ends; else a batch starts at every ``interval``.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        rows = prepare(rows) if prepare else rows
+        rows = (prepare(rows) if prepare else rows).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        rows.persist()
         try:
-            known = spark.read.parquet(target).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = rows.select(key).limit(0)
-        append_new(known, rows, key, order).write.mode("append").parquet(target)
+            touched = [r[0] for r in rows.filter(F.col(key).isNotNull()).select(BUCKET).distinct().collect()]
+            try:
+                known = spark.read.parquet(target).filter(F.col(BUCKET).isin(touched)).select(key)
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                known = rows.select(key).limit(0)
+            append_new(known, rows, key, order).repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(target)
+        finally:
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
-def first_arrivals(stream: DataFrame, key: str = "contenido_id") -> DataFrame:
-    """A stream's rows with the first of each key, by Spark's state store."""
-    return stream.dropDuplicates([key])
+def first_arrivals(stream: DataFrame, key: str = "contenido_id", time_col: str | None = None, delay: str | None = None) -> DataFrame:
+    """A stream's rows with the first of each key, by Spark's state store.
+
+    With ``time_col`` and ``delay``, state is kept for that delay only: a key that comes again later than that counts as
+    new. Without them it is kept for ever, which suits bounded key sets; use ``auto_ingest`` where keys go on growing.
+    """
+    if time_col is None or delay is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([key])
 
 
 def staged(rows: DataFrame, result: str, error: str) -> DataFrame:

@@ -317,3 +317,43 @@ def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared_dir(Session(), "x")
+
+
+def test_main_text_and_boilerplate(spark):
+    from lexmill.sources.html_rows import main_text
+
+    own = "<div class='norma-content'><div>LA PLATA, 3 de mayo de 2004 VISTO el expediente 1 Y CONSIDERANDO: x Por ello, EL GOBERNADOR DE LA PROVINCIA DE BUENOS AIRES DECRETA: <p>Uno &amp; dos.</p></div> Registrar, comunicar y dar al SINDMA. FIRMANTES</div>"
+    pages = [(1, f"<body><nav>n</nav>{own}<p>fuera</p></body>"), (2, "<head><title>t</title></head><body><header>h</header>a<br>b<footer>f</footer></body>"), (3, None), (4, "")]
+    got = main_text(spark.createDataFrame(pages, "page_id long, html string")).select("id", P.strip_boilerplate("texto").alias("t"))
+    assert {r.id: r.t for r in got.collect()} == {1: "x Uno & dos.", 2: "ab", 3: None, 4: ""}
+
+
+def test_boxes_at_any_depth(spark):
+    from lexmill.sources import html_rows as H
+
+    html = '<div class="col-md-9">' + "<div>" * 30 + "<p>hondo</p>" + "</div>" * 30 + "</div><p>fuera</p>"
+    rows = H.elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [r.texto for r in H.inside(rows, H.has_class("col-md-9")).filter("etiqueta = 'p'").collect()] == ["hondo"]
+
+
+def test_written_index_and_filters(spark, tmp_path):
+    from lexmill.operators import search as R
+
+    norms = spark.createDataFrame([(1, "casa verde"), (2, "casa casa roja"), (3, "campo"), (4, "la casada vive"), (5, None)], "id long, texto string")
+    R.write_index(norms, {"texto": 1.0}, str(tmp_path))
+    index, shape = R.read_index(spark, str(tmp_path))
+    terms = R.query_terms(spark.createDataFrame([(1, "CASA"), (2, "campo verde"), (3, "")], "query_id long, query string"))
+    best = lambda **k: sorted((r.query_id, r.puesto, r.id) for r in R.bm25(index, shape, terms, **k).collect())
+    assert best() == [(1, 1, 2), (1, 2, 1), (2, 1, 3), (2, 2, 1)] or best() == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 3)]
+    assert best(allowed=norms.filter("id <> 2"), top=1)[0] == (1, 1, 1)
+    assert shape.first()[0] == 5
+    asked = spark.createDataFrame([(1, "a casada v"), (2, "asad"), (3, "casa roja")], "query_id long, query string")
+    got = sorted((r.query_id, r.id) for r in R.all_terms_or_phrase(norms, asked, index, shape).collect())
+    assert got == [(1, 4), (2, 4), (3, 2)]
+
+
+def test_repair_of_cut_json():
+    cases = {'{"a": 1': '{"a": 1}', '{"a": [1, 2, "cort': '{"a": [1, 2, "cort"]}', '{"a": "x\\': '{"a": "x"}', '{"a": {"b": tr': '{"a": {}}', '{"a": 1, "b"': '{"a": 1}', '{"a": 1, "b": ': '{"a": 1}'}
+    for text, want in cases.items():
+        assert json.loads(P._repair(text)) == json.loads(want), text
+    assert P._repair("no") is None
