@@ -3,10 +3,12 @@
 A text's sentences end at a word with a stop (``.``, ``!``, ``?`` and those of other scripts) last, or at a line break.
 Words are what stands between white space; a character of three or four bytes in UTF-8 is a word of its own, so texts
 without spaces have words too. A sentence of over ``LONGEST`` words is cut before the word of least hash of every
-``SPAN`` consecutive ones, so it is cut alike wherever a passage begins in it. Every run of ``SEVERAL`` consecutive
-sentences is hashed from its lower-cased words, sliding by a sentence. The hashes are joined over all documents, with
-partial counts before the shuffle; a run is first in the document of least id, at its first place there, and the
-sentences of every other one are removed. A repeated passage of over 50 words holds a whole run, wherever it stands.
+``SPAN`` consecutive ones, so it is cut alike wherever a passage begins in it. A run is at least ``SEVERAL`` consecutive
+sentences with at least ``LEAST_WORDS`` words; of two short sentences the next are in it too, as fewer words repeat by
+chance. Every shortest run is hashed from its lower-cased words, sliding by a sentence: on from each, and back from each.
+The hashes are joined over all documents, with partial counts before the shuffle; a run is first in the document of least
+id, at its first place there, and the sentences of every other one are removed. A repeated passage of over 50 words
+holds a whole run, wherever it stands.
 
 Cases: null and empty texts have no sentences and stay as they are, and a text of one sentence has no run; a text all of
 whose sentences go becomes empty; rows with the same id count as one document, each with its own text; rows repeated
@@ -30,6 +32,7 @@ from lexmill.llm.frames import free
 from lexmill.session import save, ship_package, table
 
 SEVERAL = 2
+LEAST_WORDS = 13
 LONGEST = 16
 SPAN = 12
 #: Windows of a long sentence whose least words are looked for at once.
@@ -94,33 +97,38 @@ class Sentences:
 
 
 def run_rows(data: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
-    """(hash, text, first sentence in the text, whether the text has that hash before) of all runs."""
+    """(hash, text, first sentence in the text, end sentence, whether the text has that hash before) of all shortest runs."""
     s = Sentences(data, at, powers)
-    count = np.diff(s.first)
-    text = np.repeat(np.arange(len(count)), np.maximum(0, count - SEVERAL + 1))
-    i = np.arange(len(text)) - np.searchsorted(text, np.arange(len(count)))[text]
-    if not len(text):
-        return np.zeros(0, np.uint64), text, i, np.zeros(0, bool)
+    begin, end, n = s.word[:-1], s.word[1:], len(s.word) - 1
+    text, number = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first)), np.arange(n)
+    to = np.maximum(np.searchsorted(end, begin + LEAST_WORDS), number + SEVERAL - 1)
+    back = np.minimum(np.searchsorted(begin, end - LEAST_WORDS, "right") - 1, number - SEVERAL + 1)
+    on, off = to < s.first[1:][text], back >= s.first[:-1][text]
+    pairs = np.unique(np.concatenate([number[on] * (n + 1) + to[on] + 1, back[off] * (n + 1) + number[off] + 1]))
+    i, j = pairs // (n + 1), pairs % (n + 1)
+    if not len(i):
+        return np.zeros(0, np.uint64), i, i, j, np.zeros(0, bool)
     up, down = powers.upto(len(s.hashes))
     sums = np.zeros(len(s.hashes) + 1, np.uint64)
     np.cumsum(s.hashes * up[: len(s.hashes)], out=sums[1:])
-    a, b = s.word[s.first[text] + i], s.word[s.first[text] + i + SEVERAL]
+    a, b, text = s.word[i], s.word[j], text[i]
     h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     order = np.lexsort((i, h, text))
     again = np.zeros(len(h), bool)
     same = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
     again[order[1:][same]] = True
-    return h, text, i, again
+    base = s.first[:-1][text]
+    return h, text, i - base, j - base, again
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
         for a, b, data, at in slices(batch.column(2)):
-            h, text, i, again = run_rows(data, at, powers)
+            h, text, i, j, again = run_rows(data, at, powers)
             doc, version = (batch.column(k).slice(a, b - a).take(pa.array(text)) for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc, version, pa.array(i.astype(np.int32)), pa.array(again)], ["h", "doc", "version", "i", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc, version, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(again)], ["h", "doc", "version", "i", "j", "again"])
 
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -138,8 +146,8 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                     out.append(None)
                     spans.append([])
                     continue
-                own = own.to_numpy()
-                cover = np.bincount(own, minlength=hi - lo + 1) - np.bincount(own + SEVERAL, minlength=hi - lo + 1)
+                i, j = (own.field(x).to_numpy() for x in range(2))
+                cover = np.bincount(i, minlength=hi - lo + 1) - np.bincount(j, minlength=hi - lo + 1)
                 drop = np.cumsum(cover[:-1]) > 0
                 gone.append(int(drop.sum()))
                 # a sentence reaches to the next one's first word, and the first one from the text's begin
@@ -162,20 +170,20 @@ _RESULT = "struct<text:string,n_sentences:bigint,n_removed:bigint,removed:array<
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, i): runs that don't stand first, by the number of their first sentence; version is the text's hash."""
+    """(doc, version, i, j): runs that don't stand first; i and j number the sentences, j left out; version is the text's hash."""
     ship_package(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    runs = save(rows.mapInArrow(_runs, "h long, doc long, version long, i int, again boolean"), "runs")
+    runs = save(rows.mapInArrow(_runs, "h long, doc long, version long, i int, j int, again boolean"), "runs")
     counted = runs.filter("not again").groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     repeated = save(counted.filter("first <> last").select("h", "first"), "repeated")
-    later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "version", "i")
-    return later.unionByName(runs.filter("again").select("doc", "version", "i"))
+    later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "version", "i", "j")
+    return later.unionByName(runs.filter("again").select("doc", "version", "i", "j"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the text cut, and n_sentences, n_removed and the removed byte spans of the old text (named with ``prefix``)."""
     key, version, cut, held = free(docs, "_doc", "_version", "_cut", "_marks")
-    marks = repeated_runs(docs, id_col, text_col).groupBy(F.col("doc").alias(key), F.col("version").alias(version)).agg(F.collect_set("i").alias(held))
+    marks = repeated_runs(docs, id_col, text_col).groupBy(F.col("doc").alias(key), F.col("version").alias(version)).agg(F.collect_set(F.struct("i", "j")).alias(held))
     joined = docs.join(marks, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(version)), "left").drop(key, version)
     done = joined.withColumn(cut, F.arrow_udf(_cut, _RESULT)(F.col(text_col), F.col(held)))
     done = done.withColumn(text_col, F.coalesce(f"{cut}.text", text_col))
