@@ -235,3 +235,56 @@ def test_warc_damage():
     short = gzip.compress(record("1", "u", b"payload", None, "d")[:-8])
     assert [e for *_, e in read(short + b)] == ["content length", None]
     assert read(b"") == []
+
+
+def walk(media):
+    """Frame offsets by the format's own formulas: MPEG-1 layer III after the ID3v2 tag, up to the ID3v1 tag; the first one is the table."""
+    at = 10
+    for b, shift in zip(media[6:10], (21, 14, 7, 0), strict=True):
+        at += b << shift
+    out, kbits = [], [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    while media[at] == 0xFF and media[at + 1] & 0xE0 == 0xE0:
+        out.append(at)
+        rate = [44100, 48000, 32000][media[at + 2] >> 2 & 3]
+        at += 144 * kbits[media[at + 2] >> 4] * 1000 // rate + (media[at + 2] >> 1 & 1)
+    assert media[at : at + 3] == b"TAG" and len(media) == at + 128
+    return out[1:]
+
+
+@pytest.mark.parametrize("n", [0, 100, 1500, 9000])
+def test_audio_feature_against_the_format(n):
+    media = encode(padded(random.Random(n).randbytes(n)))
+    seek = walk(media)
+    samples = 1152 * len(seek)
+    crc = zlib.crc32(np.array(seek, "<i8").tobytes())
+    assert Stream(media).feature() == f"frames={len(seek)};samples={samples};rate=32000;duration_us={samples * 1_000_000 // 32000};table_frames={len(seek)};bad=0;skipped=0;seek_crc32={crc}"
+    assert Stream(media).seek == seek
+
+
+def test_audio_edge_cases(spark, docs):
+    """Nulls, repeated rows, long texts, columns of the results' names, and an empty table."""
+    from pyspark.sql import functions as F
+
+    from lexmill.llm.mpeg_audio import describe_audio, store_audio
+
+    rows = docs([(1, None), (1, None), (2, ""), (3, "ñ" * 300_000)]).withColumn("media", F.lit("old")).withColumn("audio", F.lit(1))
+    got = describe_audio(store_audio(rows)).collect()
+    assert len(got) == 4 and {r.doc for r in got} == {"y"}
+    for r in got:
+        p = padded((r.text or "").encode())
+        assert (r.audio.payload_bytes, r.audio.payload_sha256, r.audio.media_bytes) == (len(p), hashlib.sha256(p).hexdigest(), len(r.media))
+    assert len({r.audio.media_sha256 for r in got if r.doc_id != 3}) == 1
+    assert describe_audio(store_audio(docs([]))).count() == 0
+
+
+def test_warc_tables_with_other_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u", "a" * 1200), (2, "u", "a" * 1200)], "page_id long, url string, html string")
+    odd = pages.withColumns({x: F.lit("x") for x in ("id", "payload", "digest", "owner", "n")})
+    odd.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in op3_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, "revisit", 2), (2, "response", None)]
+    (tmp_path / "none").mkdir()
+    odd.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert op3_warc(spark, f"{tmp_path}/none").count() == 0
