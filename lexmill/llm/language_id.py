@@ -68,17 +68,28 @@ class Network:
         return [[t.astype(np.float32) for t in ts] for ts in tables]
 
 
-def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of each text as rows of bytes, and each window's text. The last one of a long text ends with it."""
+def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the begin of every window of each text. The last one of a long text ends with it."""
     n = np.diff(at)
     each = np.maximum(1, -(-n // LENGTH))
     text = np.repeat(np.arange(len(n)), each)
     number = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-    start = np.minimum(number * LENGTH, np.maximum(n[text] - LENGTH, 0))
-    index = (at[text] + start)[:, None] + np.arange(LENGTH)
-    rows = np.concatenate([data, np.zeros(LENGTH, np.uint8)])[np.minimum(index, len(data))]
-    rows[np.arange(LENGTH) >= (n[text] - start)[:, None]] = 0
-    return rows, text
+    return text, np.minimum(number * LENGTH, np.maximum(n[text] - LENGTH, 0))
+
+
+def windows_at(data: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The windows at some places as rows of bytes, 0 beyond a text's end."""
+    left = np.diff(at)[text] - start
+    inside = np.arange(LENGTH) < left[:, None]
+    rows = np.zeros((len(text), LENGTH), np.uint8)
+    rows[inside] = data[((at[text] + start)[:, None] + np.arange(LENGTH))[inside]]
+    return rows
+
+
+def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of each text as rows of bytes, and each window's text."""
+    text, start = places(at)
+    return windows_at(data, at, text, start), text
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -106,10 +117,11 @@ class Predictor:
         """The best language's number, its probability, and that of no language, of each text."""
         best, score, none = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
         for a, b, data, at in slices(texts, 1 << 18):
-            rows, text = windows_of(data, at)
+            text, start = places(at)
             sums = np.zeros((b - a, len(self.net.languages) + 1))
-            for k in range(0, len(rows), 2048):
-                np.add.at(sums, text[k : k + 2048], self.log_probabilities(rows[k : k + 2048]))
+            for k in range(0, len(text), 2048):  # a long text's windows are never all there at once
+                own = slice(k, k + 2048)
+                np.add.at(sums, text[own], self.log_probabilities(windows_at(data, at, text[own], start[own])))
             p = np.exp(log_softmax(sums / np.bincount(text, minlength=b - a)[:, None]))
             best[a:b], score[a:b], none[a:b] = p[:, :-1].argmax(1), p[:, :-1].max(1), p[:, -1]
         return best, score, none
