@@ -173,7 +173,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, version, i, j): runs that don't stand first; i and j number the sentences, j left out; version is the text's hash."""
     ship_package(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    runs = save(rows.mapInArrow(_runs, "h long, doc long, version long, i int, j int, again boolean"), "runs")
+    runs = save(rows.mapInArrow(_runs, "h long, doc long, version long, i int, j int, again boolean"), "runs", compression="zstd")
     counted = runs.filter("not again").groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     repeated = save(counted.filter("first <> last").select("h", "first"), "repeated")
     later = runs.filter("not again").join(repeated, "h").filter("doc <> first").select("doc", "version", "i", "j")
