@@ -79,10 +79,12 @@ def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows_at(data: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The windows at some places as rows of bytes, 0 beyond a text's end."""
+    if not len(data):
+        return np.zeros((len(text), LENGTH), np.uint8)
+    rows = data.take((at[text] + start)[:, None] + np.arange(LENGTH), mode="clip")
     left = np.diff(at)[text] - start
-    inside = np.arange(LENGTH) < left[:, None]
-    rows = np.zeros((len(text), LENGTH), np.uint8)
-    rows[inside] = data[((at[text] + start)[:, None] + np.arange(LENGTH))[inside]]
+    short = np.flatnonzero(left < LENGTH)
+    rows[short] *= np.arange(LENGTH) < left[short, None]
     return rows
 
 
