@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexmill.llm.decontam import OP6_SQL, op6_decontamination
 from lexmill.llm.language_id import op7_language_id
+from lexmill.llm.license_scan import OP13_SQL, op13_license_scan
 from lexmill.llm.mpeg_audio import op8_mpeg_audio
 from lexmill.llm.near_dedup import OP5_SQL, op5_near_dedup
 from lexmill.llm.poisson_mix import OP10_SQL, op10_poisson_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mix": op10_poisson_mix,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_poisson_mix": OP10_SQL,
+    "op13_license_scan": OP13_SQL,
 }
