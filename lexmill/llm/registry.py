@@ -12,6 +12,7 @@ from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
 from lexmill.llm.substring_dedup import op1_substring_dedup
 from lexmill.llm.token_count import op9_token_counts
+from lexmill.llm.vector_codes import OP12_SQL, op12_vector_codes
 from lexmill.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mix": op10_poisson_mix,
+    "op12_vector_codes": op12_vector_codes,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_poisson_mix": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_license_scan": OP13_SQL,
 }
