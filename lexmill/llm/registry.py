@@ -7,6 +7,7 @@ from lexmill.llm.language_id import op7_language_id
 from lexmill.llm.license_scan import OP13_SQL, op13_license_scan
 from lexmill.llm.mpeg_audio import op8_mpeg_audio
 from lexmill.llm.near_dedup import OP5_SQL, op5_near_dedup
+from lexmill.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from lexmill.llm.poisson_mix import OP10_SQL, op10_poisson_mix
 from lexmill.llm.quality import op2_quality
 from lexmill.llm.sharding import op4_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
     "op13_license_scan": op13_license_scan,
 }
@@ -35,6 +37,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_poisson_mix": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_license_scan": OP13_SQL,
 }
