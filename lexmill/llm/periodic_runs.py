@@ -4,9 +4,9 @@ Each text's words are numbered, and suffixes are ordered by doubling, where only
 Longest common prefixes come from those that can't be derived from the word before (compared directly) and from the rest
 (one less than the word before). Then neighbours in suffix order are united from the greatest common prefix down, with
 union-find over ordered sets of positions, the smaller set into the larger. Two positions that become neighbours in their
-set at distance d, when the common prefix is l >= d, begin a stretch of length d + l with smallest period d: a nearer
-multiple would have been united before. It is the run itself if the words before the two positions differ, so each run
-is found once. Prefixes that no long enough run has are left out of the order at the start.
+set at distance d, when the common prefix is l >= d, begin a stretch of length d + l with smallest period d: with a smaller
+period, the place one such period on would stand between them. It is the run itself if the words before the two positions
+differ, so each run is found once. Prefixes that no long enough run has are left out of the order at the start.
 
 Cases: a null text has no words and no run; texts of any length are handled whole, with memory in proportion to the words
 of one text or of a slice of short ones; runs may overlap; repeated rows have equal runs; an empty table gives no rows; a
@@ -95,13 +95,14 @@ def common_prefixes(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def neighbour_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+def neighbour_prefixes(ids: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The common prefix of each suffix in the order with the one before; 0 for the first."""
     n = len(order)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     own = np.arange(n)
-    derived = (own > 0) & (before > 0) & (ids[np.maximum(own - 1, 0)] == ids[np.maximum(before - 1, 0)])
+    last, other = np.maximum(own - 1, 0), np.maximum(before - 1, 0)
+    derived = (own > 0) & (before > 0) & (ids[last] == ids[other]) & (end[last] == end[own]) & (end[other] == end[before])
     direct = np.flatnonzero(~derived & (before >= 0))
     value = np.zeros(n, np.int64)
     value[direct] = common_prefixes(ids, direct, before[direct])
@@ -138,12 +139,14 @@ def seed_runs(ids: np.ndarray, order: np.ndarray, prefix: np.ndarray) -> list[tu
             x, y = y, x
         large, small = sets[x], sets.pop(y)
         parent[y] = x
-        for v in small:
+        before = -1
+        for v, after in zip(small, [*small[1:], len(ids)], strict=True):
             k = bisect_left(large, v)
-            if k and times * (v - large[k - 1]) <= common:
+            if k and before < large[k - 1] and times * (v - large[k - 1]) <= common:
                 found.append((large[k - 1], v - large[k - 1], common))
-            if k < len(large) and times * (large[k] - v) <= common:
+            if k < len(large) and large[k] < after and times * (large[k] - v) <= common:
                 found.append((v, large[k] - v, common))
+            before = v
         if len(small) < 8:
             for v in small:
                 insort(large, v)
@@ -174,8 +177,9 @@ def runs_of(texts: list[list[bytes]]) -> list[tuple[int, int, int, int]]:
     sizes = np.diff(first)[has]
     own = np.concatenate([ids[first[t] : first[t + 1]] for t in has])
     bound = np.concatenate([[0], np.cumsum(sizes)])
-    order = suffix_order(own, np.repeat(bound[1:], sizes))
-    found = np.array(seed_runs(own, order, neighbour_prefixes(own, order)), np.int64).reshape(-1, 3)
+    end = np.repeat(bound[1:], sizes)
+    order = suffix_order(own, end)
+    found = np.array(seed_runs(own, order, neighbour_prefixes(own, end, order)), np.int64).reshape(-1, 3)
     text = np.searchsorted(bound, found[:, 0], "right") - 1
     rows = np.stack([has[text], found[:, 0] - bound[text], found[:, 1], found[:, 2]], 1)
     return [tuple(r) for r in rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))].tolist()]
