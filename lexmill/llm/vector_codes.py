@@ -5,8 +5,8 @@ the order of rows. Each round reads the integer table once; tasks give sums for
 the driver gets the 8 x 16 sums alone.
 
 The nearest entry is found by slices and masks. For each dimension of a part the entries' coordinates are sorted, and
-prefix masks say which entries the first k of them are. The distance to the entry next in the widest dimension gives an
-initial radius; the coordinates within it are a range of each dimension, whose entries are two prefix masks' difference,
+prefix masks say which entries the first k of them are. The least distance to the entries next in the two widest dimensions
+gives an initial radius; the coordinates within it are a range of each dimension, whose entries are two prefix masks' difference,
 and the AND over all dimensions leaves the candidates: every entry as near as the radius is among them, so the least
 distance (ties to the lower number) among candidates is exact.
 
@@ -14,7 +14,8 @@ Cases: vectors that are null, empty or hold a null or non-finite component go, a
 most frequent one that 8 divides (of equally frequent ones the longer); repeated rows count as rows, of an id's several
 vectors the least begins a codebook; null ids are coded but begin none; with fewer than 16 ids codebooks have fewer
 entries, and without any id there are no rows; an empty table gives no rows; integers beyond 2^27 (components of 32,768) are
-cut to it, so that distances stay within 64 bits up to 127 components of that size; other columns are left alone, but for those that have a result's name, which it replaces.
+cut to it, so that distances stay within 64 bits up to 127 components of that size; other columns are left alone, but for
+those that have a result's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -48,16 +49,17 @@ class Nearest:
         bits = np.left_shift(np.uint64(1), order.astype(np.uint64))
         self.masks = np.concatenate([np.zeros((len(order), 1), np.uint64), np.bitwise_or.accumulate(bits, axis=1)], axis=1)
         self.order = order
-        self.widest = int(np.argmax(entries.max(0) - entries.min(0)))
+        self.widest = np.argsort(entries.min(0) - entries.max(0), kind="stable")[:2]
 
     def candidates(self, x: np.ndarray) -> np.ndarray:
         """For each vector, a mask of the entries that lie within the initial radius in every dimension."""
-        line = self.sorted[self.widest]
-        at = np.searchsorted(line, x[:, self.widest])
-        low, high = np.maximum(at - 1, 0), np.minimum(at, len(line) - 1)
-        near = np.where(x[:, self.widest] - line[low] <= line[high] - x[:, self.widest], low, high)
-        first = self.entries[self.order[self.widest][near]]
-        square = ((x - first) ** 2).sum(1)
+        square = np.full(len(x), np.iinfo(np.int64).max)
+        for d in self.widest:
+            line, own = self.sorted[d], x[:, d]
+            at = np.searchsorted(line, own)
+            low, high = np.maximum(at - 1, 0), np.minimum(at, len(line) - 1)
+            near = self.entries[self.order[d][np.where(own - line[low] <= line[high] - own, low, high)]]
+            square = np.minimum(square, ((x - near) ** 2).sum(1))
         radius = np.sqrt(square.astype(np.float64)).astype(np.int64) + 1  # no less than the root, whatever the rounding
         mask = np.full(len(x), np.uint64(0xFFFFFFFFFFFFFFFF))
         for d in range(x.shape[1]):
