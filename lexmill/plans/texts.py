@@ -9,6 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import compose as C
 from lexmill.operators import filters as L
 from lexmill.operators import joins as J
+from lexmill.operators import neighbours as N
 from lexmill.operators import search as R
 from lexmill.operators import splits as X
 from lexmill.operators import vectors as V
@@ -482,6 +483,12 @@ def v8(spark, sf):
     return V.top_k(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10, 0.2, exclude_self=True).select("query_id", "id")
 
 
+@query("v8_all_neighbours", f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS puesto FROM s WHERE score >= 0.2) SELECT query_id, id, puesto::INT AS puesto, floor(score * 1000 + 0.0005)::BIGINT AS milesimos FROM r WHERE puesto <= 10")
+def v8_all(spark, sf):
+    """The neighbours of every vector of the table."""
+    return N.all_neighbours(vectors(spark, sf), 10, 0.2).select("query_id", "id", "puesto", F.floor(F.col("score") * 1000 + 0.0005).alias("milesimos"))
+
+
 @query("v9_rank_fusion", "WITH k AS (SELECT event_type AS canal, user_id % 20 AS query_id, event_id % 97 AS id, row_number() OVER (PARTITION BY event_type, user_id % 20, event_id % 97 ORDER BY event_id) AS z, (event_id % 31)::INT + 1 AS puesto FROM events), s AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + puesto)), 6) AS score, count(DISTINCT canal) AS canales FROM k WHERE z = 1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canales DESC, id) AS puesto FROM s) SELECT query_id, id, score, canales FROM r WHERE puesto <= 20")
 def v9(spark, sf):
     from pyspark.sql import Window
