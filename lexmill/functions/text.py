@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 _ACCENTED, _PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+#: Another spelling of September.
+SETIEMBRE = "setiembre"
+_MONTH_NUMBERS = {m: k for k, m in enumerate(MONTHS, 1)} | {SETIEMBRE: 9}
 #: Spanish numbers in words, folded.
-_ONES = ("uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince")
-_TENS = {"veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90}
-SPELLED = {w: k for k, w in enumerate(_ONES, 1)} | {"un": 1, "primer": 1, "primero": 1, "veintiun": 21} | _TENS
-SPELLED |= {f"dieci{w}": 10 + k for k, w in enumerate(_ONES[:9], 1)} | {f"veinti{w}": 20 + k for k, w in enumerate(_ONES[:9], 1)}
+SPELLED = {
+    "un": 1, "uno": 1, "primer": 1, "primero": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10,
+    "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15, "dieciseis": 16, "diecisiete": 17, "dieciocho": 18, "diecinueve": 19, "veinte": 20,
+    "veintiun": 21, "veintiuno": 21, "veintidos": 22, "veintitres": 23, "veinticuatro": 24, "veinticinco": 25, "veintiseis": 26, "veintisiete": 27,
+    "veintiocho": 28, "veintinueve": 29, "treinta": 30, "treintayuno": 31, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80,
+    "noventa": 90,
+}
 
 
 def col(c: Column | str) -> Column:
@@ -81,7 +87,7 @@ def parse_date(c: Column | str) -> Column:
     t = col(c)
     dmy = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
     words = r"(?iu)\b(\d{1,2})\s+de\s+(\p{L}+)\s+de\s+(\d{4})\b"
-    month = F.element_at(F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, k)]), fold(F.regexp_extract(t, words, 2)))
+    month = F.element_at(F.create_map(*[F.lit(x) for m, k in _MONTH_NUMBERS.items() for x in (m, k)]), fold(F.regexp_extract(t, words, 2)))
     iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
     return F.coalesce(
         _date(F.regexp_extract(t, dmy, 3), F.regexp_extract(t, dmy, 2), F.regexp_extract(t, dmy, 1)),
@@ -106,7 +112,7 @@ def date_in_words(c: Column | str) -> Column:
     t = fold(c)
     number = "[a-z]+(?: y [a-z]+)?"
     pattern = f"a los? ({number}) dias? del mes de ([a-z]+) del? (?:ano )?(dos mil|mil novecientos) ?({number})?"
-    months = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, k)])
+    months = F.create_map(*[F.lit(x) for m, k in _MONTH_NUMBERS.items() for x in (m, k)])
     century = F.when(F.regexp_extract(t, pattern, 3) == "dos mil", 2000).when(F.regexp_extract(t, pattern, 3) == "mil novecientos", 1900)
     rest = F.regexp_extract(t, pattern, 4)
     year = century + F.when(rest == "", 0).otherwise(F.coalesce(_spelled(rest), F.lit(0)))

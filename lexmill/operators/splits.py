@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.extraction import embedded_articles
 from lexmill.functions.text import all_found, strip
 from lexmill.session import ship_package
 
@@ -74,7 +75,30 @@ def one_per_number(articles: DataFrame, keep: str = "first", norm_col: str = "id
     return articles.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def article_list(norms: DataFrame, id_col: str = "id", text_col: str = "texto") -> DataFrame:
+    """(id, numero, contexto, estado): the articles of a JSON object in the text, under norma.articulos; texts without such a
+    list give ``article_contexts``, without a state."""
+    rows = norms.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), embedded_articles(text_col).alias("_listed"))
+    listed = rows.filter(F.col("_listed").isNotNull()).select("id", F.explode("_listed").alias("_a")).select("id", "_a.numero", F.col("_a.contenido").alias("contexto"), "_a.estado")
+    rest = article_contexts(rows.filter(F.col("_listed").isNull()), "id", "_text").withColumn("estado", F.lit(None).cast("string"))
+    return listed.unionByName(rest)
+
+
 def fan_out(extractions: DataFrame, id_col: str = "id", parsed_col: str = "e") -> dict[str, DataFrame]:
-    """Child tables of parsed extractions: each array's rows with the norm's id, under its own filter."""
-    keep = {"articulos": "texto is not null and trim(texto) <> ''", "entidades": "nombre is not null", "categorias": "slug is not null", "referencias": "relacion is not null", "montos": "valor is not null", "anexos": "nombre is not null"}
-    return {name: extractions.select(F.col(id_col).alias("norma_id"), F.inline(F.col(f"{parsed_col}.{name}"))).filter(rule) for name, rule in keep.items()}
+    """A parsed response's own row (``normas``) and its child tables, each array's rows with the norm's id and place (orden).
+
+    Amounts need a value and a concept (their currency is ARS and they are no percentages unless said), annexes a number;
+    references keep their numbers to be resolved, categories their slugs. Rows that are no response (null) give nothing.
+    """
+    e = F.col(parsed_col)
+    good = extractions.filter(e.isNotNull()).select(F.col(id_col).alias("norma_id"), e.alias("_e"))
+    lists = ("articulos", "entidades", "categorias", "referencias", "montos_detallados", "anexos")
+    single = [f for f in extractions.schema[parsed_col].dataType.names if f not in lists]
+    out = {"normas": good.select("norma_id", *[F.col(f"_e.{f}").alias(f) for f in single])}
+    for name in lists:
+        rows = good.select("norma_id", F.posexplode(f"_e.{name}").alias("_k", "_row")).select("norma_id", (F.col("_k") + 1).alias("orden"), "_row.*")
+        out[name] = rows
+    amounts = out["montos_detallados"].filter("valor is not null and concepto <> ''")
+    out["montos_detallados"] = amounts.withColumns({"moneda": F.coalesce(F.nullif("moneda", F.lit("")), F.lit("ARS")), "es_porcentaje": F.coalesce("es_porcentaje", F.lit(False))})
+    out["anexos"] = out["anexos"].filter("numero is not null")
+    return out

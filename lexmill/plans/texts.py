@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import extraction as E
 from lexmill.functions import parse as P
 from lexmill.functions import text as T
 from lexmill.operators import compose as C
@@ -116,18 +117,22 @@ def p12(spark, sf):
 @query("p13_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS fecha FROM orders")
 def p13(spark, sf):
     d = F.col("o_orderdate").cast("date")
-    month = F.element_at(F.array(*[F.lit(m) for m in T.MONTHS]), F.month(d))
+    month = F.when((F.month(d) == 9) & (F.col("o_orderkey") % 8 == 2), T.SETIEMBRE).otherwise(F.element_at(F.array(*[F.lit(m) for m in T.MONTHS]), F.month(d)))
     t = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("del "), F.date_format(d, "d/M/yyyy"), F.lit("."))).when(F.col("o_orderkey") % 4 == 1, d.cast("string")).when(F.col("o_orderkey") % 4 == 2, F.concat(F.dayofmonth(d), F.lit(" de "), month, F.lit(" de "), F.year(d))).otherwise("sin fecha 99/99/9999")
     return table(spark, sf, "orders").select("o_orderkey", T.parse_date(t).alias("fecha"))
 
 
-@query("p14_date_words", "SELECT o_orderkey, make_date(2000 + (o_orderkey % 25)::INT, (o_orderkey % 12 + 1)::INT, (o_orderkey % 28 + 1)::INT) AS fecha FROM orders")
+@query("p14_date_words", "SELECT o_orderkey, make_date((CASE WHEN o_orderkey % 2 = 0 THEN 2000 + o_orderkey % 25 ELSE 1900 + o_orderkey % 100 END)::INT, (o_orderkey % 12 + 1)::INT, (o_orderkey // 12 % CASE WHEN o_orderkey % 12 + 1 IN (1, 3, 5, 7, 8, 10, 12) THEN 31 ELSE 28 END + 1)::INT) AS fecha FROM orders")
 def p14(spark, sf):
+    """Each day of 31 in words, September in both spellings, years from 1900 on."""
     names = {v: k for k, v in T.SPELLED.items() if k not in ("un", "primer", "primero", "veintiun")}
-    word = lambda c: F.element_at(F.create_map(*[F.lit(x) for v, k in names.items() for x in (v, k)]), c.cast("int"))
+    table_of = F.create_map(*[F.lit(x) for v, k in names.items() for x in (v, k)])
+    word = lambda c: F.coalesce(F.element_at(table_of, c.cast("int")), F.concat(F.element_at(table_of, (c - c % 10).cast("int")), F.lit(" y "), F.element_at(table_of, (c % 10).cast("int"))))
     k = F.col("o_orderkey")
-    month = F.element_at(F.array(*[F.lit(m) for m in T.MONTHS]), (k % 12 + 1).cast("int"))
-    t = F.concat(F.lit("a los "), word(k % 28 + 1), F.lit(" días del mes de "), month, F.lit(" del año dos mil"), F.coalesce(F.concat(F.lit(" "), word(k % 25)), F.lit("")))
+    month = F.when((k % 12 == 8) & (k % 24 == 8), T.SETIEMBRE).otherwise(F.element_at(F.array(*[F.lit(m) for m in T.MONTHS]), (k % 12 + 1).cast("int")))
+    day = F.floor(k / 12) % F.when((k % 12 + 1).isin(1, 3, 5, 7, 8, 10, 12), 31).otherwise(28) + 1
+    year = F.when(k % 2 == 0, F.concat(F.lit("dos mil"), F.coalesce(F.concat(F.lit(" "), word(k % 25)), F.lit("")))).otherwise(F.concat(F.lit("mil novecientos"), F.coalesce(F.concat(F.lit(" "), word(k % 100)), F.lit(""))))
+    t = F.concat(F.lit("a los "), word(day), F.lit(" días del mes de "), month, F.lit(" del año "), year)
     return table(spark, sf, "orders").select("o_orderkey", T.date_in_words(t).alias("fecha"))
 
 
@@ -234,43 +239,156 @@ def x4(spark, sf):
     return X.one_per_number(a, "first", "norma_id").select("norma_id", "numero", "orden")
 
 
+def _quoted(c):
+    """A text as a JSON string."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def _pick(values, k):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values, k):
+    return f"{list(values)}[(({k}) % {len(values)} + 1)::INT]"
+
+
+_STATES, _KINDS, _ROLES, _RELS = (*E.STATES, "raro"), (*E.ENTITIES, "club"), (*E.ROLES, "jefe"), (*E.RELATIONS, "inventa")
+
+
 def responses(spark, sf):
-    """(id, r) with a JSON response about each document, fenced or within prose."""
-    j = F.to_json(F.struct(F.col("texto").alias("resumen"), F.lit("raro").alias("estado"), F.array(F.struct((F.col("id") % 3).cast("string").alias("numero"), F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise(" ").alias("texto"))).alias("articulos"), F.array(F.struct(F.lit("salud").alias("slug"), ((F.col("id") % 4) / 2).alias("relevancia"))).alias("categorias"), F.array(F.struct(F.when(F.col("id") % 3 == 0, "inventa").otherwise("deroga").alias("relacion"), F.lit("ordenanza").alias("tipo"), F.col("numero"), F.col("anio"))).alias("referencias")))
-    return normas(spark, sf).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Claro:\n```json\n"), j, F.lit("\n```"))).otherwise(F.concat(F.lit("Resultado "), j, F.lit(" fin"))).alias("r"))
+    """(id, r): a JSON response about each document, fenced or within prose, with the whole text; each seventh has a number
+    where a text must stand."""
+    n, k = normas(spark, sf), F.col("id")
+    d = F.make_date(1980 + k % 40, k % 12 + 1, k % 28 + 1)
+    month = F.when(F.month(d) == 9, T.SETIEMBRE).otherwise(F.element_at(F.array(*[F.lit(m) for m in T.MONTHS]), F.month(d)))
+    day = F.when(k % 4 == 0, F.date_format(d, "d/M/yyyy")).when(k % 4 == 1, d.cast("string")).when(k % 4 == 2, F.concat(F.dayofmonth(d), F.lit(" de "), month, F.lit(" de "), F.year(d))).otherwise("sin fecha")
+    fields = {
+        "resumen": _quoted(F.col("texto")),
+        "palabras_clave": F.to_json(F.array("localidad", "tipo")),
+        "categorias": F.format_string('[{"slug": "%s", "relevancia": %s}]', "localidad", (k % 5) / 2),
+        "expediente": F.when(k % 3 == 0, "null").otherwise(_quoted(F.concat(F.lit("4012-"), k))),
+        "fecha_sancion": _quoted(day),
+        "estado": _quoted(_pick(_STATES, k)),
+        "articulos": F.format_string('[{"numero": %s, "texto": %s, "resumen": ""}]', F.when(k % 7 == 0, "1").otherwise('"1"'), _quoted(F.col("texto"))),
+        "entidades": F.format_string('[{"nombre": "%s", "tipo": "%s", "rol": "%s"}]', "localidad", _pick(_KINDS, k), _pick(_ROLES, F.floor(k / 9))),
+        "referencias": F.format_string('[{"tipo": "%s", "destino_numero": %d, "destino_anio": %s}, {"tipo": 5, "norma_externa_referencia": "Ley 5"}]', _pick(_RELS, k), "numero", F.coalesce(F.col("anio").cast("string"), F.lit("null"))),
+        "montos_detallados": F.format_string('[{"concepto": "c", "valor": %d.5}, {"valor": 1}, {"concepto": "d", "valor": null}]', k),
+        "anexos": F.when(k % 2 == 0, '[{"numero": "I", "titulo": "t"}, {"titulo": "u"}]').otherwise("[]"),
+    }
+    j = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), c) for name, c in fields.items()]), F.lit("}"))
+    return n.select("id", F.when(k % 2 == 0, F.concat(F.lit("Claro:\n```json\n"), j, F.lit("\n```"))).otherwise(F.concat(F.lit("Resultado "), j, F.lit(" fin"))).alias("r"))
+
+
+_FALLBACK = lambda values, known, k, other: f"CASE WHEN {_pick_sql(values, k)} IN {known} THEN {_pick_sql(values, k)} ELSE '{other}' END"
+_RELATION, _KIND, _ROLE = _FALLBACK(_RELS, E.RELATIONS, "id", "cita"), _FALLBACK(_KINDS, E.ENTITIES, "id", "otro"), _FALLBACK(_ROLES, E.ROLES, "id // 9", "otro")
+_SHARE = "(CASE WHEN id % 5 > 2 THEN 0.5 ELSE id % 5 / 2 END)::DOUBLE"
 
 
-@query("x5_fan_out", f"WITH {NORMAS} SELECT id AS norma_id, 'articulos' AS tabla FROM normas WHERE id % 2 = 0 UNION ALL SELECT id, 'referencias' FROM normas UNION ALL SELECT id, 'categorias' FROM normas")
+@query(
+    "x5_fan_out",
+    f"""WITH {NORMAS}, g AS (SELECT * FROM normas WHERE id % 7 > 0)
+SELECT id AS norma_id, 'normas' AS tabla, NULL::INT AS orden, md5(texto) AS valor FROM g UNION ALL SELECT id, 'articulos', 1, '1 ' || md5(texto) FROM g
+UNION ALL SELECT id, 'entidades', 1, localidad || ' ' || {_KIND} || ' ' || {_ROLE} FROM g UNION ALL SELECT id, 'categorias', 1, localidad || ' ' || ({_SHARE} * 2)::INT FROM g
+UNION ALL SELECT id, 'referencias', 1, {_RELATION} || ' ' || numero || coalesce('/' || anio, '') FROM g UNION ALL SELECT id, 'referencias', 2, 'cita Ley 5' FROM g
+UNION ALL SELECT id, 'montos_detallados', 1, 'c ' || (id * 2 + 1) || ' ARS false' FROM g UNION ALL SELECT id, 'anexos', 1, 'I t' FROM g WHERE id % 2 = 0""",
+)
 def x5(spark, sf):
-    parts = X.fan_out(save(responses(spark, sf).select("id", P.extraction("r").alias("e")), "extraction"))
+    parts = X.fan_out(save(responses(spark, sf).select("id", E.extraction("r").alias("e")), "extraction"))
+    whole = lambda c, by=1: (F.col(c) * by).cast("int").cast("string")
+    values = {
+        "normas": F.md5("resumen"),
+        "articulos": F.concat_ws(" ", "numero", F.md5("texto")),
+        "entidades": F.concat_ws(" ", "nombre", "tipo", "rol"),
+        "categorias": F.concat_ws(" ", "slug", whole("relevancia", 2)),
+        "referencias": F.concat_ws(" ", "tipo", F.concat(whole("destino_numero"), F.coalesce(F.concat(F.lit("/"), whole("destino_anio")), F.lit(""))), "norma_externa_referencia"),
+        "montos_detallados": F.concat_ws(" ", "concepto", whole("valor", 2), "moneda", F.col("es_porcentaje").cast("string")),
+        "anexos": F.concat_ws(" ", "numero", "titulo"),
+    }
     out = None
     for name, df in parts.items():
-        rows = df.select("norma_id", F.lit(name).alias("tabla"))
+        place = F.col("orden") if "orden" in df.columns else F.lit(None).cast("int")
+        rows = df.select("norma_id", F.lit(name).alias("tabla"), place.alias("orden"), values[name].alias("valor"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+@query(
+    "x3_embedded",
+    f"""WITH {NORMAS}, t AS (SELECT id, texto, regexp_replace(regexp_replace(texto, '(?i)art', 'xrt', 'g'), '[{{}}]', '', 'g') AS t FROM normas)
+SELECT id, CASE id % 3 WHEN 0 THEN '1' ELSE (id % 3)::VARCHAR END AS numero, md5(texto) AS contexto, 'vigente' AS estado FROM t WHERE id % 2 = 0 UNION ALL SELECT id, '2 bis', md5(''), NULL FROM t WHERE id % 2 = 0
+UNION ALL SELECT id, '1', md5(substr(t, 1, 500)), NULL FROM t WHERE id % 2 = 1""",
+)
+def x3_embedded(spark, sf):
+    j = F.concat(F.lit('Norma: {"norma": {"articulos": [{"numero": '), F.col("id") % 3, F.lit(', "estado": "vigente", "contenido": '), _quoted(F.col("texto")), F.lit('}, {"numero": "2 bis"}]}} fin'))
+    plain = F.regexp_replace(F.regexp_replace("texto", "(?i)art", "xrt"), "[{}]", "")
+    rows = normas(spark, sf).select("id", F.when(F.col("id") % 2 == 0, j).otherwise(plain).alias("texto"))
+    return X.article_list(rows).withColumn("contexto", F.md5("contexto"))
+
+
 @query("j1_locate_json", f"WITH {NORMAS} SELECT id, md5(texto) AS m FROM normas")
 def j1(spark, sf):
     return responses(spark, sf).select("id", F.md5(F.get_json_object(P.json_in_text("r"), "$.resumen")).alias("m"))
 
 
-@query("j2_validate", f"WITH {NORMAS} SELECT id, 'sin_determinar' AS estado, CASE WHEN id % 4 / 2.0 <= 1 THEN id % 4 / 2.0 ELSE 0.5 END::DOUBLE AS relevancia, CASE WHEN id % 3 = 0 THEN 'cita' ELSE 'deroga' END AS relacion FROM normas")
+@query(
+    "j2_validate",
+    f"""WITH {NORMAS}, g AS (SELECT *, id % 7 > 0 AS ok, make_date((1980 + id % 40)::INT, (id % 12 + 1)::INT, (id % 28 + 1)::INT) AS d FROM normas)
+SELECT id, CASE WHEN ok THEN md5(texto) END AS resumen, CASE WHEN ok THEN CASE WHEN id % 6 = 5 THEN 'sin_determinar' ELSE {_pick_sql(_STATES, "id")} END END AS estado, CASE WHEN ok AND id % 4 < 3 THEN strftime(d, '%Y-%m-%d') END AS fecha,
+CASE WHEN ok AND id % 3 > 0 THEN '4012-' || id END AS expediente, CASE WHEN ok THEN {_SHARE} END AS relevancia, CASE WHEN ok THEN {_KIND} || ' ' || {_ROLE} END AS entidad, CASE WHEN ok THEN {_RELATION} || ' cita' END AS relaciones FROM g""",
+)
 def j2(spark, sf):
-    return responses(spark, sf).select("id", P.extraction("r").alias("e")).select("id", "e.estado", F.col("e.categorias")[0]["relevancia"].alias("relevancia"), F.col("e.referencias")[0]["relacion"].alias("relacion"))
+    e = responses(spark, sf).select("id", E.extraction("r").alias("e"))
+    first = lambda c: F.get(F.col(f"e.{c}"), 0)
+    whole = F.when(F.col("e").isNotNull(), F.array_join(F.transform("e.referencias", lambda r: r["tipo"]), " "))
+    who = first("entidades")
+    return e.select("id", F.md5("e.resumen").alias("resumen"), "e.estado", F.col("e.fecha_sancion").alias("fecha"), "e.expediente", first("categorias")["relevancia"].alias("relevancia"), F.concat(who["tipo"], F.lit(" "), who["rol"]).alias("entidad"), whole.alias("relaciones"))
 
 
-@query("j3_repair", "SELECT event_id, (event_id % 100)::INT AS a FROM events")
+@query(
+    "j3_repair",
+    f"""WITH {NORMAS} SELECT id, CASE WHEN id % 5 < 4 THEN id END AS a, CASE WHEN id % 5 < 4 THEN md5(texto) END AS texto, CASE id % 5 WHEN 0 THEN '[1,2]' WHEN 2 THEN '[1,2,"' || substr(titulo, 1, 4) || '"]' END AS b, id % 5 = 4 AS neutral FROM normas""",
+)
 def j3(spark, sf):
-    k = F.col("event_id") % 100
-    t = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<think>{no}</think>{\"a\": "), k, F.lit(", }"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("{\"a\": "), k, F.lit(", \"b\": [1, 2, \"cort"))).otherwise(F.concat(F.lit("{\"a\": "), k, F.lit("}")))
-    return P.repair_json(table(spark, sf, "events").select("event_id", t.alias("t")), "t", "j").select("event_id", F.get_json_object("j", "$.a").cast("int").alias("a"))
+    """Whole texts in responses that lack commas, have too many, end within a text or a key, or aren't there."""
+    k, t = F.col("id"), _quoted(F.col("texto"))
+    broken = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"a": '), k, F.lit('\n"texto": '), t, F.lit('\n"b": [1, 2,]\n}')))
+        .when(k % 5 == 1, F.concat(F.lit('<think>{no}</think>Va: ```json\n{"texto": '), t, F.lit(', "a": '), k, F.lit(", }\n```")))
+        .when(k % 5 == 2, F.concat(F.lit('{"a": '), k, F.lit(', "texto": '), t, F.lit(', "b": [1, 2, "'), F.substring("titulo", 1, 4)))
+        .when(k % 5 == 3, F.concat(F.lit('{"a": '), k, F.lit(', "texto": '), t, F.lit(', "b')))
+        .otherwise(F.regexp_replace("texto", "[{]", ""))
+    )
+    j = lambda c, name: F.get_json_object(c, f"$.{name}")
+    return E.repair_json(normas(spark, sf).select("id", broken.alias("t")), "t", "j").select("id", j("j", "a").cast("long").alias("a"), F.md5(j("j", "texto")).alias("texto"), j("j", "b").alias("b"), (F.col("j") == E.NEUTRAL).alias("neutral"))
+
+
+_ITEMS = (*E.ITEM_RELATIONS, "complementa", "x")
 
 
-@query("j4_relation_items", "SELECT o_orderkey, ['cita', CASE WHEN o_orderkey % 2 = 0 THEN 'deroga' ELSE 'cita' END] AS relaciones FROM orders")
+@query(
+    "j4_relation_items",
+    f"""WITH {NORMAS}, r AS (SELECT *, {_FALLBACK(_ITEMS, E.ITEM_RELATIONS, "id", "cita")} AS k FROM normas)
+SELECT id, 'cita otro,' || k || ' ' || CASE WHEN id % 2 = 0 THEN tipo ELSE 'otro' END AS relaciones, md5(titulo || texto) AS destinos, numero AS destino_numero,
+CASE id % 3 WHEN 0 THEN md5(titulo || chr(10) || texto) WHEN 1 THEN md5(texto) ELSE md5(titulo) END AS resumen, CASE id % 4 WHEN 0 THEN '1,2' ELSE '1,' || id % 4 END || ',4' AS articulos FROM r""",
+)
 def j4(spark, sf):
-    items = F.array(F.lit("\"Ley 5\""), F.concat(F.lit("{\"relacion\": \""), F.when(F.col("o_orderkey") % 2 == 0, "deroga").otherwise("x"), F.lit("\", \"destino\": \"d\"}")))
-    return table(spark, sf, "orders").select("o_orderkey", F.transform(P.relation_items(items), lambda x: x["relacion"]).alias("relaciones"))
+    """Lists of texts, objects and numbers, and a summary that is an object, a text or none."""
+    k, title, text = F.col("id"), _quoted(F.col("titulo")), _quoted(F.col("texto"))
+    relations = F.concat(F.lit("["), title, F.lit(', {"tipo": "'), _pick(_ITEMS, k), F.lit('", "destino_tipo": "'), F.when(k % 2 == 0, F.col("tipo")).otherwise(""), F.lit('", "destino_numero": '), F.col("numero"), F.lit(', "destino_referencia": '), text, F.lit("}, 5]"))
+    summary = F.when(k % 3 == 0, F.concat(F.lit('{"trata": '), title, F.lit(', "resuelve": null, "depende": '), text, F.lit("}"))).when(k % 3 == 1, text).otherwise(F.concat(F.lit('7, "summary_texto": '), title))
+    articles = F.concat(F.lit("["), text, F.lit(', {"numero": '), k % 4, F.lit('}, 7, {"texto": "x"}]'))
+    v = F.try_parse_json(F.concat(F.lit('{"relaciones": '), relations, F.lit(', "summary": '), summary, F.lit(', "articulos": '), articles, F.lit("}")))
+    rows = normas(spark, sf).select("id", v.alias("v")).select("id", E.relation_items(F.col("v")).alias("r"), E.summary_parts(F.col("v")).alias("s"), E.article_items(F.col("v")).alias("a"))
+    each = lambda c, f, sep: F.array_join(F.transform(c, f), sep)
+    return rows.select(
+        "id",
+        each("r", lambda x: F.concat_ws(" ", x["tipo"], x["destino_tipo"]), ",").alias("relaciones"),
+        F.md5(each("r", lambda x: x["destino_referencia"], "")).alias("destinos"),
+        F.get("r", F.lit(1))["destino_numero"].alias("destino_numero"),
+        F.md5("s.texto").alias("resumen"),
+        each("a", lambda x: x["numero"], ",").alias("articulos"),
+    )
 
 
 @query("j6_vector_text", "SELECT vec_id, len(embedding)::INT AS n FROM embeddings")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import extraction as E
 from lexmill.functions import parse as P
 from lexmill.functions import text as T
 from lexmill.operators import filters as L
@@ -116,11 +117,11 @@ def test_frontmatter(spark):
         ('{"a": 1, }', {"a": 1}),
         ('{"a": [1]\n"b": 2}', {"a": [1], "b": 2}),
         ('{"a": 1, "b": [1, "x', {"a": 1, "b": [1, "x"]}),
-        ("nada que hacer", {}),
+        ("nada que hacer", json.loads(E.NEUTRAL)),
     ],
 )
 def test_json_repair(spark, text, want):
-    df = P.repair_json(spark.createDataFrame([(text,)], "t string"), "t", "j")
+    df = E.repair_json(spark.createDataFrame([(text,)], "t string"), "t", "j")
     assert json.loads(df.first()["j"]) == want
 
 
@@ -355,5 +356,5 @@ def test_written_index_and_filters(spark, tmp_path):
 def test_repair_of_cut_json():
     cases = {'{"a": 1': '{"a": 1}', '{"a": [1, 2, "cort': '{"a": [1, 2, "cort"]}', '{"a": "x\\': '{"a": "x"}', '{"a": {"b": tr': '{"a": {}}', '{"a": 1, "b"': '{"a": 1}', '{"a": 1, "b": ': '{"a": 1}'}
     for text, want in cases.items():
-        assert json.loads(P._repair(text)) == json.loads(want), text
-    assert P._repair("no") is None
+        assert json.loads(E.close_json(text)) == json.loads(want), text
+    assert E.close_json("no") is None
