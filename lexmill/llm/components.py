@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import save
+from lexmill.session import save, ship_package
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +44,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of the edges (a, b): label is the least vertex that it reaches."""
+    ship_package(edges.sparkSession)
     thin = lambda e: e.filter("a is not null and b is not null and a <> b").mapInArrow(_stars, "a long, b long")
     edges = save(thin(edges.select("a", "b")), "edges")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()

@@ -127,6 +127,7 @@ def _across(edges: DataFrame) -> DataFrame:
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, agreement) of classes that are neighbours in some tree and pass the sketch filter, and (rep) of crowded regions."""
+    ship_package(classes.sparkSession)
     trees = F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long")).alias("tree")
     keys = classes.select("rep", F.explode(F.arrays_zip(trees, "high", "low")).alias("k")).select("rep", "k.tree", "k.high", "k.low").withColumn("tie", F.xxhash64("rep", "tree"))
     order = ["tree", "high", "low", "tie", "rep"]

@@ -9,12 +9,15 @@ from lexmill.session import save
 
 #: Class counts are broadcast up to this many classes; more are joined by shuffle.
 BROADCAST_CLASSES = 10_000
+#: Bytes of the texts of a sample, which the driver holds.
+MOST_BYTES = 64 << 20
 #: How many times as many rows as a class may give pass the hash before they are ranked.
 SLACK = 2
 
 
-def sample_rows(rows: DataFrame, label: str, keys: list[str], per_class: int, most: int) -> DataFrame:
-    """At most ``per_class`` rows of each value of ``label`` and ``most`` in all, whole, with their ``rank`` in the class.
+def sample_rows(rows: DataFrame, label: str, keys: list[str], per_class: int, most: int, text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """At most ``per_class`` rows of each value of ``label`` and ``most`` in all, whole, with their ``rank`` in the class, and
+    of these the ranks whose texts have ``most_bytes`` together; where rank 1 alone has more, its texts of a fair share.
 
     The draw is by a hash of ``keys`` (the id and the text, so that copies of a text are drawn one by one): exact class
     counts give the share of the hash's range that passes, twice what is asked for, and the least hashes of those stay.
@@ -29,4 +32,15 @@ def sample_rows(rows: DataFrame, label: str, keys: list[str], per_class: int, mo
     passed = rows.withColumn("_h", h).join(counts, F.col(label) == F.col("_class")).filter(F.col("_h") < share).drop("_class", "_count")
     order = [F.col(x) for x in ("_h", *keys)]
     ranked = passed.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(*order))).filter(F.col("rank") <= per_class)
-    return ranked.orderBy("rank", label).limit(most)
+    sample = save(ranked.orderBy("rank", label).limit(most), "sample")
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    totals = sorted(sample.groupBy("rank").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).collect())
+    last, used = 0, 0
+    for rank, held, _ in totals:
+        used += held
+        if used > most_bytes:
+            break
+        last = rank
+    if totals and not last:
+        return sample.filter((F.col("rank") == 1) & (size <= most_bytes // totals[0].n)).orderBy(label)
+    return sample.filter(F.col("rank") <= last).orderBy("rank", label)

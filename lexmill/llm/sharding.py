@@ -6,7 +6,8 @@ ranges too; slots come from counts of the ranges and each row's number in its ra
 
 Cases: a null key hashes as its own value; rows of one key go to one shard and get different slots; a row's slot depends
 on the table's rows alone, whatever their order or layout, and rows equal in all columns (maps left out) share the slots
-of their place, which one task numbers with spill; a null text has no bytes; an empty table gives no rows; other columns
+of their place; where they fill a range, their distinct rows are counted and the copies dealt in pieces (in tables with maps
+one task numbers such a range, with spill); a null text has no bytes; an empty table gives no rows; other columns
 are left alone, but for those that have a result's name, which it replaces.
 """
 
@@ -14,14 +15,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.frames import free
-from lexmill.session import ship_package, table
+from lexmill.session import save, ship_package, table
 
 #: Rows that a hash range of a shard should hold.
 RANGE_ROWS = 20_000
+#: A range of so many times as many rows has a row with many copies.
+HEAVY = 4
 
 
 def jump(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +43,7 @@ def jump(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 def jump_columns(key, shards: int):
     """The shard and the grown shard (struct of ints) of a 64-bit hash column."""
+    ship_package(SparkSession.active())
 
     @F.arrow_udf("struct<shard:int,grown:int>")
     def place(h: pa.Array) -> pa.Array:
@@ -49,6 +53,17 @@ def jump_columns(key, shards: int):
     return place(key)
 
 
+def _copies(rows: DataFrame, slot: str, within: list[str], order: list[str]) -> DataFrame:
+    """``rows`` numbered within ranges by running counts of distinct rows, whose copies are dealt in pieces of ``RANGE_ROWS``."""
+    count, base, start = free(rows, "_copies", "_base", "_start")
+    distinct = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    distinct = distinct.withColumn(base, F.coalesce(F.sum(count).over(before), F.lit(0)))
+    pieces = distinct.withColumn(start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(RANGE_ROWS).cast("long")))).repartition(*within, start)
+    each = F.sequence(F.col(start), F.least(F.col(start) + RANGE_ROWS, F.col(count)) - 1)
+    return pieces.withColumn(slot, F.explode(each)).withColumn(slot, (F.col(base) + F.col(slot)).cast("int")).select(*rows.columns, slot)
+
+
 def shard(docs: DataFrame, shards: int, key_col: str = "doc_id", prefix: str = "") -> DataFrame:
     """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (with one more shard), named with ``prefix``.
 
@@ -63,15 +78,23 @@ def shard(docs: DataFrame, shards: int, key_col: str = "doc_id", prefix: str = "
     rows = docs.count()
     ranges = max(1, -(-rows // (shards * RANGE_ROWS)))
     whole = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    no_maps = len(whole) == len(docs.columns)
     docs = docs.withColumn(place, jump_columns(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null"))), shards))
     docs = docs.withColumn(own, F.col(f"{place}.shard")).withColumn(grown, F.col(f"{place}.grown")).drop(place)
     docs = docs.withColumn(one, F.xxhash64(*whole)).withColumn(part, F.pmod(one, F.lit(ranges)).cast("int"))
-    sizes = docs.groupBy(F.col(own).alias(s), F.col(part).alias(r)).count()
+    sizes = save(docs.groupBy(F.col(own).alias(s), F.col(part).alias(r)).count(), "ranges")
     before = Window.partitionBy(s).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(s, r, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
     docs = docs.withColumn(two, F.xxhash64(F.lit(1), *whole))
     number = F.row_number().over(Window.partitionBy(own, part).orderBy(one, two)) - 1
-    placed = docs.withColumn(slot, number).join(offsets, (F.col(own) == F.col(s)) & (F.col(part) == F.col(r)))
+    in_range = (F.col(own) == F.col(s)) & (F.col(part) == F.col(r))
+    heavy = sizes.filter(F.col("count") > HEAVY * RANGE_ROWS).select(s, r)
+    if no_maps and not heavy.isEmpty():
+        light = docs.join(heavy, in_range, "left_anti").withColumn(slot, number)
+        numbered = light.unionByName(_copies(docs.join(heavy, in_range, "left_semi"), slot, [own, part], [one, two]))
+    else:
+        numbered = docs.withColumn(slot, number)
+    placed = numbered.join(offsets, in_range)
     return placed.withColumn(slot, (F.col(base) + F.col(slot)).cast("long")).drop(s, r, base, one, two, part)
 
 

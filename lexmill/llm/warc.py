@@ -67,11 +67,20 @@ class Record:
         return self.headers.get(name, "").strip("<>").removeprefix(URN) or None
 
 
+#: How a gzip member begins, and how many of its bytes show whether a record stands in it.
+MAGIC, PROBE = b"\x1f\x8b\x08", 4096
+
+
 class _Members:
-    """The gzip members of a stream, one after another, each as an iterator of decompressed chunks."""
+    """The gzip members of a stream, one after another, each as an iterator of decompressed chunks.
+
+    The compressed bytes of the member at hand are kept, so that after damage ``resume`` finds the next member that holds
+    a record, wherever the damage led the decompressor.
+    """
 
     def __init__(self, stream: BinaryIO) -> None:
         self.stream, self.rest, self.over = stream, b"", False
+        self.seen: list[bytes] = []
 
     def _more(self) -> bytes:
         data, self.rest = self.rest or self.stream.read(CHUNK), b""
@@ -82,21 +91,47 @@ class _Members:
             self.rest = self._more()
             if not self.rest:
                 return
+            self.seen = []
             member = self._member()
             yield member
-            for _ in member:  # what the reader of the member has left
-                pass
+            if not self.over:
+                for _ in member:  # what the reader of the member has left
+                    pass
 
     def _member(self) -> Iterator[bytes]:
         z = zlib.decompressobj(31)
         while not z.eof:
             data = self._more()
             if not data:
-                self.over = True
                 raise EOFError("the archive ends within a member")
+            self.seen.append(data)
             yield z.decompress(data)
         self.rest = z.unused_data
 
+    def resume(self) -> None:
+        """Go on at the next place after the damaged member's begin where a member with a record begins, or end."""
+        data, at = b"".join(self.seen) + self.rest, 1
+        self.seen, self.rest = [], b""
+        while True:
+            at = data.find(MAGIC, at)
+            if at < 0:
+                at = max(1, len(data) - len(MAGIC) + 1)
+            elif len(data) >= at + PROBE or self.over:
+                try:
+                    begins = zlib.decompressobj(31).decompress(data[at : at + PROBE], 5)
+                except zlib.error:
+                    begins = b""
+                if begins == b"WARC/":
+                    self.rest, self.over = data[at:], False
+                    return
+                at += 1
+                continue
+            if self.over:
+                return
+            more = self.stream.read(CHUNK)
+            self.over = not more
+            data, at = data[at - 1 :] + more, 1
+
 
 def _read_record(member: Iterator[bytes]) -> Record:
     out, held = Record(), b""
@@ -134,16 +169,16 @@ def _read_record(member: Iterator[bytes]) -> Record:
 
 
 def read_records(stream: BinaryIO) -> Iterator[Record]:
-    """Every record of an archive; one with ``error`` set for what can't be read."""
-    members = iter(_Members(stream))
-    while (member := next(members, None)) is not None:
+    """Every record of an archive; one with ``error`` set for what can't be read, after which the next whole member follows."""
+    members = _Members(stream)
+    for member in members:
         try:
             out = _read_record(member)
             for _ in member:
                 pass
         except (EOFError, zlib.error) as e:
-            yield Record(error=str(e))
-            return
+            out = Record(error=str(e))
+            members.resume()
         yield out
 
 

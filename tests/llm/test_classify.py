@@ -117,6 +117,10 @@ def test_samples_are_bounded(spark, docs):
     assert len(sample_labelled(rows, per_language=50, most=60)[0]) <= 60
     many = docs([(k, "t") for k in range(300)]).withColumn("lang", F.col("doc_id").cast("string"))
     assert sample_rows(many, "lang", ["doc_id", "text"], 5, 40).count() == 40
+    long = spark.createDataFrame([(i, "xy"[i % 2], "a" * 100) for i in range(20)], "doc_id long, lang string, text string")
+    assert [r["rank"] for r in sample_rows(long, "lang", ["doc_id", "text"], 5, 40, most_bytes=650).collect()] == [1, 1, 2, 2, 3, 3]
+    assert sample_rows(long, "lang", ["doc_id", "text"], 5, 40, most_bytes=150).count() == 0
+    assert sample_rows(long.limit(0), "lang", ["doc_id", "text"], 5, 40).count() == 0
     assert sample_labelled(rows.limit(0)) == ([], [])
 
 
@@ -268,6 +272,21 @@ def test_sharding_slots_of_a_hot_key(spark, docs, monkeypatch):
     assert len({x[2] for x in got if x[0] == 5}) == 1 and max(hot) - min(hot) > 205
 
 
+def test_sharding_of_many_copies(spark, docs, monkeypatch):
+    """Rows equal in all columns fill a range: slots stay gapless, and the same whatever the layout."""
+    import lexmill.llm.sharding as m
+
+    monkeypatch.setattr(m, "RANGE_ROWS", 10)
+    rows = docs([(5, "t")] * 333 + [(None, None)] * 95 + [(k, "x") for k in range(100)] + [(7, "u")] * 3)
+    got = sorted(((r.doc_id, r.text, r.shard, r.slot, r.grown_shard) for r in shard(rows, 4).collect()), key=str)
+    assert sorted(((r.doc_id, r.text, r.shard, r.slot, r.grown_shard) for r in shard(rows.repartition(5), 4).collect()), key=str) == got
+    for s in range(4):
+        assert sorted(x[3] for x in got if x[2] == s) == list(range(sum(x[2] == s for x in got)))
+    assert sum(x[0] == 5 for x in got) == 333 and sum(x[0] is None for x in got) == 95
+    mapped = shard(rows.withColumn("m", F.create_map(F.lit("k"), "doc_id")), 4)
+    assert mapped.count() == len(got) and mapped.select("shard", "slot").distinct().count() == len(got)
+
+
 def poisson(u, rate):
     k, term, total = 0, math.exp(-rate), math.exp(-rate)
     while total <= u:

@@ -237,6 +237,27 @@ def test_warc_damage():
     assert read(b"") == []
 
 
+def test_warc_damage_within_a_member(monkeypatch):
+    """One changed byte anywhere, a cut, or bytes between members: the records of all other members are read."""
+    from lexmill.llm import warc
+
+    rng = random.Random(4)
+    members = [gzip.compress(record(str(k), "u", rng.randbytes(rng.choice([0, 40, 3000])), None, "d")) for k in range(5)]
+    idents = lambda data: [r.ident("warc-record-id") for r in read_records(io.BytesIO(data)) if r.error is None]
+    for chunk in (64, 1 << 16):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        for _ in range(150):
+            k = rng.randrange(5)
+            damaged = bytearray(members[k])
+            damaged[rng.randrange(len(damaged))] ^= rng.randint(1, 255)
+            data = b"".join([*members[:k], bytes(damaged), *members[k + 1 :]])
+            assert [i for i in idents(data) if i != str(k)] == [str(j) for j in range(5) if j != k]
+            cut = members[k][: rng.randrange(len(members[k]))]
+            assert set(idents(b"".join([*members[:k], cut, *members[k + 1 :]]))) >= {str(j) for j in range(5) if j != k}
+        assert idents(members[0] + b"\x1f\x8b\x08 no member " * 3 + members[1]) == ["0", "1"]
+        assert [r.error is None for r in read_records(io.BytesIO(b"junk" * 50))] == [False]
+
+
 def walk(media):
     """Frame offsets by the format's own formulas: MPEG-1 layer III after the ID3v2 tag, up to the ID3v1 tag; the first one is the table."""
     at = 10
