@@ -1,36 +1,83 @@
-"""Full-text search as joins: an inverted index, BM25 for many queries at once, weighted fields, phrases, snippets.
+"""Full-text search as joins: a positional index, BM25 for many queries at once, phrases, cover density, weighted fields, snippets.
 
-Build the index once with ``write_index``: it is a table partitioned by a hash of the term, so a search reads the
-partitions of its own terms.
+Build the index once with ``write_index``: postings partitioned by a hash of the term, so a search reads the partitions
+of its own terms, and a dictionary of the terms with their document counts and greatest weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import all_found, fold
-from lexmill.session import save
+from lexmill.session import save, ship_package
 
 K1, B = 1.2, 0.75
 WORD = r"([\p{L}\p{N}]+)"
 BUCKETS = 64
+#: Terms of at most this share of the documents are scored first; pairs of a term and a document are broadcast up to a number.
+RARE_SHARE, BROADCAST_PAIRS = 0.02, 1_000_000
+#: What rounding to six digits may move a score.
+SLACK = 2e-6
 
 
 def tokens(text):
     return all_found(fold(F.coalesce(text, F.lit(""))), WORD)
 
 
+def _invert(columns: list[pa.Array], weights: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(term, row, tf, wtf, dl, positions) of a batch, from its lists of words by field.
+
+    Positions go on over fields with one left out between them, so that no phrase reaches over; those of each field
+    are listed as steps from the one before.
+    """
+    n, fields = len(columns[0]), len(columns)
+    sizes = np.stack([np.diff(c.offsets.to_numpy()) for c in columns])
+    base = np.concatenate([np.zeros((1, n), np.int64), np.cumsum(sizes + 1, axis=0)])
+    rows, places, field, words = [], [], [], []
+    for f, c in enumerate(columns):
+        row = np.repeat(np.arange(n), sizes[f])
+        rows.append(row)
+        places.append(np.arange(len(row)) - (np.cumsum(sizes[f]) - sizes[f])[row] + base[f][row])
+        field.append(np.full(len(row), f))
+        words.append(c.flatten())
+    terms = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    row, place, field, code = np.concatenate(rows), np.concatenate(places), np.concatenate(field), terms.indices.to_numpy()
+    order = np.lexsort((place, code, row))
+    row, place, field, code = row[order], place[order], field[order], code[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    held = np.bincount(group * fields + field, minlength=len(first) * fields) if len(row) else np.zeros(0, np.int64)
+    same = np.concatenate([[False], ~new[1:] & (field[1:] == field[:-1])]) if len(row) else new
+    steps = np.where(same, place - np.concatenate([[0], place[:-1]]), place) if len(row) else place
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(steps, pa.int32()))
+    positions = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * fields, pa.int32()), inner)
+    tf = np.diff(np.append(first, len(row)))
+    wtf = np.add.reduceat(weights[field], first) if len(first) else np.zeros(0)
+    return terms.dictionary.take(pa.array(code[first])), row[first], tf, wtf, sizes.sum(0)[row[first]], positions
+
+
 def postings(norms: DataFrame, fields: dict[str, float], id_col: str = "id") -> DataFrame:
-    """(term, id, tf, wtf, dl): term counts over the fields, their weighted sum, and the document's length in terms."""
-    names, weight = [f"_t{k}" for k in range(len(fields))], F.lit(0.0)
-    rows = norms.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(t) for f, t in zip(fields, names, strict=True)])
-    bounds = [sum((F.size(t) for t in names[: k + 1]), F.lit(0)).alias(f"_n{k}") for k in range(len(names))]
-    rows = rows.select("id", *bounds, F.concat(*names).alias("_t"))
-    rows = rows.select("id", *[f"_n{k}" for k in range(len(names))], F.posexplode("_t").alias("_at", "term"))
-    for k, w in reversed(list(enumerate(fields.values()))):
-        weight = F.when(F.col("_at") < F.col(f"_n{k}"), float(w)).otherwise(weight)
-    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sum(weight).alias("wtf"), F.max(f"_n{len(names) - 1}").alias("dl"))
+    """(term, id, tf, wtf, dl, positions): term counts over the fields, their weighted sum, the document's length in terms,
+    and for each field the steps between the term's positions. Ids are distinct; a document is inverted where it's read.
+    """
+    ship_package(norms.sparkSession)
+    weights = np.array(list(fields.values()), np.float64)
+    rows = norms.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, row, tf, wtf, dl, positions = _invert(batch.columns[1:], weights)
+            yield pa.RecordBatch.from_arrays([term, batch.column(0).take(pa.array(row)), pa.array(tf, pa.int64()), pa.array(wtf), pa.array(dl, pa.int64()), positions], ["term", "id", "tf", "wtf", "dl", "positions"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"term string, id {kind}, tf long, wtf double, dl long, positions array<array<int>>")
 
 
 def corpus_shape(norms: DataFrame, index: DataFrame) -> DataFrame:
@@ -44,13 +91,27 @@ def bucket(term):
 
 
 def write_index(norms: DataFrame, fields: dict[str, float], path: str, id_col: str = "id") -> None:
-    """Write postings and corpus shape below ``path``, once for all searches.
+    """Write postings, corpus shape and term dictionary below ``path``, once for all searches.
 
     Rows are dealt by term bucket and document, so a frequent term fills no single task; files are sorted by term.
     """
+    spark = norms.sparkSession
     rows = postings(norms, fields, id_col).withColumn("bucket", bucket(F.col("term")))
     rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    corpus_shape(norms, norms.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/shape")
+    index = spark.read.parquet(f"{path}/postings")
+    corpus_shape(norms, index).write.mode("overwrite").parquet(f"{path}/shape")
+    avgdl = spark.read.parquet(f"{path}/shape").first().avgdl
+    known = index.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max(term_part(avgdl)).alias("most"))
+    known.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+
+
+def term_part(avgdl: float | None) -> Column:
+    """The part of a BM25 weight that a posting's count and length make."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
+
+
+def term_idf(n: float) -> Column:
+    return F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +119,11 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/shape")
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df, most): the dictionary of an index, with each term's greatest weight but for its idf."""
+    return spark.read.parquet(f"{path}/terms")
+
+
 def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings of the terms; of a written index, only their buckets are read (at most ``BUCKETS`` numbers reach the driver)."""
     own = terms.select("term").distinct()
@@ -72,29 +138,177 @@ def query_terms(queries: DataFrame, query_col: str = "query", id_col: str = "que
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(clean))).alias("term"))
 
 
-def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, every_term: bool = False, score_mode: str = "bm25", allowed: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame, shape: DataFrame, terms: DataFrame, top: int = 20, every_term: bool = False, score_mode: str = "bm25", allowed: DataFrame | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """(query_id, id, puesto, score) of each query's best documents; ``every_term`` asks for all of a query's terms.
 
-    Only the postings of query terms are read on; document frequencies come from them. ``allowed`` has the ids that
-    filters leave (municipality, type, in force): they are picked before the top k, while weights stay those of the whole
-    corpus. ``score_mode='reference'`` gives 1 / (1 + score), which falls as relevance rises; the ranks stay those of BM25.
+    Only the postings of query terms are read on; document frequencies come from the ``dictionary``, or without one from
+    them. ``allowed`` has the ids that filters leave (municipality, type, in force): they are picked before the top k,
+    while weights stay those of the whole corpus. ``score_mode='reference'`` gives 1 / (1 + score), which falls as
+    relevance rises; the ranks stay those of BM25.
     """
     wanted = postings_of(index, terms)
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if dictionary is None else postings_of(dictionary, terms).select("term", "df")
     n, avgdl = shape.first()
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    asked = terms.join(df, "term").withColumn("idf", idf)
+    asked = terms.join(df, "term").withColumn("idf", term_idf(n))
     if allowed is not None:
         wanted = wanted.join(allowed.select("id").distinct(), "id", "left_semi")
-    hits = wanted.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * tf).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    hits = wanted.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * term_part(avgdl)).alias("_s"), F.count(F.lit(1)).alias("_n"))
     if every_term:
         hits = hits.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_all")), "query_id").filter("_n = _all")
+    return _ranked(hits, top, score_mode)
+
+
+def _ranked(hits: DataFrame, top: int, score_mode: str = "bm25") -> DataFrame:
     score = F.round("_s", 6) if score_mode == "bm25" else F.round(1 / (1 + F.abs("_s")), 4)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("_s", 6)), "id")
     return hits.withColumn("puesto", F.row_number().over(w)).filter(F.col("puesto") <= top).select("query_id", "id", "puesto", score.alias("score"))
 
 
+def _at(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The postings of ``pairs`` (term, id and more columns), with these."""
+    own = postings_of(index, pairs)
+    return own.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs, ["term", "id"])
+
+
+def term_bounds(shape: DataFrame, dictionary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term, df, idf, bound, rare): what a term can add to a score at most, and whether its postings are scored first."""
+    n, _ = shape.first()
+    asked = terms.join(postings_of(dictionary, terms).select("term", "df", "most"), "term").withColumn("idf", term_idf(n))
+    asked = asked.withColumn("bound", F.col("idf") * F.col("most")).drop("most")
+    least = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
+    return asked.withColumn("rare", (F.col("df") <= RARE_SHARE * n) | (least == 1))
+
+
+def first_hits(index: DataFrame, avgdl: float | None, asked: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, part): the weights of all postings of the terms asked for."""
+    own = postings_of(index, asked)
+    own = own if allowed is None else own.join(allowed.select("id").distinct(), "id", "left_semi")
+    return own.join(asked, "term").select("query_id", "id", (F.col("idf") * term_part(avgdl)).alias("part"), *[c for c in asked.columns if c not in ("query_id", "term")])
+
+
+def thresholds(asked: DataFrame, partial: DataFrame, top: int) -> DataFrame:
+    """``asked`` with ``least`` (the score of the query's k-th document by rare terms, null with fewer), ``others`` (what
+    all other terms can add) and ``needed``: whether a document can reach ``least`` by this and lesser terms alone."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
+    kth = partial.withColumn("k", place).filter(F.col("k") == top).select("query_id", F.col("s").alias("least"))
+    by = Window.partitionBy("query_id")
+    rows = asked.join(kth, "query_id", "left")
+    rows = rows.withColumn("others", F.sum("bound").over(by) - F.col("bound")).withColumn("below", F.sum("bound").over(by.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("needed", F.col("least").isNull() | (F.col("below") >= F.col("least") - SLACK)).drop("below")
+
+
+def top_bm25(index: DataFrame, shape: DataFrame, dictionary: DataFrame, terms: DataFrame, top: int = 20, allowed: DataFrame | None = None, score_mode: str = "bm25") -> DataFrame:
+    """The rows of ``bm25``, without joining postings that can't reach the top k.
+
+    Each query's rare terms are scored first; the k-th document's score is then a threshold. Of the other terms, those
+    whose greatest weights together stay below it bring in no document, and the rest only by postings that reach the
+    threshold with all that the other terms can add. The documents left get the weights of all their terms, read by
+    (term, id).
+    """
+    avgdl = shape.first().avgdl
+    asked = save(term_bounds(shape, dictionary, terms), "asked")
+    early = save(first_hits(index, avgdl, asked.filter("rare").select("query_id", "term", "idf"), allowed).select("query_id", "id", "part"), "rare-hits")
+    partial = early.groupBy("query_id", "id").agg(F.sum("part").alias("s"))
+    bounds = save(thresholds(asked, partial, top), "bounds")
+    rest = bounds.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("rare"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    near = partial.join(rest, "query_id").filter("least is null or s + rest >= least - 2e-6").select("query_id", "id")
+    wide = bounds.filter("needed and not rare")
+    if not wide.isEmpty():
+        late = first_hits(index, avgdl, wide.select("query_id", "term", "idf", "least", "others"), allowed)
+        near = near.unionByName(late.filter("least is null or part + others >= least - 2e-6").select("query_id", "id")).distinct()
+    near = save(near, "near")
+    pairs = save(near.join(bounds.filter("not rare").select("query_id", "term", "idf"), "query_id"), "pairs")
+    later = _at(index, pairs).select("query_id", "id", (F.col("idf") * term_part(avgdl)).alias("part"))
+    hits = early.join(near, ["query_id", "id"], "left_semi").unionByName(later).groupBy("query_id", "id").agg(F.sum("part").alias("_s"))
+    return _ranked(hits, top, score_mode)
+
+
+def _decode(batch: pa.Array) -> pa.Array:
+    """Places (p, f) of postings from their fields' steps."""
+    inner = batch.flatten()
+    steps, bound = inner.flatten().to_numpy(), inner.offsets.to_numpy().astype(np.int64)
+    bound, outer = bound - bound[0], batch.offsets.to_numpy().astype(np.int64)
+    outer = outer - outer[0]
+    sums = np.concatenate([[0], np.cumsum(steps)])
+    place = sums[1:] - np.repeat(sums[bound[:-1]], np.diff(bound))
+    field = np.repeat(np.arange(len(inner)) - np.repeat(outer[:-1], np.diff(outer)), np.diff(bound))
+    both = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(field, pa.int32())], ["p", "f"])
+    return pa.ListArray.from_arrays(pa.array(bound[outer], pa.int32()), both)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Postings with ``places`` (p, f) instead of steps."""
+    return rows.withColumn("places", F.arrow_udf(_decode, "array<struct<p:int,f:int>>")("positions")).drop("positions")
+
+
+def _starts(ks: Column) -> Column:
+    """Where a phrase begins by the places of one term, which is its ks-th words."""
+    each = F.transform(ks, lambda k: F.transform("places", lambda x: x["p"] - k))
+    return F.aggregate(each, F.lit(None).cast("array<int>"), lambda out, x: F.when(out.isNull(), x).otherwise(F.array_intersect(out, x)))
+
+
+def phrase_hits(index: DataFrame, dictionary: DataFrame, queries: DataFrame, query_col: str = "query", id_col: str = "query_id") -> DataFrame:
+    """(query_id, id, lugares): where each query's words stand one after another within a field, by positions in the index.
+
+    Words are whole, of any number; the documents of the rarest one are looked up under the others. No text is read.
+    """
+    ship_package(index.sparkSession)
+    words = queries.select(F.col(id_col).alias("query_id"), F.posexplode(tokens(F.col(query_col))).alias("k", "term"))
+    asked = words.groupBy("query_id", "term").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    asked = save(asked.join(postings_of(dictionary, words).select("term", "df"), "term", "left"), "phrases")
+    known = asked.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("m"), F.count(F.lit(1)).alias("n"), F.count("df").alias("found")).filter("n = found")
+    rarest = known.select("query_id", "n", F.col("m.term").alias("term"))
+    first = _placed(postings_of(index, rarest).join(rarest.join(asked, ["query_id", "term"]), "term"))
+    first = save(first.select("query_id", "id", "n", _starts(F.col("ks")).alias("starts")).filter("size(starts) > 0"), "rarest")
+    pairs = save(first.filter("n > 1").select("query_id", "id").join(asked.join(rarest.select("query_id", "term"), ["query_id", "term"], "left_anti").select("query_id", "term", "ks"), "query_id"), "pairs")
+    others = _placed(_at(index, pairs)).select("query_id", "id", _starts(F.col("ks")).alias("s"))
+    others = others.groupBy("query_id", "id").agg(F.collect_list("s").alias("s"), F.count(F.lit(1)).alias("m"))
+    both = first.join(others, ["query_id", "id"], "left").filter("n = 1 or m = n - 1")
+    whole = F.aggregate(F.coalesce("s", F.array().cast("array<array<int>>")), F.col("starts"), lambda out, x: F.array_intersect(out, x))
+    return both.select("query_id", "id", F.array_sort(whole).alias("lugares")).filter("size(lugares) > 0")
+
+
+def cover_rank(index: DataFrame, terms: DataFrame, weights: list[float], top: int = 20, allowed: DataFrame | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, puesto, score) of documents with all of a query's terms, by cover density.
+
+    A cover is a shortest window with all terms. It counts its terms' places over the sum of their fields' inverse
+    ``weights``, divided by one more than the words between; the sum r over all covers is given as r / (r + 1).
+    """
+    ship_package(index.sparkSession)
+    asked = terms.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id")
+    if dictionary is None:
+        rows = postings_of(index, terms).join(asked, "term")
+    else:  # the rarest term's documents, under all terms
+        df = save(asked.join(postings_of(dictionary, terms).select("term", "df"), "term"), "asked")
+        rare = df.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("m"), F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).filter("n = found").select("query_id", F.col("m.term").alias("term"))
+        near = postings_of(index, rare).join(rare, "term").select("query_id", "id")
+        rows = _at(index, save(near.join(asked, "query_id"), "pairs"))
+    if allowed is not None:
+        rows = rows.join(allowed.select("id").distinct(), "id", "left_semi")
+    placed = F.transform("places", lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.col("term").alias("t")))
+    docs = _placed(rows).select("query_id", "id", "n", placed.alias("places")).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("places"))).alias("e")).filter("m = n")
+    inverse = F.array(*[F.lit(1.0 / w) for w in weights])
+    # of each place, the last place so far of every term; the least of these begins the window that ends here
+    state = F.struct(F.create_map().cast("map<string,int>").alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        e = F.col("e")
+        here = F.get(e, k)
+        last = F.map_concat(F.map_filter(s["last"], lambda t, _: t != here["t"]), F.create_map(here["t"], k))
+        begin = F.when(F.size(last) == F.col("n"), F.array_min(F.map_values(last))).otherwise(-1)
+        held = F.slice(e, begin + 1, k - begin + 1)
+        inv = F.aggregate(held, F.lit(0.0), lambda a, x: a + F.get(inverse, x["f"]))
+        between = here["p"] - F.get(e, begin)["p"] - (k - begin)
+        part = (k - begin + 1) / inv / (1 + between)
+        return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), (s["sum"] + F.when(begin > s["begin"], part).otherwise(0.0)).alias("sum"))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.size("e") - 1), state, step)["sum"]
+    score = F.round(F.col("r") / (F.col("r") + 1), 6)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = docs.withColumn("r", total).withColumn("score", score).withColumn("puesto", F.row_number().over(w))
+    return ranked.filter(F.col("puesto") <= top).select("query_id", "id", "puesto", "score")
+
+
 def all_terms_or_phrase(norms: DataFrame, queries: DataFrame, index: DataFrame, shape: DataFrame, text_col: str = "texto", top: int = 20, block: int = 500) -> DataFrame:
     """Documents with all terms; for queries without such, those whose folded text has the query as a phrase, in order of id (score 0).
 

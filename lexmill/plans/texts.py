@@ -16,7 +16,7 @@ from lexmill.operators import splits as X
 from lexmill.operators import vectors as V
 from lexmill.operators.aggregates import retrieval_report
 from lexmill.plans.tables import ARTICULOS, ASIGNADAS, CATEGORIAS, NORMAS, articulos, asignadas, categorias, normas
-from lexmill.session import save, shared_dir, table
+from lexmill.session import file_state, path_exists, save, shared_dir, table
 from lexmill.sources import corpus as S
 from lexmill.sources import html_rows as H
 from lexmill.streaming import ingest as I
@@ -476,17 +476,26 @@ df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM qt) GR
 sc AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS s, count(*) AS k FROM qt JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id), sh GROUP BY 1, 2)"""
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
-def index(spark, sf):
-    """Postings and shape of the norms' index, written once for a session and a folder of tables."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _INDEXES:
+def index_path(spark, sf):
+    """The norms' index, written once for a session and the files of the table as they are (paths, sizes and times)."""
+    key = spark.sparkContext.applicationId, *file_state(spark, f"{sf}/documents.parquet")
+    if key not in _INDEXES or not path_exists(spark, f"{_INDEXES[key]}/terms/_SUCCESS"):
         path = shared_dir(spark, "index")
         R.write_index(normas(spark, sf), {"titulo": 4.0, "texto": 1.0}, path)
         _INDEXES[key] = path
-    return R.read_index(spark, _INDEXES[key])
+    return _INDEXES[key]
+
+
+def index(spark, sf):
+    """Postings and shape of the norms' index."""
+    return R.read_index(spark, index_path(spark, sf))
+
+
+def index_terms(spark, sf):
+    return R.read_terms(spark, index_path(spark, sf))
 
 
 _TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM {x})"
@@ -505,18 +514,54 @@ def r2(spark, sf):
 
 @query("r3_bm25", f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM sc) SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
 def r3(spark, sf):
-    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)))
+    return R.top_bm25(*index(spark, sf), index_terms(spark, sf), R.query_terms(search_queries(spark, sf)))
 
 
 @query("r3_filtered", f"WITH {_INDEX}, f AS (SELECT sc.* FROM sc JOIN normas USING (id) WHERE tipo = 'ordenanza' AND estado IN ('vigente', 'modificada') AND codigo_localidad = 3), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
 def r3_filtered(spark, sf):
     own = L.in_force(L.of_type(normas(spark, sf).filter("codigo_localidad = 3"), "ordenanza"))
-    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), allowed=own)
+    return R.top_bm25(*index(spark, sf), index_terms(spark, sf), R.query_terms(search_queries(spark, sf)), allowed=own)
 
 
 @query("r4_all_terms", f"WITH {_INDEX}, nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), f AS (SELECT sc.* FROM sc JOIN nq USING (query_id) WHERE k = m), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto FROM r WHERE puesto <= 20")
 def r4(spark, sf):
-    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), every_term=True).select("query_id", "id", "puesto")
+    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), every_term=True, dictionary=index_terms(spark, sf)).select("query_id", "id", "puesto")
+
+
+@query(
+    "r4_word_phrases",
+    f"""WITH {NORMAS}, b AS (SELECT item_id, {_TOK.replace('{x}', 'text')} AS w FROM benchmark), q AS (SELECT item_id || '-' || k AS query_id, CASE k WHEN 0 THEN w WHEN 1 THEN w[1:2] WHEN 2 THEN w[3:3] ELSE w[2:6] END AS w FROM b, unnest([0, 1, 2, 3]) AS t(k)),
+d AS (SELECT id, 0 AS base, {_TOK.replace('{x}', 'titulo')} AS t FROM normas UNION ALL SELECT id, len({_TOK.replace('{x}', 'titulo')}) + 1, {_TOK.replace('{x}', 'texto')} FROM normas),
+p AS (SELECT query_id, id, base + k AS k FROM q JOIN d ON len(w) > 0 AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(w, ' ') || ' '), unnest(range(len(t) - len(w) + 1)) AS u(k) WHERE t[k + 1:k + len(w)] = w)
+SELECT query_id, id, list_sort(list(k))::VARCHAR AS lugares FROM p GROUP BY 1, 2""",
+)
+def r4_word_phrases(spark, sf):
+    """Of each benchmark item the whole text, its first two words, its third and its second to sixth, as phrases of whole words."""
+    w = R.tokens(F.col("text"))
+    texts = {"0": w, "1": F.slice(w, 1, 2), "2": F.slice(w, 3, 1), "3": F.slice(w, 2, 5)}
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array_join(x, " ").alias("query")) for k, x in texts.items()])).alias("q"))
+    q = items.select(F.concat_ws("-", "item_id", "q.k").alias("query_id"), "q.query")
+    return R.phrase_hits(index(spark, sf)[0], index_terms(spark, sf), q).withColumn("lugares", F.concat(F.lit("["), F.array_join(F.transform("lugares", lambda x: x.cast("string")), ", "), F.lit("]")))
+
+
+@query(
+    "r5_cover_density",
+    f"""WITH {_INDEX.replace("SELECT item_id AS query_id, text AS query FROM benchmark", f"SELECT item_id AS query_id, array_to_string({_TOK.replace('{x}', 'text')}[1:4], ' ') AS query FROM benchmark")},
+nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), c AS (SELECT query_id, id, m FROM sc JOIN nq USING (query_id) WHERE k = m),
+f AS (SELECT id, 1.0::DOUBLE AS inv, 0 AS base, {_TOK.replace('{x}', 'titulo')} AS w FROM normas UNION ALL SELECT id, 10.0, len({_TOK.replace('{x}', 'titulo')}) + 1, {_TOK.replace('{x}', 'texto')} FROM normas),
+e AS (SELECT query_id, id, m, inv, term, base + pos AS p FROM (SELECT id, inv, base, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM f WHERE id IN (SELECT id FROM c)) JOIN c USING (id) JOIN qt USING (query_id, term)),
+n AS (SELECT *, row_number() OVER w AS i, sum(inv) OVER w AS cum FROM e WINDOW w AS (PARTITION BY query_id, id ORDER BY p)),
+l AS (SELECT n.query_id, n.id, n.i, n.m, qt.term, max(CASE WHEN n.term = qt.term THEN n.i END) OVER (PARTITION BY n.query_id, n.id, qt.term ORDER BY n.i) AS last FROM n JOIN qt USING (query_id)),
+g AS (SELECT query_id, id, i, min(last) AS b FROM l WHERE last IS NOT NULL GROUP BY query_id, id, i, m HAVING count(*) = m),
+v AS (SELECT *, lag(b) OVER (PARTITION BY query_id, id ORDER BY i) AS before FROM g),
+s AS (SELECT v.query_id, v.id, sum((v.i - v.b + 1) / (z.cum - a.cum + a.inv) / (1 + z.p - a.p - (v.i - v.b))) AS r FROM v JOIN n z ON z.query_id = v.query_id AND z.id = v.id AND z.i = v.i JOIN n a ON a.query_id = v.query_id AND a.id = v.id AND a.i = v.b WHERE before IS NULL OR b > before GROUP BY 1, 2),
+k AS (SELECT query_id, id, round(r / (r + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(r / (r + 1), 6) DESC, id) AS puesto FROM s)
+SELECT query_id, id, puesto::INT AS puesto, score FROM k WHERE puesto <= 20""",
+)
+def r5_cover(spark, sf):
+    """The first four words of each benchmark item, all of which must stand; titles weigh ten times as much as texts."""
+    q = search_queries(spark, sf).withColumn("query", F.array_join(F.slice(R.tokens(F.col("query")), 1, 4), " "))
+    return R.cover_rank(index(spark, sf)[0], R.query_terms(q), [1.0, 0.1], dictionary=index_terms(spark, sf))
 
 
 @query("r5_weighted_rank", f"WITH {_INDEX}, wt AS (SELECT id, term, sum(w) AS w FROM (SELECT id, unnest({_TOK.replace('{x}', 'titulo')}) AS term, 4 AS w FROM normas UNION ALL SELECT id, unnest({_TOK.replace('{x}', 'texto')}), 1 FROM normas) GROUP BY 1, 2), s5 AS (SELECT query_id, id, round(sum(w) / (sum(w) + 1), 6) AS score FROM wt JOIN qt USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS puesto FROM s5) SELECT query_id, id, puesto::INT AS puesto, score FROM r WHERE puesto <= 20")
