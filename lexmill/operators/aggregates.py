@@ -46,6 +46,17 @@ def progress(norms: DataFrame) -> DataFrame:
     return norms.agg(F.count(F.lit(1)).alias("total"), done.alias("procesadas"), (F.count(F.lit(1)) - done).alias("pendientes"), percent(done, F.count(F.lit(1))).alias("porcentaje"))
 
 
+def top_categories(assigned: DataFrame, categories: DataFrame, most: int = 10) -> DataFrame:
+    """(nombre, n) of the categories with most norms, equal counts in order of names."""
+    rows = assigned.join(categories.select(F.col("id").alias("categoria_id"), "nombre"), "categoria_id")
+    return rows.groupBy("nombre").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "nombre").limit(most)
+
+
+def latest_years(norms: DataFrame, most: int = 20) -> DataFrame:
+    """(anio, n) of the latest years; the unknown year comes first."""
+    return norms.groupBy("anio").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc_nulls_first("anio")).limit(most)
+
+
 def municipality_totals(norms: DataFrame) -> DataFrame:
     """Per municipality and in total (null keys): ordinances, decrees, enriched, pending."""
     sums = [F.count_if(F.col("tipo") == "ordenanza").alias("ordenanzas"), F.count_if(F.col("tipo") == "decreto").alias("decretos"), F.count_if(F.col("procesado_llm").isin(1, 2)).alias("enriquecidas"), F.count_if(F.coalesce("procesado_llm", F.lit(0)) == 0).alias("pendientes")]
@@ -59,6 +70,31 @@ def completion(norms: DataFrame) -> DataFrame:
     return rows.withColumn("razon", F.round(F.col("hechas") / F.col("total"), 4)).withColumn("completa", F.col("hechas") == F.col("total")).orderBy("razon", "codigo_localidad")
 
 
+def pending_districts(norms: DataFrame, kind: str = "ordenanza") -> DataFrame:
+    """(codigo_localidad, localidad, total, hechas, pendientes, porcentaje) of municipalities whose norms of a kind aren't all enriched, most pending first."""
+    done, left = F.count_if(F.col("procesado_llm") == 1), F.count_if(F.col("procesado_llm") != 1)
+    rows = norms.filter(F.col("tipo") == kind).groupBy("codigo_localidad", "localidad").agg(F.count(F.lit(1)).alias("total"), done.alias("hechas"), left.alias("pendientes"))
+    return rows.filter("pendientes > 0").withColumn("porcentaje", F.round(100.0 * F.col("hechas") / F.col("total"), 1)).orderBy(F.desc("pendientes"), "codigo_localidad")
+
+
+def district_summary(norms: DataFrame, kind: str = "ordenanza") -> DataFrame:
+    """One row: districts with norms of the kind, those without pending ones, their percent, and those with."""
+    each = norms.filter(F.col("tipo") == kind).groupBy("codigo_localidad").agg(F.count_if(F.col("procesado_llm") != 1).alias("p"))
+    closed, total = F.count_if(F.col("p") == 0), F.count(F.lit(1))
+    return each.agg(total.alias("distritos"), closed.alias("cerrados"), F.round(100.0 * closed / F.greatest(total, F.lit(1)), 1).alias("porcentaje_cerrados"), (total - closed).alias("con_pendientes"))
+
+
+def snapshot_states(norms: DataFrame, articles: DataFrame, refs: DataFrame) -> DataFrame:
+    """(serie, valor, n): the counts of a snapshot line — ordinances by processing code, norms and articles by state, and totals."""
+    by = lambda rows, column, name: rows.groupBy(F.col(column).cast("string").alias("valor")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("serie"), "valor", "n")
+    total = lambda rows, name: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("serie"), F.lit(name).alias("valor"), "n")
+    parts = [by(norms.filter("tipo = 'ordenanza'"), "procesado_llm", "ordenanzas"), by(norms, "estado", "normas"), by(articles, "estado", "articulos"), total(articles, "articulos"), total(refs, "referencias")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def snapshot(norms: DataFrame) -> DataFrame:
     """One line: enriched share overall and of ordinances."""
     done, ordinance = F.col("procesado_llm").isin(1, 2), F.col("tipo") == "ordenanza"

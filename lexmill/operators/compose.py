@@ -10,31 +10,72 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.parse import mined_references
 from lexmill.functions.text import col
-from lexmill.operators.filters import dossier_years
+from lexmill.operators.filters import dossier_years, in_force, of_type
 from lexmill.operators.graph import reconcile
 from lexmill.operators.joins import children
-from lexmill.operators.search import bm25, query_terms
+from lexmill.operators.search import bm25, query_terms, top_bm25
 from lexmill.operators.vectors import embed, top_k
-
-
-def dossier(norms: DataFrame, articles: DataFrame, index: DataFrame, shape: DataFrame, terms: DataFrame, since: int | None = None, until: int | None = None, municipalities: list[int] | None = None, search_limit: int | None = 100, first_articles: int = 5, cut: int = 250) -> DataFrame:
-    """(query_id, id, puesto, score, articulos, markdown) for the hits of each topic.
-
-    The best ``search_limit`` hits are filtered by municipality and year (unknown years stay); children are read only
-    for norms that are left. The text shows the first articles, each cut.
+from lexmill.session import save
+
+
+def dossier(
+    norms: DataFrame,
+    articles: DataFrame,
+    index: DataFrame,
+    shape: DataFrame,
+    terms: DataFrame,
+    since: int | None = None,
+    until: int | None = None,
+    municipalities: list[int] | None = None,
+    search_limit: int | None = 100,
+    first_articles: int = 5,
+    cut: int = 250,
+    kind: str = "todos",
+    in_force_only: bool = False,
+    references: DataFrame | None = None,
+    annexes: DataFrame | None = None,
+    cursor: int = 0,
+    limit: int | None = None,
+    dictionary: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, id, puesto, score, total, siguiente, articulos, referencias, anexos, markdown) for the hits of each topic.
+
+    Kind, state and a single municipality are filtered before the best ``search_limit`` hits are taken, several
+    municipalities and years after (unknown years stay). Of what is left (``total``), places from ``cursor`` on are
+    given, ``limit`` of them; ``siguiente`` is the next cursor, or null. Children are read only for norms that are
+    given: the first articles (each cut in the text), and all references (by ref_id) and annexes (by id), if tables are given.
     """
-    hits = bm25(index, shape, terms, search_limit or 1 << 30)
-    own = dossier_years(norms, since, until)
+    own = of_type(norms, kind)
+    own = in_force(own) if in_force_only else own
+    one = len(municipalities or []) == 1
+    own = own.filter(F.col("codigo_localidad") == municipalities[0]) if one else own
+    chosen = one or in_force_only or kind != "todos"
+    if dictionary is not None and search_limit:
+        hits = top_bm25(index, shape, dictionary, terms, search_limit, allowed=own if chosen else None)
+    else:
+        hits = bm25(index, shape, terms, search_limit or 1 << 30, allowed=own if chosen else None)
+    own = dossier_years(own, since, until)
     own = own.filter(F.col("codigo_localidad").isin(*municipalities)) if municipalities else own
     rows = hits.join(own.select("id", "titulo", "estado", "anio", "codigo_localidad"), "id")
-    parts = articles.join(rows.select(F.col("id").alias("norma_id")).distinct(), "norma_id", "left_semi").filter(F.col("orden") <= first_articles)
-    kids = children(parts, "norma_id", "articulos", "orden", ["numero", "texto"]).withColumnRenamed("norma_id", "id")
-    out = rows.join(kids, "id", "left").withColumn("articulos", F.coalesce("articulos", F.array()))
-    w = Window.partitionBy("query_id").orderBy("puesto")
-    out = out.withColumn("puesto", F.row_number().over(w))
+    by = Window.partitionBy("query_id")
+    rows = rows.withColumn("total", F.count(F.lit(1)).over(by)).withColumn("puesto", F.row_number().over(by.orderBy("puesto")))
+    end = F.lit(cursor + limit) if limit else F.col("total")
+    rows = save(rows.filter((F.col("puesto") > cursor) & (F.col("puesto") <= end)).withColumn("siguiente", F.when(end < F.col("total"), end).cast("int")), "dossier")
+    wanted = rows.select(F.col("id").alias("norma_id")).distinct()
+
+    def with_children(out: DataFrame, kids: DataFrame | None, name: str, order: str, fields: list[str], parent: str = "norma_id") -> DataFrame:
+        if kids is None:
+            return out
+        near = kids.withColumnRenamed(parent, "norma_id").join(wanted, "norma_id", "left_semi")
+        return out.join(children(near, "norma_id", name, order, fields).withColumnRenamed("norma_id", "id"), "id", "left").withColumn(name, F.coalesce(name, F.array()))
+
+    out = with_children(rows, articles.filter(F.col("orden") <= first_articles), "articulos", "orden", ["numero", "texto"])
+    out = with_children(out, references, "referencias", "ref_id", ["relacion", "destino_numero", "destino_anio", "destino_referencia"], "norma_origen_id")
+    out = with_children(out, annexes, "anexos", "id", ["id", "nombre", "url"])
     lines = F.transform("articulos", lambda a: F.concat(F.lit("- **Art. "), a["numero"], F.lit("** "), F.substring(a["texto"], 1, cut)))
     text = F.concat_ws("\n", F.concat(F.lit("## "), F.col("titulo")), F.concat(F.lit("Estado: "), F.col("estado")), F.array_join(lines, "\n"))
-    return out.select("query_id", "id", "puesto", "score", "articulos", text.alias("markdown"))
+    more = [name for name, kids in (("referencias", references), ("anexos", annexes)) if kids is not None]
+    return out.select("query_id", "id", "puesto", "score", "total", "siguiente", "articulos", *more, text.alias("markdown"))
 
 
 def enrich_and_reconcile(norms: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, embedded: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -95,6 +136,28 @@ def compare_norms(candidates: DataFrame, target: DataFrame, index: DataFrame, sh
     return compare_municipalities(queries.select("query_id", "vector"), target.filter("vector is not null").select("id", "vector"), lexical)
 
 
+def topic_candidates(norms: DataFrame, index: DataFrame, shape: DataFrame, topics: DataFrame, target: int, references: list[int] | None = None, since: int | None = None, limit: int = 20) -> DataFrame:
+    """(tema, id, orden): of each topic, the best ``limit`` norms of each other municipality (or of those asked for), without
+    years before ``since``, and of these the first ``limit`` in order of municipality and rank. Topics: query_id, query."""
+    own = norms.filter(F.col("codigo_localidad") != target)
+    own = own.filter(F.col("codigo_localidad").isin(*references)) if references else own
+    hits = bm25(index, shape, query_terms(topics), 1 << 30, allowed=own).join(own.select("id", "codigo_localidad", "anio"), "id")
+    place = Window.partitionBy("query_id", "codigo_localidad").orderBy("puesto")
+    best = hits.withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= limit)
+    best = best.filter(F.col("anio").isNull() | (F.col("anio") >= since)) if since is not None else best
+    whole = Window.partitionBy("query_id").orderBy("codigo_localidad", "_k")
+    return best.withColumn("orden", F.row_number().over(whole)).filter(F.col("orden") <= limit).select(F.col("query_id").alias("tema"), "id", "orden")
+
+
+def compare_topics(norms: DataFrame, vectors: DataFrame, index: DataFrame, shape: DataFrame, topics: DataFrame, target: int, references: list[int] | None = None, since: int | None = None, limit: int = 20) -> DataFrame:
+    """(tema, orden, query_id, equivalente, score, via, clase): each topic's candidates from other municipalities against the
+    target's norms. A candidate of several topics is compared once. Norms: id, codigo_localidad, anio, titulo; vectors: id, vector."""
+    found = save(topic_candidates(norms, index, shape, topics, target, references, since, limit), "candidates")
+    rows = norms.select("id", "codigo_localidad", "titulo").join(vectors.select("id", "vector"), "id", "left")
+    compared = compare_norms(rows.join(found.select("id").distinct(), "id", "left_semi"), rows.filter(F.col("codigo_localidad") == target), index, shape)
+    return found.withColumnRenamed("id", "query_id").join(compared, "query_id").select("tema", "orden", "query_id", "equivalente", "score", "via", "clase")
+
+
 def gap_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("clase").agg(F.count(F.lit(1)).alias("n"))
 

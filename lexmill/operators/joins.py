@@ -84,9 +84,23 @@ def cached(requests: DataFrame, cache: DataFrame, text_col: str, model: str, sty
     return keyed.join(cache.select("clave", "resumen"), "clave", "left").withColumn("hit", F.col("resumen").isNotNull())
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` put in place of those with their keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key (a null is a key too) the row of greatest ``order``; rows without one come before all others."""
+    last = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *[F.col(c) for c in rows.columns if c not in keys])
+    return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` put in place of those with their keys; of a key's several new rows the one of greatest
+    ``order``. Without an order a key may stand once in ``new``, else that is an error."""
+    once = newest(new, keys, order) if order else new
+    if not order and not new.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError("a key stands several times in a batch without an order")
+    taken = once.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return old.join(taken, same, "left_anti").unionByName(once.select(*old.columns))
 
 
 def append_new(known: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:

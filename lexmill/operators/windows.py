@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Severity of relations and the state each gives.
 SEVERITY = {"modifica": 1, "modifica_parcial": 1, "sustituye": 1, "deroga_parcial": 2, "deroga": 3, "deroga_total": 3}
@@ -27,7 +28,13 @@ def republications(records: DataFrame, key: list[str]) -> DataFrame:
 
     Of a key, the first by bulletin, complete before extract, then content id is primary; the others name it. The
     primary carries the other bulletins, distinct and sorted as strings (its own, if all are in one), and the others' ids.
+    Records with a null in their key (no file) are republications of nothing.
     """
+    keyed = F.lit(True)
+    for c in key:
+        keyed = keyed & F.col(c).isNotNull()
+    alone = records.filter(~keyed).withColumns({"es_republicacion_de": F.lit(None).cast(records.schema["contenido_id"].dataType), "tambien_en": F.lit(None).cast("array<string>"), "ids_repetidos": F.lit(None).cast(T.ArrayType(records.schema["contenido_id"].dataType))})
+    records = records.filter(keyed)
     w = Window.partitionBy(*key).orderBy("boletin", F.when(F.col("version") == "completa", 0).otherwise(1), "contenido_id")
     ranked = records.withColumn("_k", F.row_number().over(w)).withColumn("_first", F.first("contenido_id").over(w)).withColumn("_bulletin", F.first("boletin").over(w))
     other = ranked.filter("_k > 1").groupBy(*key).agg(
@@ -37,7 +44,8 @@ def republications(records: DataFrame, key: list[str]) -> DataFrame:
     joined = ranked.join(other, key, "left")
     primary = F.col("_k") == 1
     also = F.when(F.size("_others") > 0, F.col("_others")).when(F.col("_ids").isNotNull(), F.array(F.col("_bulletin").cast("string")))
-    return joined.select(*records.columns, F.when(~primary, F.col("_first")).alias("es_republicacion_de"), F.when(primary, also).alias("tambien_en"), F.when(primary, F.col("_ids")).alias("ids_repetidos"))
+    found = joined.select(*records.columns, F.when(~primary, F.col("_first")).alias("es_republicacion_de"), F.when(primary, also).alias("tambien_en"), F.when(primary, F.col("_ids")).alias("ids_repetidos"))
+    return found.unionByName(alone)
 
 
 def article_states(refs: DataFrame, sticky_repeal: bool = False) -> DataFrame:

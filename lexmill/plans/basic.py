@@ -196,10 +196,14 @@ def s6(spark, sf):
     return J.append_new(table(spark, sf, "labels").selectExpr("doc_id as clave"), rows, "clave", "orden").select("clave", "contenido_id")
 
 
-@query("s7_upsert", "SELECT doc_id, coalesce(l.quality, -1) AS q FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels) d LEFT JOIN labels l USING (doc_id)")
+@query("s7_upsert", "SELECT doc_id, coalesce(l.quality, -1) AS q FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels) d LEFT JOIN labels l USING (doc_id) UNION ALL SELECT NULL, count(*)::INT FROM labels")
 def s7(spark, sf):
-    old = table(spark, sf, "documents").filter("doc_id % 2 = 0").selectExpr("doc_id", "-1 as q")
-    return J.upsert(old, table(spark, sf, "labels").selectExpr("doc_id", "quality as q"), ["doc_id"])
+    """Two rows of each key in the batch, of which the later holds, and rows without a key, which is one key."""
+    old = table(spark, sf, "documents").filter("doc_id % 2 = 0").selectExpr("doc_id", "-1 as q", "0l as v").unionByName(spark.range(1).selectExpr("cast(null as long) as doc_id", "-1 as q", "0l as v"))
+    new = table(spark, sf, "labels").selectExpr("doc_id", "quality as q", "2l as v")
+    none = new.selectExpr("cast(null as long) as doc_id", "cast(row_number() over (order by doc_id) as int) as q", "row_number() over (order by doc_id) as v")
+    batch = new.unionByName(new.selectExpr("doc_id", "7 as q", "1l as v")).unionByName(none)
+    return J.upsert(old, batch, ["doc_id"], "v").select("doc_id", "q")
 
 
 @query("u1_two_directions", f"WITH {_RESOLVED} SELECT r.norma_origen_id AS norma_id, 'afecta_a' AS direccion, r.norma_destino_id AS otra_id, n.titulo AS otra_titulo, relacion, ref_id FROM res r JOIN normas o ON o.id = r.norma_origen_id LEFT JOIN normas n ON n.id = r.norma_destino_id UNION ALL SELECT r.norma_destino_id, 'afectada_por', r.norma_origen_id, n.titulo, relacion, ref_id FROM res r JOIN normas d ON d.id = r.norma_destino_id JOIN normas n ON n.id = r.norma_origen_id")
@@ -238,6 +242,16 @@ def a3(spark, sf):
     return A.progress(normas(spark, sf))
 
 
+@query("a3_categories", f"WITH {CATEGORIAS}, {ASIGNADAS} SELECT nombre, count(*) AS n FROM asignadas JOIN categorias c ON c.id = categoria_id GROUP BY 1 ORDER BY n DESC, nombre LIMIT 10")
+def a3_categories(spark, sf):
+    return A.top_categories(asignadas(spark, sf), categorias(spark, sf))
+
+
+@query("a3_years", f"WITH {NORMAS} SELECT anio, count(*) AS n FROM normas GROUP BY 1 ORDER BY anio DESC NULLS FIRST LIMIT 20")
+def a3_years(spark, sf):
+    return A.latest_years(normas(spark, sf))
+
+
 @query("a4_totals", f"WITH {NORMAS} SELECT codigo_localidad, localidad, count(*) FILTER (tipo = 'ordenanza') AS ordenanzas, count(*) FILTER (tipo = 'decreto') AS decretos, count(*) FILTER (procesado_llm IN (1, 2)) AS enriquecidas, count(*) FILTER (procesado_llm = 0) AS pendientes FROM normas GROUP BY GROUPING SETS ((codigo_localidad, localidad), ())")
 def a4(spark, sf):
     return A.municipality_totals(normas(spark, sf))
@@ -248,6 +262,34 @@ def a5(spark, sf):
     return A.completion(normas(spark, sf))
 
 
+_DISTRICTS = f"WITH {NORMAS}, d AS (SELECT *, CASE WHEN codigo_localidad = 4 THEN 1 ELSE procesado_llm END AS p FROM normas WHERE tipo = 'ordenanza'), g AS (SELECT codigo_localidad, localidad, count(*) AS total, count(*) FILTER (p = 1) AS hechas, count(*) FILTER (p <> 1) AS pendientes FROM d GROUP BY 1, 2)"
+
+
+def _district_norms(spark, sf):
+    """Norms of which one municipality is all done."""
+    return normas(spark, sf).withColumn("procesado_llm", F.when(F.col("codigo_localidad") == 4, 1).otherwise(F.col("procesado_llm")))
+
+
+@query("a5_districts", f"{_DISTRICTS} SELECT count(*) AS distritos, count(*) FILTER (pendientes = 0) AS cerrados, round(100.0 * count(*) FILTER (pendientes = 0) / count(*), 1) AS porcentaje_cerrados, count(*) FILTER (pendientes > 0) AS con_pendientes FROM g")
+def a5_districts(spark, sf):
+    return A.district_summary(_district_norms(spark, sf))
+
+
+@query("a5_pending", f"{_DISTRICTS} SELECT *, round(100.0 * hechas / total, 1) AS porcentaje FROM g WHERE pendientes > 0")
+def a5_pending(spark, sf):
+    return A.pending_districts(_district_norms(spark, sf))
+
+
+@query(
+    "a6_states",
+    f"""WITH {NORMAS}, {ARTICULOS} SELECT 'ordenanzas' AS serie, procesado_llm::VARCHAR AS valor, count(*) AS n FROM normas WHERE tipo = 'ordenanza' GROUP BY 2 UNION ALL SELECT 'normas', estado, count(*) FROM normas GROUP BY 2
+UNION ALL SELECT 'articulos', CASE WHEN orden % 3 = 0 THEN 'modificado' ELSE 'vigente' END, count(*) FROM articulos GROUP BY 2 UNION ALL SELECT 'total', 'articulos', count(*) FROM articulos UNION ALL SELECT 'total', 'referencias', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)""",
+)
+def a6_states(spark, sf):
+    a = articulos(spark, sf).withColumn("estado", F.when(F.col("orden") % 3 == 0, "modificado").otherwise("vigente"))
+    return A.snapshot_states(normas(spark, sf), a, references(spark, sf))
+
+
 @query("a6_snapshot", f"WITH {NORMAS} SELECT count(*) AS total, round(100.0 * count(*) FILTER (procesado_llm IN (1, 2)) / count(*), 2) AS porcentaje, count(*) FILTER (tipo = 'ordenanza') AS ordenanzas, round(100.0 * count(*) FILTER (procesado_llm IN (1, 2) AND tipo = 'ordenanza') / count(*) FILTER (tipo = 'ordenanza'), 2) AS porcentaje_ordenanzas, count(DISTINCT codigo_localidad) AS municipios FROM normas")
 def a6(spark, sf):
     return A.snapshot(normas(spark, sf))
@@ -320,13 +362,13 @@ def a17(spark, sf):
 
 @query(
     "w1_republications",
-    """WITH o AS (SELECT o_custkey AS clave, (o_orderkey % 12)::INT AS boletin, o_orderkey AS contenido_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'completa' ELSE 'extracto' END AS version FROM orders),
+    """WITH o AS (SELECT CASE WHEN o_custkey % 10 > 0 THEN o_custkey END AS clave, (o_orderkey % 12)::INT AS boletin, o_orderkey AS contenido_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'completa' ELSE 'extracto' END AS version FROM orders),
 r AS (SELECT *, row_number() OVER w AS k, first_value(contenido_id) OVER w AS f, first_value(boletin) OVER w AS fb FROM o WINDOW w AS (PARTITION BY clave ORDER BY boletin, CASE version WHEN 'completa' THEN 0 ELSE 1 END, contenido_id)),
 g AS (SELECT clave, list_sort(list(DISTINCT boletin::VARCHAR) FILTER (boletin <> fb)) AS others, list_sort(list(contenido_id)) AS ids, any_value(fb) AS fb FROM r WHERE k > 1 GROUP BY 1)
-SELECT contenido_id, CASE WHEN k > 1 THEN f END AS es_republicacion_de, CASE WHEN k = 1 AND g.clave IS NOT NULL THEN CASE WHEN len(others) > 0 THEN others ELSE [g.fb::VARCHAR] END END AS tambien_en, CASE WHEN k = 1 THEN ids END AS ids_repetidos FROM r LEFT JOIN g USING (clave)""",
+SELECT contenido_id, CASE WHEN k > 1 AND clave IS NOT NULL THEN f END AS es_republicacion_de, CASE WHEN k = 1 AND g.clave IS NOT NULL THEN CASE WHEN len(others) > 0 THEN others ELSE [g.fb::VARCHAR] END END AS tambien_en, CASE WHEN k = 1 THEN ids END AS ids_repetidos FROM r LEFT JOIN g USING (clave)""",
 )
 def w1(spark, sf):
-    o = table(spark, sf, "orders").selectExpr("o_custkey as clave", "cast(o_orderkey % 12 as int) as boletin", "o_orderkey as contenido_id", "case when o_orderpriority like '1%' then 'completa' else 'extracto' end as version")
+    o = table(spark, sf, "orders").selectExpr("case when o_custkey % 10 > 0 then o_custkey end as clave", "cast(o_orderkey % 12 as int) as boletin", "o_orderkey as contenido_id", "case when o_orderpriority like '1%' then 'completa' else 'extracto' end as version")
     return W.republications(o, ["clave"]).select("contenido_id", "es_republicacion_de", "tambien_en", "ids_repetidos")
 
 

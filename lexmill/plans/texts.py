@@ -678,6 +678,48 @@ def c1(spark, sf):
     return C.dossier(normas(spark, sf), articulos(spark, sf), *index(spark, sf), terms, 2000, 2020).select("query_id", "id", "puesto", "score", "markdown")
 
 
+@query(
+    "c1_dossier_page",
+    f"""WITH {_INDEX}, {ARTICULOS}, {_TOP.replace('{x}', "(SELECT sc.* FROM sc JOIN normas USING (id) WHERE tipo = 'ordenanza' AND estado IN ('vigente', 'modificada') AND codigo_localidad = 3)")},
+f AS (SELECT query_id, id, s, titulo, estado, row_number() OVER (PARTITION BY query_id ORDER BY puesto) AS puesto, count(*) OVER (PARTITION BY query_id) AS total FROM r JOIN normas USING (id) WHERE puesto <= 100 AND (anio IS NULL OR anio >= 2000)),
+k AS (SELECT norma_id AS id, string_agg('- **Art. ' || numero || '** ' || substr(texto, 1, 250), chr(10) ORDER BY orden) AS t FROM articulos WHERE orden <= 5 GROUP BY 1)
+SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score, total, CASE WHEN total > 5 THEN 5 END::INT AS siguiente, '## ' || titulo || chr(10) || 'Estado: ' || estado || chr(10) || coalesce(t, '') AS markdown,
+CASE WHEN id % 3 > 0 THEN 'modifica ' || id || ',' ELSE '' END || 'cita Ley 5' AS relaciones, CASE WHEN id % 2 = 0 THEN 'Anexo ' || id ELSE '' END AS anexos FROM f LEFT JOIN k USING (id) WHERE puesto BETWEEN 3 AND 5""",
+)
+def c1_page(spark, sf):
+    """Ordinances in force of one municipality, from 2000 on or of unknown year: the third to the fifth of each topic, with references and annexes."""
+    n = normas(spark, sf)
+    ref = lambda k, kind, number, text: n.select((F.col("id") * 10 + k).alias("ref_id"), F.col("id").alias("norma_origen_id"), F.lit(kind).alias("relacion"), number.cast("long").alias("destino_numero"), F.lit(None).cast("int").alias("destino_anio"), F.lit(text).alias("destino_referencia"))
+    refs = ref(0, "modifica", F.col("id"), None).filter("norma_origen_id % 3 > 0").unionByName(ref(1, "cita", F.lit(None), "Ley 5"))
+    annexes = n.filter("id % 2 = 0").select("id", F.col("id").alias("norma_id"), F.concat(F.lit("Anexo "), F.col("id")).alias("nombre"), F.lit(None).cast("string").alias("url"))
+    terms = R.query_terms(search_queries(spark, sf))
+    out = C.dossier(n, articulos(spark, sf), *index(spark, sf), terms, 2000, None, [3], kind="ordenanza", in_force_only=True, references=refs, annexes=annexes, cursor=2, limit=3, dictionary=index_terms(spark, sf))
+    shown = F.array_join(F.transform("referencias", lambda x: F.concat_ws(" ", x["relacion"], x["destino_numero"].cast("string"), x["destino_referencia"])), ",")
+    return out.select("query_id", "id", "puesto", "score", "total", "siguiente", "markdown", shown.alias("relaciones"), F.array_join(F.transform("anexos", lambda x: x["nombre"]), ",").alias("anexos"))
+
+
+_SECOND = _INDEX[_INDEX.index("qt AS") :].replace("qt", "qt2").replace("FROM q)", "FROM q2)").replace("df AS", "df2 AS").replace("USING (term) JOIN df", "USING (term) JOIN df2").replace("sh AS", "sh2 AS").replace(", sh GROUP", ", sh2 GROUP").replace("sc AS", "sc2 AS")
+
+
+@query(
+    "c2_topics",
+    f"""WITH {_INDEX}, h AS (SELECT query_id AS tema, id, codigo_localidad, anio, row_number() OVER (PARTITION BY query_id, codigo_localidad ORDER BY round(s, 6) DESC, id) AS k FROM sc JOIN normas USING (id) WHERE codigo_localidad <> 1),
+f AS (SELECT tema, id, row_number() OVER (PARTITION BY tema ORDER BY codigo_localidad, k) AS orden FROM h WHERE k <= 4 AND (anio IS NULL OR anio >= 2000)), cand AS MATERIALIZED (SELECT * FROM f WHERE orden <= 4),
+q2 AS (SELECT DISTINCT id AS query_id, array_to_string(list_filter(string_split_regex(titulo, chr(92) || 's+'), lambda x: length(x) > 4)[1:4], ' ') AS query FROM cand JOIN normas USING (id)), {_SECOND},
+tg AS (SELECT n.id, embedding FROM normas n LEFT JOIN embeddings ON vec_id = n.id WHERE codigo_localidad = 1),
+vs AS MATERIALIZED (SELECT query_id, tg.id, round(list_cosine_similarity(e.embedding::DOUBLE[], tg.embedding::DOUBLE[]), 4) AS score FROM q2 JOIN embeddings e ON e.vec_id = query_id, tg WHERE tg.embedding IS NOT NULL),
+vb AS (SELECT query_id, max(score) AS v, arg_min(id, (-score, id)) AS v_id FROM vs WHERE score >= 0 GROUP BY 1),
+ts AS (SELECT query_id, id AS t_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS z FROM sc2 JOIN tg USING (id)),
+j AS (SELECT query_id, v, v_id, round(1 / (1 + abs(s)), 4) AS t, t_id FROM q2 LEFT JOIN vb USING (query_id) LEFT JOIN (SELECT * FROM ts WHERE z = 1) USING (query_id)),
+c AS (SELECT *, CASE WHEN v >= 0.75 THEN 'vectorial' WHEN t > 0.6 THEN 'fts_bm25' WHEN v >= 0.5 THEN 'vectorial_moderado' WHEN v IS NOT NULL THEN 'vectorial_bajo' ELSE 'ninguna' END AS via FROM j)
+SELECT tema, orden::INT AS orden, id AS query_id, CASE via WHEN 'fts_bm25' THEN t_id ELSE v_id END AS equivalente, via, CASE WHEN via IN ('vectorial_bajo', 'ninguna') THEN 'posible_brecha' ELSE 'equivalente_encontrado' END AS clase FROM cand JOIN c ON c.query_id = cand.id""",
+)
+def c2_topics(spark, sf):
+    """Each benchmark text as a topic: the best norms of the other municipalities, four each and four in all, against municipality 1."""
+    out = C.compare_topics(normas(spark, sf), vectors(spark, sf), *index(spark, sf), search_queries(spark, sf), 1, since=2000, limit=4)
+    return out.select("tema", "orden", "query_id", "equivalente", "via", "clase")
+
+
 @query(
     "c2_compare",
     f"""WITH {_INDEX.replace("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT id AS query_id, array_to_string(list_filter(string_split_regex(titulo, chr(92) || 's+'), lambda x: length(x) > 4)[1:4], ' ') AS query FROM normas JOIN embeddings ON vec_id = id WHERE id % 50 = 0 AND codigo_localidad <> 1")},
