@@ -197,6 +197,59 @@ def p22_links(spark, sf):
     return H.page_rows(table(spark, sf, "pages")).filter("clase in ('a', 'h1', 'title')").select("id", "clase", "destino", "texto")
 
 
+_ESCAPED = "replace(replace(replace(texto, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_ONE_LINE = "trim(regexp_replace(texto, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+def crawl_pages(spark, sf):
+    """A page of each kind for every document, with its whole text and with tags left open: listings, bulletins, norms."""
+    n, k = normas(spark, sf), F.col("id")
+    text = F.expr(_ESCAPED)
+    day = F.date_format(F.make_date(2000 + k % 20, k % 12 + 1, k % 28 + 1), "dd/MM/yyyy")
+    cat = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    listing = cat('<ul><li><div class="bulletin"><p class="bulletin-title">Boletín N° ', F.col("boletin"), '<p class="bulletin-date">', day, '<form class="button_to" action="/bulletins/', k, '"><input></form></div><li><div class="bulletin"><p class="bulletin-title">', text, "</div></ul>")
+    link = lambda c, title, more="": cat('<a class="content-link" href="/bulletins/', k, "/contents/", c, '"><div class="white-box"><p>', title, '<p class="city-and-date">Azul, ', day, more, "</div></a>")
+    panels = cat('<div class="panel-content panel-', F.when(k % 3 == 0, "ordinances").otherwise("decrees"), '">', link(k * 2, text, F.when(k % 2 == 0, "<p>Versión extractada").otherwise("")), link(F.floor(k / 2) * 2 + 1, F.col("titulo")), '</div><div class="panel-content panel-odd">', link(F.lit(5), F.lit("x")), "</div>")
+    detail = cat('<div class="col-md-9"><h1 class="title">', F.when(k % 2 == 0, F.col("titulo")).otherwise(cat("Decreto ", k)), '</h1><p class="city-and-date">Azul<p>', text, "<p><p>fin<ul><li><p>nota<li>x</ul></div>", F.when(k % 3 > 0, cat('<div class="row annex"><p class="annex-name">Plano ', k, '<div><a href="/download_annex/', k, '">ver</a></div></div><div class="row annex"><a href="/download_annex/0">', text, "</a></div>")).otherwise(""))
+    return n.select("id", F.explode(F.array(F.struct(F.lit("listado").alias("k"), listing.alias("h")), F.struct(F.lit("boletin").alias("k"), panels.alias("h")), F.struct(F.lit("norma").alias("k"), detail.alias("h")))).alias("p")).select(F.concat_ws("-", "p.k", "id").alias("page_id"), F.col("p.h").alias("html"))
+
+
+def crawl_elements(spark, sf, kind):
+    return save(H.elements(crawl_pages(spark, sf).filter(F.col("page_id").startswith(kind))), "elements")
+
+
+@query("p22_bulletins", f"WITH {NORMAS} SELECT id AS boletin_id, boletin AS numero, 'Boletín N° ' || boletin AS titulo, make_date((2000 + id % 20)::INT, (id % 12 + 1)::INT, (id % 28 + 1)::INT) AS fecha FROM normas")
+def p22_bulletins(spark, sf):
+    return H.bulletins(crawl_elements(spark, sf, "listado")).drop("id")
+
+
+@query(
+    "p22_contents",
+    f"""WITH {NORMAS}, d AS (SELECT *, make_date((2000 + id % 20)::INT, (id % 12 + 1)::INT, (id % 28 + 1)::INT) AS fecha, CASE WHEN id % 3 = 0 THEN 'ordenanza' ELSE 'decreto' END AS t FROM normas),
+c AS (SELECT id, 1 AS o, id * 2 AS contenido_id, t, {_ONE_LINE} AS titulo, id % 2 = 0 OR regexp_matches(lower(texto), 'versi[oó]n extractada') AS extractada, fecha FROM d UNION ALL SELECT id, 2, id // 2 * 2 + 1, t, titulo, false, fecha FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY contenido_id ORDER BY 'boletin-' || id, o) AS k FROM c)
+SELECT id AS boletin_id, contenido_id, t AS tipo, md5(titulo) AS titulo, extractada, fecha FROM r WHERE k = 1""",
+)
+def p22_contents(spark, sf):
+    items, _ = H.contents(crawl_elements(spark, sf, "boletin"), {"ordinances": "ordenanza", "decrees": "decreto"})
+    return items.drop("id").withColumn("titulo", F.md5("titulo"))
+
+
+@query("p22_unknown_panels", f"WITH {NORMAS} SELECT 'boletin-' || id AS id, 'odd' AS panel FROM normas")
+def p22_unknown(spark, sf):
+    return H.contents(crawl_elements(spark, sf, "boletin"), {"ordinances": "ordenanza", "decrees": "decreto"})[1]
+
+
+@query(
+    "p22_details",
+    f"""WITH {NORMAS} SELECT 'norma-' || id AS id, CASE WHEN id % 2 = 0 THEN titulo ELSE 'Decreto ' || id END AS titulo, CASE WHEN id % 2 = 1 THEN id WHEN anio IS NULL THEN numero END::BIGINT AS numero_registro,
+md5(CASE WHEN {_ONE_LINE} = '' THEN '' ELSE {_ONE_LINE} || chr(10) || chr(10) END || 'fin') AS cuerpo, CASE WHEN id % 3 > 0 THEN 'Plano ' || id || ' /download_annex/' || id || ',Anexo /download_annex/0' ELSE '' END AS anexos FROM normas""",
+)
+def p22_details(spark, sf):
+    rows = H.norm_details(crawl_elements(spark, sf, "norma"))
+    return rows.select("id", "titulo", "numero_registro", F.md5("cuerpo").alias("cuerpo"), F.array_join(F.transform("anexos", lambda a: F.concat_ws(" ", a["nombre"], a["url"])), ",").alias("anexos"))
+
+
 @query("p22_page_rows")
 def p22(spark, sf):
     return H.page_rows(table(spark, sf, "pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,51 +15,86 @@ from lexmill.session import ship_package
 
 _HIDDEN = {"script", "style", "template", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_ENDS_P = {"p", "div", "ul", "ol", "table", "article", "section", "form", "h1", "h2", "h3", "h4"}
+_BLOCKS = ("p", "div", "ul", "ol", "dl", "table", "article", "section", "form", "header", "footer", "nav", "main", "blockquote", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6")
+#: What a start tag ends if it is open, and the elements beyond which it doesn't reach.
+_ENDS = {tag: ({"p"}, {"table", "td", "th", "button"}) for tag in _BLOCKS} | {
+    "li": ({"li", "p"}, {"ul", "ol"}),
+    "dt": ({"dt", "dd", "p"}, {"dl"}),
+    "dd": ({"dt", "dd", "p"}, {"dl"}),
+    "td": ({"td", "th", "p"}, {"tr", "table"}),
+    "th": ({"td", "th", "p"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th", "p"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "p"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+}
 #: What frames a page, and the class of its main part.
 _FRAME_TAGS = {"header", "footer", "nav", "script", "style"}
 _FRAME_CLASSES = {"sidebar", "share-buttons", "back-to-top"}
 MAIN_CLASS = "norma-content"
-ELEMENTS = "orden int, ancestros array<int>, etiqueta string, clases array<string>, destino string, texto string"
-#: Elements that hold short pieces of text; all text inside is kept for them.
-_TEXTS = {"a", "p", "h1", "h2", "h3", "h4", "li", "td", "th", "title", "span", "b", "label"}
+ELEMENTS = "orden int, fin int, padre int, etiqueta string, clases array<string>, destino string, desde int, hasta int, pagina string"
+#: Places of elements that meet in one bucket of the containment join.
+BUCKET = 64
 
 
 class _Reader(HTMLParser):
-    """Elements in order of their begins: [open elements around it, tag, classes, target, text parts]."""
+    """Elements in order of their begins: [number of the last one inside, the one around, tag, classes, target, text from, text to]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[int] = []
+        self.rows: list[list] = [[0, None, "", [], None, 0, 0]]
+        self.open = [0]
+        self.held: Counter[str] = Counter()
+        self.text: list[str] = []
+        self.size = 0
         self.hidden = 0
 
+    def _close(self, k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        for n in self.open[k:]:
+            self.rows[n][0], self.rows[n][6] = len(self.rows) - 1, self.size
+            self.held[self.rows[n][2]] -= 1
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _HIDDEN:
             self.hidden += 1
             return
-        if tag in _ENDS_P and self.open and self.rows[self.open[-1]][1] == "p":
-            self.open.pop()
+        ends, bounds = _ENDS.get(tag, ((), ()))
+        left, last = sum(self.held[x] for x in ends), None
+        if left:
+            for k in range(len(self.open) - 1, 0, -1):
+                name = self.rows[self.open[k]][2]
+                if name in bounds:
+                    break
+                if name in ends:
+                    last, left = k, left - 1
+                    if not left:
+                        break
+            if last is not None:
+                self._close(last)
         a = dict(attrs)
-        target = a.get("href") or a.get("action") or a.get("src")
-        self.rows.append([list(self.open), tag, (a.get("class") or "").split(), target, []])
+        self.rows.append([len(self.rows), self.open[-1], tag, (a.get("class") or "").split(), a.get("href") or a.get("action") or a.get("src"), self.size, self.size])
         if tag not in _VOID:
             self.open.append(len(self.rows) - 1)
+            self.held[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-            return
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[k]][1] == tag:
-                del self.open[k:]
-                return
+        elif self.held[tag]:
+            self._close(next(k for k in range(len(self.open) - 1, 0, -1) if self.rows[self.open[k]][2] == tag))
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            for k in self.open:
-                if self.rows[k][1] in _TEXTS:
-                    self.rows[k][4].append(data)
+            self.text.append(data)
+            self.size += len(data)
+
+    def close(self) -> None:
+        super().close()
+        self._close(0)
 
 
 class _MainText(HTMLParser):
@@ -119,9 +154,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, orden, ancestros, etiqueta, clases, destino, texto): the elements of each page and the numbers of those around them; a null page has none.
+    """(id, orden, fin, padre, etiqueta, clases, destino, desde, hasta, pagina): the elements of each page; a null page has none.
 
-    All text inside is kept for elements that hold short pieces (links, headings, paragraphs, list items, cells, titles, labels).
+    An element holds those numbered from its ``orden`` to ``fin`` and the page's characters from ``desde`` to ``hasta``;
+    the page itself is number 0 and has its whole text, once. Elements that a start tag implies to be over (list items,
+    cells, rows, paragraphs, options) end there.
     """
     ship_package(pages.sparkSession)
 
@@ -134,25 +171,33 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 r = _Reader()
                 r.feed(html)
                 r.close()
-                for n, (around, tag, classes, target, parts) in enumerate(r.rows):
-                    at.append(k)
-                    out.append((n, around, tag, classes, target, re.sub(r"\s+", " ", "".join(parts)).strip() if tag in _TEXTS else None))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
-            types = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+                whole = "".join(r.text)
+                at += [k] * len(r.rows)
+                out += [(n, *row, None if n else whole) for n, row in enumerate(r.rows)]
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string())
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["id", "orden", "ancestros", "etiqueta", "clases", "destino", "texto"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["id", "orden", "fin", "padre", "etiqueta", "clases", "destino", "desde", "hasta", "pagina"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, html_col).mapInArrow(read, f"id {kind}, {ELEMENTS}")
 
 
+def with_text(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Elements with ``texto``, the text inside them, white space as one space; ``rows`` has their pages."""
+    whole = rows.filter("orden = 0").select("id", F.col("pagina").alias("_whole"))
+    text = F.substring("_whole", F.col("desde") + 1, F.col("hasta") - F.col("desde"))
+    return wanted.drop("pagina").join(whole, "id").withColumn("texto", F.trim(F.regexp_replace(text, r"\s+", " "))).drop("_whole")
+
+
 def page_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, orden, clase, destino, texto, numero): links, headings, paragraphs, list items and titles of each page.
 
-    ``numero`` is the record number of 'Ordenanza N° n' in the text.
+    ``numero`` is the record number of 'Ordenanza N° n' in the text; ``orden`` numbers the page's elements from 0.
     """
-    rows = elements(pages, id_col, html_col).filter(F.col("etiqueta").isin("a", "p", "h1", "h2", "h3", "li", "title"))
-    return rows.select("id", "orden", F.col("etiqueta").alias("clase"), F.coalesce("destino", F.lit("")).alias("destino"), "texto", F.regexp_extract("texto", r"Ordenanza\s+N[°º]\s*(\d{1,9})", 1).try_cast("long").alias("numero"))
+    every = elements(pages, id_col, html_col)
+    rows = with_text(every.filter(F.col("etiqueta").isin("a", "p", "h1", "h2", "h3", "li", "title")), every)
+    return rows.select("id", (F.col("orden") - 1).alias("orden"), F.col("etiqueta").alias("clase"), F.coalesce("destino", F.lit("")).alias("destino"), "texto", F.regexp_extract("texto", r"Ordenanza\s+N[°º]\s*(\d{1,9})", 1).try_cast("long").alias("numero"))
 
 
 def page_count(rows: DataFrame, page: str = r"[?&]page=(\d+)") -> DataFrame:
@@ -166,15 +211,19 @@ def has_class(name: str) -> Column:
 
 
 def inside(rows: DataFrame, box: Column) -> DataFrame:
-    """``rows`` within elements that ``box`` is true for, with ``caja`` (that element's orden) and ``caja_clases``; the element itself is in it."""
-    boxes = rows.filter(box).select("id", F.col("orden").alias("caja"), F.col("clases").alias("caja_clases"))
-    around = F.explode(F.array_append("ancestros", F.col("orden"))).alias("caja")
-    return rows.select("*", around).join(boxes, ["id", "caja"])
+    """``rows`` within elements that ``box`` is true for, with ``caja`` (that element's orden) and ``caja_clases``; the element itself is in it.
+
+    A box meets the elements of the buckets of places that it covers, so a page's boxes and elements aren't all paired.
+    """
+    part = lambda c: F.floor(F.col(c) / BUCKET).cast("int")
+    boxes = rows.filter(box).select("id", F.col("orden").alias("caja"), F.col("fin").alias("_end"), F.col("clases").alias("caja_clases"), F.explode(F.sequence(part("orden"), part("fin"))).alias("_part"))
+    own = rows.filter("orden > 0").withColumn("_part", part("orden"))
+    return own.join(boxes, ["id", "_part"]).filter("orden between caja and _end").drop("_part", "_end")
 
 
 def bulletins(rows: DataFrame) -> DataFrame:
     """(id, boletin_id, numero, titulo, fecha) of listing pages: boxes of class ``bulletin`` with a title, a date and a form's action."""
-    own = inside(rows, has_class("bulletin") & (F.col("etiqueta") == "div"))
+    own = with_text(inside(rows, has_class("bulletin") & (F.col("etiqueta") == "div")).filter(has_class("bulletin-title") | has_class("bulletin-date") | (F.col("etiqueta") == "form")), rows)
     first = lambda c, v: F.min_by(v, F.when(c, F.col("orden")))
     got = own.groupBy("id", "caja").agg(
         first(has_class("bulletin-title"), F.col("texto")).alias("titulo"),
@@ -190,12 +239,12 @@ def contents(rows: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFra
     Items: id, boletin_id, contenido_id, tipo, titulo, extractada, fecha; the first of each content id. Unknown: id, panel.
     """
     panel = F.regexp_replace(F.get(F.filter("caja_clases", lambda c: c.startswith("panel-") & (c != "panel-content")), F.lit(0)), "^panel-", "")
-    links = inside(rows, has_class("panel-content")).filter(has_class("content-link") & (F.col("etiqueta") == "a")).withColumn("panel", panel)
+    links = with_text(inside(rows, has_class("panel-content")).filter(has_class("content-link") & (F.col("etiqueta") == "a")).withColumn("panel", panel), rows)
     kind = F.element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v)]), F.col("panel"))
     links = links.withColumn("tipo", kind)
     unknown = links.filter("tipo is null").select("id", "panel").distinct()
     known = links.filter("tipo is not null").select("id", "orden", "tipo", found(F.col("destino"), r"/contents/(\d+)").cast("long").alias("contenido_id"), found(F.col("destino"), r"/bulletins/(\d+)").cast("long").alias("boletin_id"), F.col("texto").alias("_all")).filter("contenido_id is not null")
-    parts = inside(rows, has_class("content-link") & (F.col("etiqueta") == "a")).filter("etiqueta = 'p'").groupBy("id", F.col("caja").alias("orden")).agg(F.min_by("texto", F.col("orden")).alias("titulo"), F.min_by("texto", F.when(has_class("city-and-date"), F.col("orden"))).alias("_date"))
+    parts = with_text(inside(rows, has_class("content-link") & (F.col("etiqueta") == "a")).filter("etiqueta = 'p'"), rows).groupBy("id", F.col("caja").alias("orden")).agg(F.min_by("texto", F.col("orden")).alias("titulo"), F.min_by("texto", F.when(has_class("city-and-date"), F.col("orden"))).alias("_date"))
     items = known.join(parts, ["id", "orden"], "left")
     items = items.select("id", "boletin_id", "contenido_id", "tipo", F.coalesce("titulo", F.lit("")).alias("titulo"), F.lower("_all").rlike("versi[oó]n extractada").alias("extractada"), parse_date("_date").alias("fecha"), "orden")
     once = items.groupBy("contenido_id").agg(F.min(F.struct("id", "orden", "boletin_id", "tipo", "titulo", "extractada", "fecha")).alias("m"))
@@ -205,14 +254,19 @@ def contents(rows: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFra
 def norm_details(rows: DataFrame) -> DataFrame:
     """(id, titulo, numero_registro, cuerpo, anexos) of norm pages.
 
-    The body is the column's paragraphs without the date line, a blank line between; the record number is what the
-    heading ends with, unless that is a legal number with its year; annexes are download links with their names.
+    The body is the column's own paragraphs (if it has none, all within it) without the date line, a blank line between;
+    the record number is what the heading ends with, unless that is a legal number with its year; annexes are download
+    links with their names.
     """
     column = inside(rows, has_class("col-md-9"))
-    p = column.filter((F.col("etiqueta") == "p") & ~has_class("city-and-date") & (F.col("texto") != ""))
-    body = p.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("orden", "texto"))).alias("_p")).select("id", F.array_join(F.transform("_p", lambda x: x["texto"]), "\n\n").alias("cuerpo"))
-    heads = column.filter("etiqueta = 'h1'").groupBy("id").agg(F.min_by("texto", "orden").alias("titulo"))
-    annex = inside(rows, has_class("annex")).groupBy("id", "caja").agg(F.min_by("texto", F.when(has_class("annex-name"), F.col("orden"))).alias("nombre"), F.min_by("destino", F.when(F.contains("destino", F.lit("download_annex")), F.col("orden"))).alias("url"))
+    p = with_text(column.filter("etiqueta = 'p'"), rows).withColumn("own", F.col("padre") == F.col("caja"))
+    date = has_class("city-and-date")
+    listed = p.groupBy("id").agg(F.bool_or("own").alias("direct"), F.sort_array(F.collect_list(F.when(~date & (F.col("texto") != ""), F.struct("orden", "own", "texto")))).alias("p"))
+    kept = F.filter("p", lambda x: ~F.col("direct") | x["own"])
+    body = listed.select("id", F.array_join(F.transform(kept, lambda x: x["texto"]), "\n\n").alias("cuerpo"))
+    heads = with_text(column.filter("etiqueta = 'h1'"), rows).groupBy("id").agg(F.min_by("texto", "orden").alias("titulo"))
+    parts = with_text(inside(rows, has_class("annex")).filter(has_class("annex-name") | F.contains("destino", F.lit("download_annex"))), rows)
+    annex = parts.groupBy("id", "caja").agg(F.min_by("texto", F.when(has_class("annex-name"), F.col("orden"))).alias("nombre"), F.min_by("destino", F.when(F.contains("destino", F.lit("download_annex")), F.col("orden"))).alias("url"))
     annexes = annex.filter("url is not null").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("caja", F.coalesce("nombre", F.lit("Anexo")).alias("nombre"), "url"))), lambda x: F.struct(x["nombre"].alias("nombre"), x["url"].alias("url"))).alias("anexos"))
     number = F.when(~F.col("titulo").rlike(r"\d+\s*/\s*\d{2,4}"), F.regexp_extract("titulo", r"(\d+)\s*$", 1).try_cast("long"))
     out = heads.join(body, "id", "full_outer").join(annexes, "id", "left")

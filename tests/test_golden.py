@@ -334,7 +334,7 @@ def test_boxes_at_any_depth(spark):
 
     html = '<div class="col-md-9">' + "<div>" * 30 + "<p>hondo</p>" + "</div>" * 30 + "</div><p>fuera</p>"
     rows = H.elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
-    assert [r.texto for r in H.inside(rows, H.has_class("col-md-9")).filter("etiqueta = 'p'").collect()] == ["hondo"]
+    assert [r.texto for r in H.with_text(H.inside(rows, H.has_class("col-md-9")).filter("etiqueta = 'p'"), rows).collect()] == ["hondo"]
 
 
 def test_written_index_and_filters(spark, tmp_path):
