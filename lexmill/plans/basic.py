@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lexmill.operators import aggregates as A
 from lexmill.operators import filters as L
 from lexmill.operators import graph as G
+from lexmill.operators import incremental as I
 from lexmill.operators import joins as J
+from lexmill.operators import paging as K
 from lexmill.operators import windows as W
 from lexmill.plans.tables import ARTICULOS, ASIGNADAS, CATEGORIAS, NORMAS, PARTS, REFS, articulos, asignadas, categorias, normas, part_norms, references
-from lexmill.session import table
+from lexmill.session import shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,6 +120,23 @@ def l2(spark, sf):
     return L.page(L.newest_first(normas(spark, sf).select("id", "anio", "numero")), 20, 40)[0]
 
 
+@query(
+    "l2_rank_pages",
+    f"WITH {NORMAS}, r AS (SELECT id, anio, numero, row_number() OVER (ORDER BY anio DESC NULLS LAST, numero DESC NULLS LAST, id) AS puesto, count(*) OVER () AS total FROM normas) SELECT id, anio, numero, puesto, total, CASE WHEN puesto <= total // 2 + 20 THEN total // 2 + 20 END AS siguiente FROM r WHERE puesto BETWEEN total // 2 + 1 AND total // 2 + 20 OR puesto > total - 15",
+)
+def l2_ranks(spark, sf):
+    """A page from the middle and the last one, each read from its own ranges."""
+    rows, path = normas(spark, sf).select("id", "anio", "numero"), shared_dir(spark, "ranks")
+    K.write_ranks(rows, path, ranges=16)
+    total = K.rank_page(spark, path, rows.schema, 0, 1).total
+    out = None
+    for cursor in (total // 2, total - 15):
+        page = K.rank_page(spark, path, rows.schema, cursor, 20)
+        own = page.rows.select("id", "anio", "numero", "puesto", F.lit(page.total).cast("long").alias("total"), F.lit(page.next_cursor).cast("long").alias("siguiente"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("l2_keyset", f"WITH {NORMAS} SELECT id, anio, numero FROM normas WHERE anio < 2015 OR (anio = 2015 AND (numero < 200 OR (numero = 200 AND id > 0))) OR anio IS NULL ORDER BY anio DESC NULLS LAST, numero DESC NULLS LAST, id LIMIT 20")
 def l2_keyset(spark, sf):
     return L.after_key(normas(spark, sf).select("id", "anio", "numero"), 2015, 200, 0, 20)
@@ -443,3 +462,23 @@ def g1(spark, sf):
 @query("g2_reconcile", f"WITH {_STATES} SELECT codigo_localidad, estado, count(*) AS n FROM final GROUP BY 1, 2")
 def g2(spark, sf):
     return G.state_summary(cascade(spark, sf)["normas"], "codigo_localidad")
+
+
+_NOTES = """f AS (SELECT norma_id, etiqueta, min(ref_id) AS r, arg_min(relacion, ref_id) AS relacion, any_value(coalesce(notas_vigencia, '')) AS old FROM p WHERE s >= b GROUP BY 1, 2),
+g AS (SELECT norma_id, max(old) AS old, string_agg(relacion || ' ' || etiqueta, ' | ' ORDER BY r) AS t FROM f WHERE NOT contains(old, etiqueta) GROUP BY 1)"""
+
+
+@query(
+    "g2_incremental",
+    f"""WITH {_REPORT}, {_NOTES}, m AS (SELECT norma_destino_id AS id, max({_SEV}) AS s FROM res WHERE norma_destino_id IS NOT NULL GROUP BY 1)
+SELECT n.id, {_NAME.replace('{x}', f'greatest({_STATE}, coalesce(m.s, 0))')} AS estado, CASE WHEN g.old <> '' THEN g.old || ' | ' || t ELSE t END AS notas FROM normas n LEFT JOIN m USING (id) LEFT JOIN g ON g.norma_id = n.id""",
+)
+def g2_incremental(spark, sf):
+    """References in three batches out of order, norms in two, one of them after all references: as in one run."""
+    path, n, r = shared_dir(spark, "cascade"), part_norms(spark, sf), references(spark, sf)
+    I.add_norms(n.filter("id % 3 > 0"), path)
+    for part in (2, 0, 1):
+        I.add_references(r.filter(F.col("ref_id") % 3 == part), path)
+    I.add_norms(n.filter("id % 3 = 0"), path)
+    out = I.reconciled(spark, path)
+    return out["normas"].join(out["notas"], "id", "left")

@@ -19,6 +19,7 @@ from lexmill.plans.tables import ARTICULOS, ASIGNADAS, CATEGORIAS, NORMAS, artic
 from lexmill.session import file_state, path_exists, save, shared_dir, table
 from lexmill.sources import corpus as S
 from lexmill.sources import html_rows as H
+from lexmill.sources import units as Q
 from lexmill.streaming import ingest as I
 
 QUERIES: dict = {}
@@ -493,6 +494,35 @@ def s5(spark, sf):
     return spark.read.parquet(path).groupBy("codigo_localidad").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "s5_unit",
+    f"""WITH {NORMAS}, {ARTICULOS}, n AS (SELECT * FROM normas WHERE codigo_localidad NOT IN (2, 3) OR tipo = 'ordenanza'), a AS (SELECT norma_id, a.id, codigo_localidad FROM articulos a JOIN normas n ON n.id = norma_id)
+SELECT 'normas' AS tabla, codigo_localidad, id, md5(texto) || CASE WHEN codigo_localidad IN (2, 3) THEN ' nueva' ELSE '' END AS valor FROM n
+UNION ALL SELECT 'articulos', codigo_localidad, id, norma_id::VARCHAR FROM a WHERE codigo_localidad NOT IN (2, 3) OR (codigo_localidad = 3 AND norma_id IN (SELECT id FROM n))""",
+)
+def s5_unit(spark, sf):
+    """Norms with their articles; two municipalities are replaced, one of them without articles, by a writer that comes after one that died."""
+    path = shared_dir(spark, "unit")
+    n = normas(spark, sf).select("id", "tipo", "codigo_localidad", F.md5("texto").alias("valor"))
+    a = articulos(spark, sf).select("id", "norma_id").join(n.select(F.col("id").alias("norma_id"), "codigo_localidad"), "norma_id")
+    Q.replace_parts(spark, {"normas": n, "articulos": a}, path)
+    new = n.filter("codigo_localidad in (2, 3) and tipo = 'ordenanza'").withColumn("valor", F.concat("valor", F.lit(" nueva")))
+    Q.write_parts({"normas": new.limit(1)}, path, "codigo_localidad")
+    kept = a.filter("codigo_localidad = 3").join(new.select(F.col("id").alias("norma_id")), "norma_id", "left_semi").select(a.columns)
+    Q.replace_parts(spark, {"normas": new, "articulos": kept}, path)
+    rows = Q.read_parts(spark, path, "normas").select(F.lit("normas").alias("tabla"), "codigo_localidad", "id", "valor")
+    return rows.unionByName(Q.read_parts(spark, path, "articulos").select(F.lit("articulos").alias("tabla"), "codigo_localidad", "id", F.col("norma_id").cast("string").alias("valor")))
+
+
+@query("s7_buckets", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def s7_buckets(spark, sf):
+    """The last event of each user, by three batches in an order of their own, each with users repeated."""
+    path, e = shared_dir(spark, "upsert"), table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    for part in (1, 0, 2):
+        Q.upsert_buckets(spark, e.filter(F.col("event_id") % 3 == part), path, ["user_id"], "event_id")
+    return Q.read_parts(spark, path, "filas").select("user_id", "event_id", "event_type")
+
+
 @query("s8_csv_report", f"WITH {NORMAS} SELECT id, estado FROM normas WHERE estado <> 'vigente'")
 def s8(spark, sf):
     path = shared_dir(spark, "csv")

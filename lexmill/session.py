@@ -49,19 +49,20 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_files(spark: SparkSession, path: str):
+    """The Hadoop path and its filesystem."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p, files = _files(spark, path)
+    p, files = hadoop_files(spark, path)
     return files.exists(p)
 
 
 def file_state(spark: SparkSession, path: str) -> tuple:
     """(path, size, time of change) of every file below a path: equal states mean the same data."""
-    p, files = _files(spark, path)
+    p, files = hadoop_files(spark, path)
     found, out = files.listFiles(p, True), []
     while found.hasNext():
         f = found.next()
