@@ -21,6 +21,7 @@ from lexmill.sources import corpus as S
 from lexmill.sources import html_rows as H
 from lexmill.sources import units as Q
 from lexmill.streaming import ingest as I
+from lexmill.streaming import retries as Y
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -854,6 +855,24 @@ def t4(spark, sf):
 
 
 
+@query(
+    "t4_retries",
+    """WITH a AS (SELECT event_id % 3000 AS item, ts, event_type = 'error' AS fallo FROM events WHERE event_type IN ('error', 'purchase')), w AS (SELECT epoch_ms(max(ts)) - 60000 AS ahora FROM a),
+i AS (SELECT item, count(*) FILTER (fallo)::INT AS intentos, count(*) FILTER (NOT fallo) > 0 AS hecho, max(epoch_ms(ts)) FILTER (fallo) AS ultimo FROM a GROUP BY 1),
+d AS (SELECT *, CASE WHEN NOT hecho AND intentos < 3 THEN ultimo + 86400000 * (CASE intentos WHEN 1 THEN 1 ELSE 2 END) END AS vence_ms FROM i)
+SELECT item, intentos, CASE WHEN hecho THEN 'hecho' WHEN vence_ms IS NULL THEN 'cuarentena' WHEN vence_ms <= ahora THEN 'por_reintentar' ELSE 'en_espera' END AS estado, vence_ms FROM d, w""",
+)
+def t4_retries(spark, sf):
+    """Errors as failures and purchases as successes of an item; three tries, a day's wait that doubles. The stream is started
+    again on its checkpoint, which repeats nothing."""
+    target, checkpoint = shared_dir(spark, "retries"), shared_dir(spark, "retries-checkpoint")
+    stream = I.stream_tables(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema).filter("event_type in ('error', 'purchase')")
+    attempts = stream.selectExpr("event_id % 3000 as item", "cast(ts as timestamp) as ts", "event_type = 'error' as fallo")
+    for _ in range(2):
+        Y.retry_states(attempts, target, checkpoint, 3, 86_400_000).awaitTermination()
+    return Y.last_states(spark.read.schema(Y.OUTPUT).parquet(target)).select("item", "intentos", "estado", F.unix_millis("vence").alias("vence_ms"))
+
+
 @query("t2_bounded_state", "SELECT DISTINCT event_id % 3000 AS contenido_id FROM events")
 def t2_bounded(spark, sf):
     """As t2_first_arrivals, with state kept for a delay only, which all arrivals here are within."""
