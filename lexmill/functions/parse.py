@@ -133,11 +133,15 @@ def amounts(text: Column | str) -> Column:
     )
 
 
+#: Fixed value: the source's own pattern of repeals, which is a class of characters: 'deroga la' has it, 'derogar la' hasn't.
+NARROW_REPEAL = r"(?iu)derog[ar\|a]\s+(?:la\s+)?ordenanza\s+[nº°]*\s*(\d+)/(\d{4})"
+
+
 def mined_references(text: Column | str, reference_mode: bool = False) -> Column:
     """Array of (relacion, destino_tipo, numero, anio) found by pattern; ``reference_mode`` takes 'deroga' alone for repeals."""
     t = col(text)
-    repeal = r"derog[ar\|a]" if reference_mode else r"der[oó]g(?:ar|a|ase|ue|uese)"
     number = r"N?\s*[º°]?\s*(\d{1,5})"
+    repeal = NARROW_REPEAL if reference_mode else rf"(?iu)\bder[oó]g(?:ar|a|ase|ue|uese)[^.]{{0,80}}?\bordenanza\s+{number}\s*/\s*(\d{{4}})"
 
     def kind(relation: str, target: str, pattern: str, year: bool) -> Column:
         hits = F.arrays_zip(all_found(t, pattern, 1).alias("n"), (all_found(t, pattern, 2) if year else all_found(t, pattern, 1)).alias("y"))
@@ -146,7 +150,7 @@ def mined_references(text: Column | str, reference_mode: bool = False) -> Column
     return F.concat(
         kind("adhiere", "ley", rf"(?iu)adhi[eé]r(?:ase|ese|e)?[^.]{{0,60}}?\bley\s+(?:(?:nacional|provincial)\s+)?{number}", False),
         kind("modifica", "ordenanza", rf"(?iu)modif[ií](?:case|quese|ca|car)[^.]{{0,80}}?\bordenanza\s+{number}\s*/\s*(\d{{4}})", True),
-        kind("deroga", "ordenanza", rf"(?iu)\b{repeal}[^.]{{0,80}}?\bordenanza\s+{number}\s*/\s*(\d{{4}})", True),
+        kind("deroga", "ordenanza", repeal, True),
         kind("cita", "decreto_ley", rf"(?iu)\bdecreto[\s-]+ley\s+{number}", False),
     )
 

@@ -353,6 +353,13 @@ def test_written_index_and_filters(spark, tmp_path):
     assert got == [(1, 4), (2, 4), (3, 2)]
 
 
+def test_narrow_repeals(spark):
+    t = "Deroga la Ordenanza N° 12/1999. Derogar la Ordenanza 13/1999. Derógase toda norma y la Ordenanza 14/1999. deroga Ordenanza Nº 15/2000"
+    own = lambda **k: [(r.relacion, r.numero) for r in one(spark, t, lambda c: P.mined_references(c, **k))]
+    assert own() == [("deroga", 12), ("deroga", 13), ("deroga", 14), ("deroga", 15)]
+    assert own(reference_mode=True) == [("deroga", 12), ("deroga", 15)]
+
+
 def test_repair_of_cut_json():
     cases = {'{"a": 1': '{"a": 1}', '{"a": [1, 2, "cort': '{"a": [1, 2, "cort"]}', '{"a": "x\\': '{"a": "x"}', '{"a": {"b": tr': '{"a": {}}', '{"a": 1, "b"': '{"a": 1}', '{"a": 1, "b": ': '{"a": 1}'}
     for text, want in cases.items():
