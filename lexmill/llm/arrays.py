@@ -5,6 +5,7 @@ All of it works on UTF-8 bytes, so whole texts of any length are handled; a null
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker that is kept for later tasks holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def byte_class(ranges: list[tuple[int, int]]) -> np.ndarray:
     """A lookup table that is True for the byte ranges, ends included."""
     out = np.zeros(256, bool)

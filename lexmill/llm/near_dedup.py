@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrays import Powers
+from lexmill.llm.arrays import Powers, give_back
 from lexmill.llm.components import components
 from lexmill.llm.sketches import SKETCH, TREES, agreement, digest, shingle_sets, sketch_batch
 from lexmill.session import save, ship_package, table
@@ -60,6 +60,8 @@ def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     powers = Powers()
     for batch in batches:
         yield sketch_batch(batch, powers)
+        del batch
+        give_back()
 
 
 def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -72,6 +74,8 @@ def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         members = pa.array(np.concatenate(sets + [np.zeros(0, np.uint64)]).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), members)
         yield pa.StructArray.from_arrays([pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["n", "d1", "d2", "set"])
+        del batch, sets, members, lists
+        give_back()
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
