@@ -84,10 +84,10 @@ def p6(spark, sf):
     return markdown(spark, sf).select("id", P.visto(b).alias("visto"), P.considerando(b).alias("considerando"))
 
 
-@query("p7_strict_sections", f"WITH {NORMAS} SELECT id, CASE WHEN id % 2 = 0 THEN 'a ' || id END AS visto, CASE WHEN id % 2 = 0 THEN 'b ' || id END AS considerando FROM normas")
+@query("p7_strict_sections", f"WITH {NORMAS} SELECT id, CASE WHEN id % 2 = 0 THEN md5(id || ' ' || regexp_replace(texto, '[ \\t\\n\\r\\f\\x0B]+$', '')) END AS visto, CASE WHEN id % 2 = 0 THEN titulo END AS considerando FROM normas")
 def p7(spark, sf):
-    t = F.when(F.col("id") % 2 == 0, F.concat(F.lit("VISTO: a "), F.col("id"), F.lit("\nCONSIDERANDO: b "), F.col("id"), F.lit("\nPOR TODO ELLO, x"))).otherwise(F.lit("VISTO: solo"))
-    return normas(spark, sf).select("id", P.strict_sections(t).alias("s")).select("id", "s.visto", "s.considerando")
+    t = F.when(F.col("id") % 2 == 0, F.concat(F.lit("VISTO: "), F.col("id"), F.lit(" "), F.col("texto"), F.lit("\nCONSIDERANDO: "), F.col("titulo"), F.lit("\nPOR TODO ELLO, x"))).otherwise(F.concat(F.lit("VISTO: "), F.col("texto")))
+    return normas(spark, sf).select("id", P.strict_sections(t).alias("s")).select("id", F.md5("s.visto").alias("visto"), "s.considerando")
 
 
 @query("p8_extract", "SELECT doc_id AS id, nullif(array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|\\*|---|>)')), ' '), '') AS extracto FROM documents")
@@ -446,9 +446,14 @@ def j4(spark, sf):
     )
 
 
-@query("j6_vector_text", "SELECT vec_id, len(embedding)::INT AS n FROM embeddings")
+def _thousandths(v):
+    """The sum of a vector's components in thousandths, each rounded down."""
+    return F.aggregate(F.transform(v, lambda x: F.floor(x.cast("float").cast("double") * 1000)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query("j6_vector_text", "SELECT vec_id, len(embedding)::INT AS n, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000)))::BIGINT AS suma FROM embeddings")
 def j6(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.size(V.vector_from_json(F.to_json("embedding"), 64)).alias("n"))
+    return table(spark, sf, "embeddings").select("vec_id", V.vector_from_json(F.to_json("embedding"), 64).alias("v")).select("vec_id", F.size("v").alias("n"), _thousandths("v").alias("suma"))
 
 
 @query(
@@ -531,9 +536,9 @@ def s8(spark, sf):
     return spark.read.schema("id long, estado string").option("header", "true").csv(path)
 
 
-@query("s9_markdown_rows", f"WITH {NORMAS} SELECT localidad AS localidad_slug, tipo || '-' || lpad(numero::VARCHAR, 4, '0') || '-' || coalesce(anio::VARCHAR, 'sa') AS archivo FROM normas")
+@query("s9_markdown_rows", f"WITH {NORMAS} SELECT localidad AS localidad_slug, tipo || '-' || lpad(numero::VARCHAR, 4, '0') || '-' || coalesce(anio::VARCHAR, 'sa') AS archivo, md5(concat_ws(chr(10), '---', 'tipo: ' || tipo, 'municipio: ' || localidad, 'municipio_id: ' || codigo_localidad, 'numero: ' || numero, 'anio: ' || coalesce(anio::VARCHAR, ''), 'contenido_id: ' || contenido_id, '---', '# ' || titulo, '', texto)) AS m FROM normas")
 def s9(spark, sf):
-    return S.markdown_rows(normas(spark, sf)).select("localidad_slug", "archivo")
+    return S.markdown_rows(normas(spark, sf)).select("localidad_slug", "archivo", F.md5("value").alias("m"))
 
 
 def _article(c: str):
@@ -541,10 +546,10 @@ def _article(c: str):
     return F.floor(F.col(c) / 4) * 1000 + F.col(c) % 4
 
 
-@query("s10_vector_table", f"WITH {NORMAS}, {ARTICULOS} SELECT a.id, norma_id, titulo, 64 AS n FROM embeddings JOIN articulos a ON a.id = vec_id // 4 * 1000 + vec_id % 4 JOIN normas ON normas.id = norma_id")
+@query("s10_vector_table", f"WITH {NORMAS}, {ARTICULOS} SELECT a.id, norma_id, titulo, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000)))::BIGINT AS suma FROM embeddings JOIN articulos a ON a.id = vec_id // 4 * 1000 + vec_id % 4 JOIN normas ON normas.id = norma_id")
 def s10(spark, sf):
     cache = table(spark, sf, "embeddings").select(_article("vec_id").alias("articulo_id"), F.lit("m").alias("modelo"), F.to_json("embedding").alias("vector"))
-    return S.vector_table(cache, articulos(spark, sf), normas(spark, sf), "m").select("id", "norma_id", "titulo", F.size("vector").alias("n"))
+    return S.vector_table(cache, articulos(spark, sf), normas(spark, sf), "m").select("id", "norma_id", "titulo", _thousandths("vector").alias("suma"))
 
 
 def search_queries(spark, sf):

@@ -67,14 +67,12 @@ def replace_parts(spark: SparkSession, tables: dict[str, DataFrame], path: str,
     old = state(spark, path)
     if old and (set(old["schemas"]) != set(tables) or old["part_col"] != part_col):
         raise ValueError("the tables of a set and the column of its parts stay the same")
-    if touched is None:
-        touched = [r[0] for r in tables[parent or next(iter(tables))].select(part_col).distinct().collect()]
-    known = F.col(part_col).isin([x for x in touched if x is not None])
-    known = (F.col(part_col).isNull() | known) if None in touched else F.coalesce(known, F.lit(False))
-    for name, df in tables.items():
-        if not df.filter(~known).isEmpty():
-            raise ValueError(f"{name} has rows of parts that aren't replaced")
     folder = write_parts(tables, path, part_col)
+    written = {n: {r[0] for r in spark.read.schema(df.schema).parquet(f"{folder}/{n}").select(part_col).distinct().collect()} for n, df in tables.items()}
+    touched = written[parent or next(iter(tables))] if touched is None else set(touched)
+    for name, parts in written.items():
+        if parts - touched:
+            raise ValueError(f"{name} has rows of parts that aren't replaced")
     parts = old.get("parts", {}) | {json.dumps(x): folder for x in touched}
     _commit(spark, path, {"part_col": part_col, "parts": parts, "schemas": {n: json.loads(df.schema.json()) for n, df in tables.items()}})
 
