@@ -266,17 +266,26 @@ def embedded_articles(text: Column | str) -> Column:
 
 _TOKEN = re.compile(r'[ \t\r\n]+|"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[{}\[\],:]', re.DOTALL)
 _OPEN_TEXT = re.compile(r'"(?:[^"\\]|\\.)*(?=\\?\Z)', re.DOTALL)
-_BAD_ESCAPE = re.compile(r'\\(?:u(?![0-9a-fA-F]{4})|[^"\\/bfnrtu])', re.DOTALL)
-_CUT_ESCAPE = re.compile(r"\\u[0-9a-fA-F]{0,3}\Z")
+_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{0,4}|.)", re.DOTALL)
 _CONTROL = re.compile(r"[\x00-\x1f]")
 _CLOSER = {"{": "}", "[": "]"}
 
 
 def _text_token(t: str) -> str:
-    t = _BAD_ESCAPE.sub(lambda m: "\\" + m[0], t) if "\\" in t else t
+    """A text as valid JSON: control characters escaped, and backslashes of escapes that there aren't."""
+    good = lambda x: len(x) == 5 or x in tuple('"\\/bfnrt')
+    t = _ESCAPE.sub(lambda m: m[0] if good(m[1]) else "\\" + m[0], t) if "\\" in t else t
     return _CONTROL.sub(lambda m: f"\\u{ord(m[0]):04x}", t)
 
 
+def _without_cut_escape(t: str) -> str:
+    """A text that the end cuts, without an escape of which the end is missing."""
+    last = None
+    for last in _ESCAPE.finditer(t):  # noqa: B007
+        pass
+    return t[: last.start()] if last and last.end() == len(t) and last[1][0] == "u" and len(last[1]) < 5 else t
+
+
 def close_json(text: str) -> str | None:
     """The object that the text begins with, mended in one pass; null if there is none.
 
@@ -292,7 +301,7 @@ def close_json(text: str) -> str | None:
         if m is None:
             tail = _OPEN_TEXT.match(text, at)
             if tail and stack and (state == "value" or stack[-1] == "[" and state in ("first", "next", "item")):  # a value that the end cuts
-                out += [","] * (state == "next") + [_text_token(_CUT_ESCAPE.sub("", tail[0])) + '"']
+                out += [","] * (state == "next") + [_text_token(_without_cut_escape(tail[0])) + '"']
                 closable = len(out)
             break
         token, at = m[0], m.end()
