@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.decontam import contaminated, find_contamination
-from lexmill.llm.frames import free, free_prefix
+from lexmill.llm.frames import free, free_prefix, small_batches
 from lexmill.llm.language_id import NO_LANGUAGE, RESULTS, held_out, identify_language
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.llm.poisson_mix import mix_sources
@@ -32,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates. Rows of one id stay or go together; rows without an id
     and texts without words stay."""
-    groups = near_duplicates(docs)
+    with small_batches(spark):  # its jobs with texts end in here; executors hold less of them beside what other stages left
+        groups = near_duplicates(docs)
     gone = groups.filter("doc is not null and doc <> component").select(F.col("doc").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

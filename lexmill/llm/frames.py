@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs inside hand whole texts to Python in batches of at most so many rows, which bounds what both sides hold of them."""
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, str(before))
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
