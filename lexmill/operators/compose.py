@@ -13,7 +13,7 @@ from lexmill.functions.text import col
 from lexmill.operators.filters import dossier_years, in_force, of_type
 from lexmill.operators.graph import reconcile
 from lexmill.operators.joins import children
-from lexmill.operators.search import bm25, query_terms, top_bm25
+from lexmill.operators.search import bm25, query_terms
 from lexmill.operators.vectors import embed, top_k
 from lexmill.session import save
 
@@ -50,10 +50,7 @@ def dossier(
     one = len(municipalities or []) == 1
     own = own.filter(F.col("codigo_localidad") == municipalities[0]) if one else own
     chosen = one or in_force_only or kind != "todos"
-    if dictionary is not None and search_limit:
-        hits = top_bm25(index, shape, dictionary, terms, search_limit, allowed=own if chosen else None)
-    else:
-        hits = bm25(index, shape, terms, search_limit or 1 << 30, allowed=own if chosen else None)
+    hits = bm25(index, shape, terms, search_limit or 1 << 30, allowed=own if chosen else None, dictionary=dictionary)
     own = dossier_years(own, since, until)
     own = own.filter(F.col("codigo_localidad").isin(*municipalities)) if municipalities else own
     rows = hits.join(own.select("id", "titulo", "estado", "anio", "codigo_localidad"), "id")

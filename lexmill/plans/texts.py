@@ -603,13 +603,19 @@ def r2(spark, sf):
 
 @query("r3_bm25", f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM sc) SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
 def r3(spark, sf):
+    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), dictionary=index_terms(spark, sf))
+
+
+@query("r3_bounded", f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS puesto FROM sc) SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
+def r3_bounded(spark, sf):
+    """The same rows without joining postings that can't reach the top."""
     return R.top_bm25(*index(spark, sf), index_terms(spark, sf), R.query_terms(search_queries(spark, sf)))
 
 
 @query("r3_filtered", f"WITH {_INDEX}, f AS (SELECT sc.* FROM sc JOIN normas USING (id) WHERE tipo = 'ordenanza' AND estado IN ('vigente', 'modificada') AND codigo_localidad = 3), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto, round(s, 6) AS score FROM r WHERE puesto <= 20")
 def r3_filtered(spark, sf):
     own = L.in_force(L.of_type(normas(spark, sf).filter("codigo_localidad = 3"), "ordenanza"))
-    return R.top_bm25(*index(spark, sf), index_terms(spark, sf), R.query_terms(search_queries(spark, sf)), allowed=own)
+    return R.bm25(*index(spark, sf), R.query_terms(search_queries(spark, sf)), allowed=own, dictionary=index_terms(spark, sf))
 
 
 @query("r4_all_terms", f"WITH {_INDEX}, nq AS (SELECT query_id, count(*) AS m FROM qt GROUP BY 1), f AS (SELECT sc.* FROM sc JOIN nq USING (query_id) WHERE k = m), {_TOP.replace('{x}', 'f')} SELECT query_id, id, puesto::INT AS puesto FROM r WHERE puesto <= 20")
