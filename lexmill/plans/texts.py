@@ -573,7 +573,9 @@ def index_path(spark, sf):
     key = spark.sparkContext.applicationId, *file_state(spark, f"{sf}/documents.parquet")
     if key not in _INDEXES or not path_exists(spark, f"{_INDEXES[key]}/terms/_SUCCESS"):
         path = shared_dir(spark, "index")
-        R.write_index(normas(spark, sf), {"titulo": 4.0, "texto": 1.0}, path)
+        rows, cores = normas(spark, sf), spark.sparkContext.defaultParallelism
+        rows = rows.repartition(cores) if len(key) - 1 < cores else rows  # a document is inverted where it's read: few files are dealt out first
+        R.write_index(rows, {"titulo": 4.0, "texto": 1.0}, path)
         _INDEXES[key] = path
     return _INDEXES[key]
 
