@@ -33,8 +33,8 @@ class Retries(StatefulProcessor):
         self.kept = handle.getValueState("item", "version int, intentos int, hecho boolean, ultimo long")
 
     def _row(self, key: tuple, version: int, failures: int, state: str, due: int | None) -> pd.DataFrame:
-        at = pd.Timestamp(due, unit="ms") if due is not None else pd.NaT
-        return pd.DataFrame({"item": [int(key[0])], "version": [version], "intentos": [failures], "estado": [state], "vence": pd.Series([at], dtype="datetime64[ns]")})
+        at = pd.Timestamp(due, unit="ms", tz="UTC") if due is not None else pd.NaT
+        return pd.DataFrame({"item": [int(key[0])], "version": [version], "intentos": [failures], "estado": [state], "vence": pd.Series([at], dtype="datetime64[ns, UTC]")})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         version, failures, done, last = self.kept.get() if self.kept.exists() else (0, 0, False, 0)
@@ -67,10 +67,11 @@ class Retries(StatefulProcessor):
 def retry_states(attempts: DataFrame, target: str, checkpoint: str, most: int = 3, wait_ms: int = 60_000, delay: str = "1 minute") -> StreamingQuery:
     """Start a stream over attempts (item long, ts timestamp, fallo boolean) that writes each item's changes as Parquet.
 
-    Takes what is there and ends. The state store with timers is chosen for this query alone.
+    Takes what is there and ends. Times count in whole milliseconds, rounded half up. The state store with timers is chosen for this query alone.
     """
     spark = attempts.sparkSession
     ship_package(spark)
+    attempts = attempts.withColumn("ts", F.timestamp_millis(F.expr("(unix_micros(ts) + 500) div 1000")))
     rows = attempts.withWatermark("ts", delay).select("item", "ts", "fallo", F.unix_millis("ts").alias("ms"))
     out = rows.groupBy("item").transformWithStateInPandas(Retries(most, wait_ms), OUTPUT, "Append", "EventTime")
     before = spark.conf.get(_PROVIDER, None)

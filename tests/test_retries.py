@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from lexmill.streaming import retries as Y
 
 
@@ -34,3 +36,18 @@ def test_states_over_restarts(spark, tmp_path):
     assert got[1] == (2, Y.DUE, at(36)) and got[3] == (2, Y.DONE, None) and got[4] == (3, Y.DONE, None)
     assert [r.item for r in Y.quarantined(spark.read.parquet(target)).collect()] == []
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != Y.ROCKS
+
+
+def test_whole_milliseconds_in_any_time_zone(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    micros = {1: 1_700_000_000_666_499, 2: 1_700_000_000_666_500, 3: 1_700_000_000_999_999}
+    spark.createDataFrame(list(micros.items()), "item long, us long").select("item", F.timestamp_micros("us").alias("ts"), F.lit(True).alias("fallo")).write.parquet(source)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = spark.readStream.schema("item long, ts timestamp, fallo boolean").parquet(source)
+        Y.retry_states(stream, target, checkpoint, wait_ms=10).awaitTermination()
+        got = {r.item: r.ms for r in Y.last_states(spark.read.parquet(target)).select("item", F.unix_millis("vence").alias("ms")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {1: 1_700_000_000_676, 2: 1_700_000_000_677, 3: 1_700_000_001_010}
