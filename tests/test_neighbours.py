@@ -62,3 +62,27 @@ def test_small_tables(spark):
     assert got(N.all_neighbours(frame(spark, rows), 3, 0.5)) == [(1, 2, 1), (2, 1, 1)]
     assert got(N.all_neighbours(frame(spark, rows[:1]), 3, 0.5)) == []
     assert got(N.all_neighbours(frame(spark, rows).limit(0), 3)) == []
+
+
+def test_shuffle_grows_with_the_vectors(spark, monkeypatch):
+    """Vectors without structure, no table small enough to be broadcast: four times as many shuffle about four times as much."""
+    for name, value in (("BLOCK_ROWS", 8), ("CELL_ROWS", 8), ("PARTS", 4)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    jvm, rng = spark.sparkContext._jsc.sc(), np.random.default_rng(3)
+
+    def written():
+        jvm.listenerBus().waitUntilEmpty()
+        executors = jvm.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for n in (400, 1600):
+            rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 64)))]
+            before = written()
+            assert got(N.all_neighbours(frame(spark, rows), 3, -1.0)) == brute(rows, 3, -1.0)
+            moved.append(written() - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < moved[1] < 5.5 * moved[0], moved
